@@ -50,6 +50,12 @@ def round4(c: Column) -> Column:
     return F.bround(c, 4)
 
 
+def mean_of_rounded(c: Column, digits: int = 4) -> Column:
+    """Mean of values that carry ``digits`` decimals, summed exactly so that ties stay ties."""
+    exact = F.sum(c.cast(f"decimal(18,{digits})")).cast("double")
+    return exact / F.when(F.count(c) > 0, F.count(c))
+
+
 def soft_am(probs: Column) -> Column:
     """Arithmetic mean of an array of probabilities; nothing judged scores 0."""
     total = F.aggregate(probs, F.lit(0.0), lambda acc, p: acc + p)

@@ -158,7 +158,7 @@ def compare_pipelines(boards: dict[str, DataFrame]) -> DataFrame:
     q = F.percentile("overall_gm", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
     return union.groupBy("pipeline").agg(
         F.count(F.lit(1)).alias("n_models"),
-        F.bround(F.avg("overall_gm"), 3).alias("mean_gm"),
+        F.bround(S.mean_of_rounded(F.col("overall_gm")), 3).alias("mean_gm"),
         F.max(F.struct("overall_gm", "model"))["model"].alias("best_model"),
         *[
             q[i].alias(name)

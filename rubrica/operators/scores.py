@@ -98,8 +98,8 @@ def per_subcategory(scores: DataFrame, categories: list[str]) -> DataFrame:
             for m in ("am", "gm")
             for c in categories
         ],
-        S.round4(F.avg("am")).alias("overall_am"),
-        S.round4(F.avg("gm")).alias("overall_gm"),
+        S.round4(S.mean_of_rounded(F.col("am"))).alias("overall_am"),
+        S.round4(S.mean_of_rounded(F.col("gm"))).alias("overall_gm"),
     )
     return wide.orderBy(F.desc("overall_gm"), "model")
 

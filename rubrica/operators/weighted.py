@@ -35,7 +35,7 @@ def weighted_score(rows: DataFrame, keys: tuple[str, ...] = ITEM) -> DataFrame:
 
 def category_scores(items: DataFrame, group: str = "category") -> DataFrame:
     return items.groupBy("model", group).agg(
-        F.bround(F.avg("score"), 2).alias("avg"), F.count(F.lit(1)).alias("n")
+        F.bround(S.mean_of_rounded(F.col("score"), 2), 2).alias("avg"), F.count(F.lit(1)).alias("n")
     )
 
 

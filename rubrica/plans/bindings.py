@@ -25,40 +25,48 @@ RECORD_ID = (
 )
 
 # Columns that read the same in both engines.
-_RECORD_COLUMNS = f"""
-  concat('model_', l_suppkey % 5) AS model,
-  concat('P', l_partkey) AS prompt_id,
-  cast(l_orderkey AS int) AS seed,
-  {RECORD_ID} AS rec_id,
-  CASE WHEN l_linenumber = 2 AND l_orderkey % 5 = 0 THEN NULL
-       ELSE concat('img/', l_orderkey, '_', l_linenumber, '.png') END AS image_path,
-  CASE WHEN l_partkey % 11 = 0 THEN 'image_missing'
+_RECORD_COLUMNS = [
+    "concat('model_', l_suppkey % 5) AS model",
+    "concat('P', l_partkey) AS prompt_id",
+    "cast(l_orderkey AS int) AS seed",
+    f"{RECORD_ID} AS rec_id",
+    """CASE WHEN l_linenumber = 2 AND l_orderkey % 5 = 0 THEN NULL
+       ELSE concat('img/', l_orderkey, '_', l_linenumber, '.png') END AS image_path""",
+    """CASE WHEN l_partkey % 11 = 0 THEN 'image_missing'
        WHEN l_linestatus = 'F' AND l_orderkey % 3 = 0 THEN concat('timeout ', l_linenumber)
-       WHEN l_orderkey % 7 = 0 THEN '  ' END AS error,
-  CASE WHEN l_orderkey % 8 IN (1, 3) THEN l_tax * 10 END AS score,
-  CASE WHEN l_orderkey % 8 IN (0, 2) THEN l_discount * 9 END AS score_am,
-  CASE WHEN l_orderkey % 8 IN (0, 3) THEN l_discount * 7 END AS score_gm,
-  l_linenumber = 7 AS no_answers,
-  l_discount * 10 AS p1,
-  l_tax * 12.5D AS p2,
-  CASE WHEN l_quantity > 45 THEN NULL WHEN l_quantity > 40 THEN '' ELSE 'preservation' END AS type2,
-  CASE WHEN l_linenumber = 4 THEN NULL ELSE 'detail_preservation' END AS dim3,
-  CASE WHEN l_discount * 10 >= 0.5D THEN 'yes' ELSE 'no' END AS a1,
-  CASE WHEN l_linenumber = 3 THEN NULL
-       WHEN l_tax * 12.5D >= 0.5D THEN 'yes' ELSE 'no' END AS a2,
-  CASE WHEN l_returnflag = 'A' THEN 'yes' WHEN l_returnflag = 'N' THEN ' Yes' ELSE 'no' END AS a3,
-  concat('Is part ', l_partkey, ' there?') AS question1,
-  l_linenumber, l_linestatus, l_quantity, l_orderkey, l_partkey
-"""
-
-
-def _duck(sql: str) -> str:
+       WHEN l_orderkey % 7 = 0 THEN ' ' END AS error""",
+    "CASE WHEN l_orderkey % 8 IN (1, 3) THEN l_tax * 10 END AS score",
+    "CASE WHEN l_orderkey % 8 IN (0, 2) THEN l_discount * 9 END AS score_am",
+    "CASE WHEN l_orderkey % 8 IN (0, 3) THEN l_discount * 7 END AS score_gm",
+    "l_linenumber = 7 AS no_answers",
+    "l_discount * 10 AS p1",
+    "l_tax * 12.5D AS p2",
+    """CASE WHEN l_quantity > 45 THEN NULL WHEN l_quantity > 40 THEN ''
+       ELSE 'preservation' END AS type2""",
+    "CASE WHEN l_linenumber = 4 THEN NULL ELSE 'detail_preservation' END AS dim3",
+    "CASE WHEN l_discount * 10 >= 0.5D THEN 'yes' ELSE 'no' END AS a1",
+    """CASE WHEN l_linenumber = 3 THEN NULL WHEN l_tax * 12.5D >= 0.5D THEN 'yes'
+       ELSE 'no' END AS a2""",
+    """CASE WHEN l_returnflag = 'A' THEN 'yes' WHEN l_returnflag = 'N' THEN ' Yes'
+       ELSE 'no' END AS a3""",
+    "concat('Is part ', l_partkey, ' there?') AS question1",
+    "l_linenumber",
+    "l_linestatus",
+    "l_quantity",
+    "l_orderkey",
+    "l_partkey",
+]
+
+
+def _duck(columns: list[str]) -> str:
+    """A select list for SQL, with its double literals as that dialect writes them."""
+    sql = ", ".join(columns).replace("`", '"')
     return sql.replace("12.5D", "12.5e0").replace("0.5D", "0.5e0")
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judgment records with nested answers, as a judge would have written them."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr(*_split(_RECORD_COLUMNS))
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*_RECORD_COLUMNS)
     return rows.withColumn(
         "answers",
         F.expr(
@@ -76,19 +84,6 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _split(columns: str) -> list[str]:
-    """Top-level commas of a select list."""
-    out, depth, current = [], 0, ""
-    for ch in columns:
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            out.append(current.strip())
-            current = ""
-        else:
-            current += ch
-    return [*out, current.strip()]
-
-
 REC = f"rec AS (SELECT {_duck(_RECORD_COLUMNS)} FROM lineitem)"
 
 # One row per answer, in long form.
@@ -137,22 +132,22 @@ COLLAPSED = f"""{RESOLVED}, c AS (
 
 # Prompts -------------------------------------------------------------------------------------
 
-_PROMPT_COLUMNS = """
-  concat('P', p_partkey) AS prompt_id,
-  cast(p_size % 3 + 1 AS int) AS layer,
-  CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE p_type END AS sub_category,
-  CASE WHEN p_size % 10 = 0 THEN NULL WHEN p_size < 17 THEN 'easy' WHEN p_size < 34 THEN 'medium'
-       ELSE 'hard' END AS difficulty,
-  p_name AS prompt_text
-"""
+_PROMPT_COLUMNS = [
+    "concat('P', p_partkey) AS prompt_id",
+    "cast(p_size % 3 + 1 AS int) AS layer",
+    "CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE p_type END AS sub_category",
+    """CASE WHEN p_size % 10 = 0 THEN NULL WHEN p_size < 17 THEN 'easy' WHEN p_size < 34
+       THEN 'medium' ELSE 'hard' END AS difficulty""",
+    "p_name AS prompt_text",
+]
 SUB_CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(*_split(_PROMPT_COLUMNS))
+    return table(spark, sf_dir, "part").selectExpr(*_PROMPT_COLUMNS)
 
 
-PROMPTS = f"prompts AS (SELECT {_PROMPT_COLUMNS} FROM part)"
+PROMPTS = f"prompts AS (SELECT {_duck(_PROMPT_COLUMNS)} FROM part)"
 
 SCORES = f"""{COLLAPSED}, {PROMPTS}, s AS (
   SELECT c.*, p.layer, p.sub_category, coalesce(p.difficulty, 'auto') AS difficulty
@@ -183,23 +178,25 @@ TAGGED = f"""tagged AS (SELECT concat('P', p_partkey) AS prompt_id,
        WHEN p_size < 10 THEN [{_THEME_LIST}][1:2] ELSE [{_THEME_LIST}] END AS themes FROM part)"""
 THEMES = f"{TAGGED}, themes AS (SELECT prompt_id, unnest(themes) AS theme FROM tagged)"
 
-_QUESTION_COLUMNS = """
-  concat('L2_', p_partkey) AS prompt_id,
-  CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'numeracy'
+_QUESTION_COLUMNS = [
+    "concat('L2_', p_partkey) AS prompt_id",
+    """CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'numeracy'
        WHEN p_type IN ('LARGE', 'MEDIUM') THEN 'complex_compositions'
-       ELSE 'spatial_3d' END AS sub_category,
-  CASE WHEN p_size < 17 THEN 'easy' WHEN p_size < 34 THEN 'medium' ELSE 'hard' END AS difficulty,
-  2 AS layer,
-  CASE WHEN p_size % 7 = 0 THEN concat('the ', p_size, 'th ', p_name)
-       WHEN p_size % 7 = 1 THEN concat('the second ', p_name, ' from the left')
-       ELSE concat('a shelf with ', p_name, 's') END AS prompt_text,
-  p_name, p_size
-"""
+       ELSE 'spatial_3d' END AS sub_category""",
+    """CASE WHEN p_size < 17 THEN 'easy' WHEN p_size < 34 THEN 'medium'
+       ELSE 'hard' END AS difficulty""",
+    "2 AS layer",
+    """CASE WHEN p_size % 7 = 0 THEN concat('the ', p_size, 'th ', p_name) WHEN p_size % 7 = 1
+       THEN concat('the second ', p_name, ' from the left')
+       ELSE concat('a shelf with ', p_name, 's') END AS prompt_text""",
+    "p_name",
+    "p_size",
+]
 
 
 def question_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts with atomic questions built from part names and sizes."""
-    rows = table(spark, sf_dir, "part").selectExpr(*_split(_QUESTION_COLUMNS))
+    rows = table(spark, sf_dir, "part").selectExpr(*_QUESTION_COLUMNS)
     questions = F.expr(
         """filter(array(
              CASE WHEN p_size % 6 <> 5 THEN named_struct('q_id', 'q1', 'question',
@@ -217,7 +214,7 @@ def question_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The same questions as one row each.
-QUESTIONS = f"""qp AS (SELECT {_QUESTION_COLUMNS} FROM part), qs AS (
+QUESTIONS = f"""qp AS (SELECT {_duck(_QUESTION_COLUMNS)} FROM part), qs AS (
   SELECT prompt_id, 'q1' AS q_id, concat('Are there Exactly ', p_size, ' ', p_name, 's?') AS question,
          'numeracy' AS type, p_size AS exact FROM qp WHERE p_size % 6 <> 5
   UNION ALL SELECT prompt_id, 'q2', 'Is the box on the left?', 'spatial', NULL FROM qp WHERE p_size % 5 <> 0
@@ -228,66 +225,68 @@ QUESTIONS = f"""qp AS (SELECT {_QUESTION_COLUMNS} FROM part), qs AS (
 
 # Logs ----------------------------------------------------------------------------------------
 
-_LOG_COLUMNS = """
-  concat('model_', user_id % 5) AS model,
-  concat('P', user_id) AS prompt_id,
-  cast(event_id % 3 AS int) AS seed,
-  CASE WHEN event_type = 'click' THEN 'FILTERED' WHEN event_type = 'error' THEN 'ERROR'
-       ELSE 'SUCCESS' END AS status,
-  CASE WHEN event_type = 'click' AND event_id % 2 = 0 THEN 'Your prompt violates our Content Policy.'
-       WHEN event_type = 'click' THEN 'Request blocked: NSFW content'
-       WHEN event_type = 'error' THEN 'Internal server error' END AS error,
-  value AS amount,
-  event_type AS stage,
-  ts,
-  event_id,
-  props
-"""
+_LOG_COLUMNS = [
+    "concat('model_', user_id % 5) AS model",
+    "concat('P', user_id) AS prompt_id",
+    "cast(event_id % 3 AS int) AS seed",
+    """CASE WHEN event_type = 'click' THEN 'FILTERED' WHEN event_type = 'error' THEN 'ERROR'
+       ELSE 'SUCCESS' END AS status""",
+    """CASE WHEN event_type = 'click' AND event_id % 2 = 0
+       THEN 'Your prompt violates our Content Policy.' WHEN event_type = 'click'
+       THEN 'Request blocked: NSFW content' WHEN event_type = 'error'
+       THEN 'Internal server error' END AS error""",
+    "value AS amount",
+    "event_type AS stage",
+    "ts",
+    "event_id",
+    "props",
+]
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(*_split(_LOG_COLUMNS))
+    return table(spark, sf_dir, "events").selectExpr(*_LOG_COLUMNS)
 
 
-LOG = f"log AS (SELECT {_LOG_COLUMNS} FROM events)"
+LOG = f"log AS (SELECT {_duck(_LOG_COLUMNS)} FROM events)"
 
-_CHAIN_COLUMNS = """
-  concat('model_', conv_id % 3) AS model,
-  concat('C', conv_id) AS prompt_id,
-  cast(turn + 1 AS int) AS turn,
-  CASE WHEN (conv_id * 7 + turn) % 9 = 0 THEN 'ERROR'
-       WHEN (conv_id * 7 + turn) % 9 = 1 THEN 'FILTERED' ELSE 'SUCCESS' END AS status,
-  CASE WHEN (conv_id * 7 + turn) % 9 > 1 THEN concat('C', conv_id, '_t', turn + 1, '.png') END AS image_path,
-  CASE WHEN turn = 0 THEN concat('src/C', conv_id, '.png') END AS source_image_path,
-  turn AS log_order
-"""
+_CHAIN_COLUMNS = [
+    "concat('model_', conv_id % 3) AS model",
+    "concat('C', conv_id) AS prompt_id",
+    "cast(turn + 1 AS int) AS turn",
+    """CASE WHEN (conv_id * 7 + turn) % 9 = 0 THEN 'ERROR' WHEN (conv_id * 7 + turn) % 9 = 1
+       THEN 'FILTERED' ELSE 'SUCCESS' END AS status""",
+    """CASE WHEN (conv_id * 7 + turn) % 9 > 1
+       THEN concat('C', conv_id, '_t', turn + 1, '.png') END AS image_path""",
+    "CASE WHEN turn = 0 THEN concat('src/C', conv_id, '.png') END AS source_image_path",
+    "turn AS log_order",
+]
 
 
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").selectExpr(*_split(_CHAIN_COLUMNS))
+    return table(spark, sf_dir, "conversations").selectExpr(*_CHAIN_COLUMNS)
 
 
-CHAINS = f"chains AS (SELECT {_CHAIN_COLUMNS} FROM conversations)"
+CHAINS = f"chains AS (SELECT {_duck(_CHAIN_COLUMNS)} FROM conversations)"
 
 
 # Edit prompts --------------------------------------------------------------------------------
 
-_EDIT_COLUMNS = """
-  concat('D', doc_id) AS prompt_id,
-  CASE WHEN doc_id % 41 = 0 THEN 'odd' WHEN n_chars < 300 THEN 'easy'
-       WHEN n_chars < 1500 THEN 'medium' ELSE 'hard' END AS difficulty,
-  CASE WHEN doc_id % 6 = 0 THEN 'multi_turn' ELSE concat('cat_', lang) END AS category,
-  text AS edit_instruction,
-  concat('source_images/', CASE doc_id % 5 WHEN 0 THEN 'person' WHEN 1 THEN 'object'
-         WHEN 2 THEN 'scene' WHEN 3 THEN 'style' ELSE 'misc' END, '/', source, '.jpg') AS source_image,
-  CASE WHEN doc_id % 12 = 0 THEN '["do this", "then that"]' WHEN doc_id % 24 = 6
-       THEN '["only this"]' ELSE '1' END AS turns,
-  doc_id
-"""
+_EDIT_COLUMNS = [
+    "concat('D', doc_id) AS prompt_id",
+    """CASE WHEN doc_id % 41 = 0 THEN 'odd' WHEN n_chars < 300 THEN 'easy' WHEN n_chars < 1500
+       THEN 'medium' ELSE 'hard' END AS difficulty""",
+    "CASE WHEN doc_id % 6 = 0 THEN 'multi_turn' ELSE concat('cat_', lang) END AS category",
+    "text AS edit_instruction",
+    """concat('source_images/', CASE doc_id % 5 WHEN 0 THEN 'person' WHEN 1 THEN 'object' WHEN 2
+       THEN 'scene' WHEN 3 THEN 'style' ELSE 'misc' END, '/', source, '.jpg') AS source_image""",
+    """CASE WHEN doc_id % 12 = 0 THEN '["do this", "then that"]' WHEN doc_id % 24 = 6
+       THEN '["only this"]' ELSE '1' END AS turns""",
+    "doc_id",
+]
 
 
 def edit_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").selectExpr(*_split(_EDIT_COLUMNS))
+    rows = table(spark, sf_dir, "documents").selectExpr(*_EDIT_COLUMNS)
     atoms = F.expr(
         """transform(sequence(1, cast(1 + doc_id % 11 AS int)), i -> named_struct(
              'q_id', concat('q', i), 'question', concat('Question ', i, '?'),
@@ -298,32 +297,31 @@ def edit_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("atoms", atoms)
 
 
-EDIT_PROMPTS = f"""ep AS (SELECT {_EDIT_COLUMNS}, cast(1 + doc_id % 11 AS int) AS n_atoms
+EDIT_PROMPTS = f"""ep AS (SELECT {_duck(_EDIT_COLUMNS)}, cast(1 + doc_id % 11 AS int) AS n_atoms
   FROM documents)"""
 
 
 # Images --------------------------------------------------------------------------------------
 
-_IMAGE_COLUMNS = """
-  p_partkey AS image_id,
-  CASE p_size % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'object' WHEN 2 THEN 'scene' ELSE 'style' END AS "group",
-  CASE WHEN p_size % 4 <> 0 THEN concat(lower(p_brand), '_', p_size % 3)
-       WHEN p_size % 3 = 0 THEN 'person_portrait' WHEN p_size % 3 = 1 THEN 'person_group'
-       ELSE 'person_other' END AS category,
-  CASE WHEN p_size % 5 = 0 THEN concat('A ', p_name)
-       ELSE concat('A steel ', p_name, ' in the street with a worker, a ', lower(p_type),
-                   ' lamp with glass, ', p_brand) END AS description,
-  CASE WHEN p_partkey % 5 = 0 THEN concat('iso_', p_partkey, '.JPG')
-       ELSE concat('shot01_full_scene_', p_partkey, '.jpg') END AS filename
-"""
+_IMAGE_COLUMNS = [
+    "p_partkey AS image_id",
+    """CASE p_size % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'object' WHEN 2 THEN 'scene'
+       ELSE 'style' END AS `group`""",
+    """CASE WHEN p_size % 4 <> 0 THEN concat(lower(p_brand), '_', p_size % 3) WHEN p_size % 3 = 0
+       THEN 'person_portrait' WHEN p_size % 3 = 1 THEN 'person_group'
+       ELSE 'person_other' END AS category""",
+    """CASE WHEN p_size % 5 = 0 THEN concat('A ', p_name)
+       ELSE concat('A steel ', p_name, ' in the street with a worker, a ', lower(p_type), ' lamp with glass, ', p_brand) END AS description""",
+    """CASE WHEN p_partkey % 5 = 0 THEN concat('iso_', p_partkey, '.JPG')
+       ELSE concat('shot01_full_scene_', p_partkey, '.jpg') END AS filename""",
+]
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = _split(_IMAGE_COLUMNS.replace('"group"', "`group`"))
-    return table(spark, sf_dir, "part").selectExpr(*columns)
+    return table(spark, sf_dir, "part").selectExpr(*_IMAGE_COLUMNS)
 
 
-IMAGES = f"images AS (SELECT {_IMAGE_COLUMNS} FROM part)"
+IMAGES = f"images AS (SELECT {_duck(_IMAGE_COLUMNS)} FROM part)"
 
 
 # Object keys ---------------------------------------------------------------------------------

@@ -1,6 +1,11 @@
 """All registered queries."""
 
-from rubrica.plans import score_queries  # noqa: F401
+from rubrica.plans import (  # noqa: F401
+    human_queries,
+    prompt_queries,
+    report_queries,
+    score_queries,
+)
 from rubrica.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

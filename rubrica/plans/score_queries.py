@@ -387,8 +387,8 @@ _WIDE = ", ".join(
     for m in ("am", "gm")
     for c in b.SUB_CATEGORIES
 )
-_PER_SUB = f"""{CELLS} SELECT model, {_WIDE}, round_even(avg(am), 4) AS overall_am,
-  round_even(avg(gm), 4) AS overall_gm FROM cells GROUP BY model"""
+_PER_SUB = f"""{CELLS} SELECT model, {_WIDE}, round_even(sum(am::DECIMAL(18,4))::DOUBLE / count(am), 4) AS overall_am,
+  round_even(sum(gm::DECIMAL(18,4))::DOUBLE / count(gm), 4) AS overall_gm FROM cells GROUP BY model"""
 
 
 @query("per_subcategory", f"WITH {b.SCORES}, {_PER_SUB}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rubrica import schemas
 from rubrica.functions import scoring as S
@@ -20,11 +20,11 @@ def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:
     return next((p for p in candidates if path_exists(spark, p)), None)
 
 
-def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+def _empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a fixed schema. Blank lines are skipped, a broken line fails the job."""
     if not path_exists(spark, path):
         return _empty(spark, schema)
@@ -53,9 +53,7 @@ def read_judgments(spark: SparkSession, path: str, kind: str = "t2i") -> DataFra
 def read_judgment_table(spark: SparkSession, path: str, kind: str = "t2i") -> DataFrame:
     """Judgments laid out as ``model=<name>/part-*.json``; a filter on model prunes folders."""
     schema = schemas.EDIT_JUDGMENT if kind == "edit" else schemas.JUDGMENT
-    fields = [f for f in schema.fields if f.name != "model"]
-    with_model = T.StructType([*fields, T.StructField("model", T.StringType())])
-    return spark.read.schema(with_model).option("mode", "FAILFAST").json(path)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def read_prompts(spark: SparkSession, *paths: str, kind: str = "t2i") -> DataFrame:
@@ -70,7 +68,7 @@ def read_prompts(spark: SparkSession, *paths: str, kind: str = "t2i") -> DataFra
 def read_theme_map(spark: SparkSession, path: str) -> DataFrame:
     """(prompt_id, theme) from a JSON object of tag lists; anything else reads as empty."""
     if not path_exists(spark, path):
-        return _empty(spark, T.StructType.fromDDL("prompt_id STRING, theme STRING"))
+        return _empty(spark, "prompt_id STRING, theme STRING")
     return theme_map_rows(spark.read.text(path, wholetext=True))
 
 
@@ -94,7 +92,7 @@ def read_human_records(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, schemas.HUMAN_RECORD)
 
 
-def read_score_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+def read_score_table(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """A score table exported as CSV, or None when there is none."""
     if not path_exists(spark, path):
         return None
@@ -115,7 +113,7 @@ def read_text_prompts(spark: SparkSession, candidates: list[str]) -> DataFrame:
     """One prompt per line from the first path that exists; trimmed, blanks dropped."""
     path = first_existing(spark, candidates)
     if path is None:
-        return _empty(spark, T.StructType.fromDDL("prompt_text STRING"))
+        return _empty(spark, "prompt_text STRING")
     return text_prompts(spark.read.text(path))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -15,7 +15,7 @@ from rubrica.sources.writers import failed_attempts
 
 
 def stream_files(
-    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", glob: str | None = None
+    spark: SparkSession, path: str, schema: str, fmt: str = "json", glob: str | None = None
 ) -> DataFrame:
     """Files arriving in a folder as a stream."""
     reader = spark.readStream.format(fmt).schema(schema)
