@@ -157,6 +157,11 @@ def display(score: Column, digits: int = 3) -> Column:
     return F.format_number(score, digits)
 
 
+def exact_round(c: Column, digits: int) -> Column:
+    """Rounding of the exact binary value, ties to even; for values below 1,000."""
+    return display(c, digits).cast("double")
+
+
 def duration_sec(start: Column, end: Column) -> Column:
     micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
     return F.bround(micros / 1e6, 2)

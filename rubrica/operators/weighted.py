@@ -28,14 +28,14 @@ def weighted_score(rows: DataFrame, keys: tuple[str, ...] = ITEM) -> DataFrame:
     weight = F.sum(F.when(answered, F.col("weight")))
     score = F.sum(F.col("weight") * F.col("score")) / F.when(weight > 0, weight)
     return rows.groupBy(*keys).agg(
-        F.bround(F.coalesce(score, F.lit(0.0)), 2).alias("score"),
+        S.exact_round(F.coalesce(score, F.lit(0.0)), 2).alias("score"),
         F.count_if(answered).alias("n_answered"),
     )
 
 
 def category_scores(items: DataFrame, group: str = "category") -> DataFrame:
     return items.groupBy("model", group).agg(
-        F.bround(S.mean_of_rounded(F.col("score"), 2), 2).alias("avg"), F.count(F.lit(1)).alias("n")
+        S.exact_round(S.mean_of_rounded(F.col("score"), 2), 2).alias("avg"), F.count(F.lit(1)).alias("n")
     )
 
 

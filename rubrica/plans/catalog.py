@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from rubrica.plans import (  # noqa: F401
+    file_queries,
     human_queries,
     prompt_queries,
     report_queries,

@@ -372,8 +372,8 @@ def join_turns(spark, d):
 _WEIGHTED = """w AS (SELECT concat('model_', l_suppkey % 5) AS model, p_brand AS category, l_orderkey AS source_id,
     l_quantity AS weight, CASE WHEN l_tax < 0.08 THEN (l_linenumber % 3) * 0.5e0 END AS score
     FROM lineitem JOIN part ON l_partkey = p_partkey),
-  items AS (SELECT model, category, source_id, round_even(coalesce(sum(weight * score) /
-    sum(weight) FILTER (WHERE score IS NOT NULL), 0), 2) AS score, count(score) AS n_answered
+  items AS (SELECT model, category, source_id, printf('%.2f', coalesce(sum(weight * score) /
+    sum(weight) FILTER (WHERE score IS NOT NULL), 0))::DOUBLE AS score, count(score) AS n_answered
     FROM w GROUP BY model, category, source_id)"""
 
 
@@ -393,7 +393,7 @@ def weighted_score(spark, d):
 
 @query(
     "category_scores",
-    f"WITH {_WEIGHTED} SELECT model, category, round_even(sum(score::DECIMAL(18,2))::DOUBLE / count(score), 2) AS avg, count(*) AS n FROM items GROUP BY ALL",
+    f"WITH {_WEIGHTED} SELECT model, category, printf('%.2f', sum(score::DECIMAL(18,2))::DOUBLE / count(score))::DOUBLE AS avg, count(*) AS n FROM items GROUP BY ALL",
 )
 def category_scores(spark, d):
     return G.category_scores(_items(spark, d))
@@ -401,7 +401,7 @@ def category_scores(spark, d):
 
 @query(
     "category_table",
-    f"""WITH {_WEIGHTED}, c AS (SELECT model, category, round_even(sum(score::DECIMAL(18,2))::DOUBLE / count(score), 2) AS a FROM items GROUP BY ALL)
+    f"""WITH {_WEIGHTED}, c AS (SELECT model, category, printf('%.2f', sum(score::DECIMAL(18,2))::DOUBLE / count(score))::DOUBLE AS a FROM items GROUP BY ALL)
         SELECT model, coalesce(max(printf('%.2f', a)) FILTER (WHERE category = 'Brand#1'), '---') AS "Brand#1",
           coalesce(max(printf('%.2f', a)) FILTER (WHERE category = 'none'), '---') AS "none" FROM c GROUP BY model""",
 )
@@ -460,7 +460,7 @@ def bundle_report(spark, d):
     return bundle(
         A.summary_stats(scores),
         {
-            "leaderboard": (A.leaderboard(scores), [F.desc("overall_gm_covered"), "model"]),
+            "leaderboard": (A.leaderboard(scores), [-F.col("overall_gm_covered"), "model"]),
             "layer_comparison": (layers(spark, d), ["model"]),
             "per_subcategory": (A.per_subcategory(scores, b.SUB_CATEGORIES), ["model"]),
         },
