@@ -72,6 +72,33 @@ def soft_gm(probs: Column, floor: float = LOGPROB_FLOOR) -> Column:
     ).otherwise(0.0)
 
 
+def answers_am(answers: Column, floor: float = LOGPROB_FLOOR) -> Column:
+    """``soft_am`` over answer structs in one pass, without an array of probabilities."""
+    total = F.aggregate(
+        answers,
+        F.lit(0.0),
+        lambda acc, a: acc + atom_probability(a["answer"], a["probability"], floor),
+    )
+    return F.when(F.coalesce(F.size(answers), F.lit(0)) > 0, total / F.size(answers)).otherwise(0.0)
+
+
+def answers_gm(answers: Column, floor: float = LOGPROB_FLOOR) -> Column:
+    """``soft_gm`` over answer structs in one pass."""
+    logs = F.aggregate(
+        answers,
+        F.lit(0.0),
+        lambda acc, a: acc
+        + F.ln(
+            F.greatest(
+                atom_probability(a["answer"], a["probability"], floor), floor_probability(floor)
+            )
+        ),
+    )
+    return F.when(
+        F.coalesce(F.size(answers), F.lit(0)) > 0, F.exp(logs / F.size(answers))
+    ).otherwise(0.0)
+
+
 def soft_am_agg(p: Column) -> Column:
     """``soft_am`` over rows; a group of no rows (or only NULLs) scores 0."""
     return F.coalesce(F.avg(p), F.lit(0.0))

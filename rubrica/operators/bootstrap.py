@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rubrica.functions import scoring as S
+from rubrica.session import durable
 
 EXACT_DISTINCT = 2_000
 REPLICATE_CHUNK = 256
@@ -42,59 +43,97 @@ def _interval(stats: Column, log_scale: bool, ci: float) -> list[Column]:
     return [fix(bounds[0]).alias("ci_lower"), fix(bounds[1]).alias("ci_upper")]
 
 
-def value_counts(df: DataFrame, group: str, value: str, stat: str) -> DataFrame:
-    """(group, x, n): distinct values with their counts, on the log scale for the GM."""
-    v = F.col(value).cast("double")
-    x = F.ln(F.greatest(v, S.floor_probability())) if _log_scale(stat) else v
+def value_counts(df: DataFrame, group: str, measures: dict[str, tuple[str, str]]) -> DataFrame:
+    """(grp, measure, x, n): distinct values with their counts, on the log scale for the GM.
+
+    ``measures`` maps a name to (value column, stat); all are counted in one pass.
+    """
+    cells = []
+    for name, (value, stat) in measures.items():
+        v = F.col(value).cast("double")
+        x = F.ln(F.greatest(v, S.floor_probability())) if _log_scale(stat) else v
+        cells.append(
+            F.when(v.isNotNull(), F.struct(F.lit(name).alias("measure"), x.alias("x")))
+        )
     return (
-        df.filter(v.isNotNull())
-        .select(F.col(group).cast("string").alias("grp"), x.alias("x"))
-        .groupBy("grp", "x")
+        df.select(F.col(group).cast("string").alias("grp"), F.inline(F.array_compact(F.array(*cells))))
+        .groupBy("grp", "measure", "x")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def bootstrap_ci(
-    df: DataFrame, group: str, value: str, stat: str = "mean", n_boot: int = 10_000,
+def bootstrap_cis(
+    df: DataFrame, group: str, measures: dict[str, tuple[str, str]], n_boot: int = 10_000,
     ci: float = 0.95, seed: int = 42, exact_distinct: int = EXACT_DISTINCT,
 ) -> DataFrame:
-    """(group, ci_lower, ci_upper) of the mean or the floored geometric mean."""
-    log_scale = _log_scale(stat)
-    counts = value_counts(df, group, value, stat)
-    sizes = counts.groupBy("grp").agg(F.count(F.lit(1)).alias("n_distinct"))
-    sized = counts.join(sizes, "grp")
+    """(group, measure, ci_lower, ci_upper) for several measures at once.
 
-    exact = sized.filter(F.col("n_distinct") <= exact_distinct).groupBy("grp").applyInPandas(
-        _multinomial(n_boot, ci, seed, log_scale), "grp string, ci_lower double, ci_upper double"
+    The counted values are checkpointed: they are small next to the rows, and are read by the
+    size count and by both kinds of resampling.
+    """
+    counts = durable(value_counts(df, group, measures))
+    keys = ["grp", "measure"]
+    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_distinct"))
+    sized = counts.join(sizes, keys)
+
+    exact = sized.filter(F.col("n_distinct") <= exact_distinct).groupBy(*keys).applyInPandas(
+        _multinomial(n_boot, ci, seed),
+        "grp string, measure string, lower double, upper double",
     )
-    partial = sized.filter(F.col("n_distinct") > exact_distinct).mapInPandas(
-        _poisson_partials(n_boot, seed), "grp string, b int, sw double, swx double"
+    # Drawing is the work here, not the size of the rows, so the task count is set by hand.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partial = (
+        sized.filter(F.col("n_distinct") > exact_distinct)
+        .repartition(tasks, *keys, "x")
+        .mapInPandas(
+            _poisson_partials(n_boot, seed),
+            "grp string, measure string, b int, sw double, swx double",
+        )
     )
     replicates = (
-        partial.groupBy("grp", "b")
+        partial.groupBy(*keys, "b")
         .agg(F.sum("sw").alias("sw"), F.sum("swx").alias("swx"))
         .filter("sw > 0")
         .withColumn("stat", F.col("swx") / F.col("sw"))
     )
-    spread = replicates.groupBy("grp").agg(*_interval(F.col("stat"), log_scale, ci))
-    return exact.unionByName(spread).withColumnRenamed("grp", group)
+    alpha = (1.0 - ci) / 2.0
+    bounds = F.percentile("stat", F.array(F.lit(alpha), F.lit(1.0 - alpha)))
+    spread = replicates.groupBy(*keys).agg(bounds[0].alias("lower"), bounds[1].alias("upper"))
+    logged = F.col("measure").isin(*[m for m, (_, stat) in measures.items() if _log_scale(stat)])
+    out = exact.unionByName(spread)
+    return out.select(
+        F.col("grp").alias(group),
+        "measure",
+        *[
+            F.when(logged, F.exp(c)).otherwise(F.col(c)).alias(f"ci_{c}")
+            for c in ("lower", "upper")
+        ],
+    )
+
+
+def bootstrap_ci(
+    df: DataFrame, group: str, value: str, stat: str = "mean", n_boot: int = 10_000,
+    ci: float = 0.95, seed: int = 42, exact_distinct: int = EXACT_DISTINCT,
+) -> DataFrame:
+    """(group, ci_lower, ci_upper) of the mean or the floored geometric mean."""
+    measures = {value: (value, stat)}
+    return bootstrap_cis(df, group, measures, n_boot, ci, seed, exact_distinct).drop("measure")
 
 
-def _multinomial(n_boot: int, ci: float, seed: int, log_scale: bool) -> Callable:
+def _multinomial(n_boot: int, ci: float, seed: int) -> Callable:
     def resample(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("x")
         x, n = pdf["x"].to_numpy(), pdf["n"].to_numpy()
         total = int(n.sum())
-        rng = np.random.default_rng(_seed_of(seed, pdf["grp"].iloc[0]))
+        key = (pdf["grp"].iloc[0], pdf["measure"].iloc[0])
+        rng = np.random.default_rng(_seed_of(seed, *key))
         stats = np.empty(n_boot)
         for start in range(0, n_boot, REPLICATE_CHUNK):
             size = min(REPLICATE_CHUNK, n_boot - start)
             stats[start : start + size] = rng.multinomial(total, n / total, size=size) @ x / total
         bounds = np.percentile(stats, [50 * (1 - ci), 100 - 50 * (1 - ci)])
-        if log_scale:
-            bounds = np.exp(bounds)
         return pd.DataFrame(
-            {"grp": [pdf["grp"].iloc[0]], "ci_lower": [bounds[0]], "ci_upper": [bounds[1]]}
+            {"grp": [key[0]], "measure": [key[1]], "lower": [bounds[0]], "upper": [bounds[1]]}
         )
 
     return resample
@@ -102,11 +141,12 @@ def _multinomial(n_boot: int, ci: float, seed: int, log_scale: bool) -> Callable
 
 def _poisson_partials(n_boot: int, seed: int) -> Callable:
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[tuple[str, str], np.ndarray] = {}
         for pdf in batches:
-            for grp, x, n in zip(pdf["grp"], pdf["x"], pdf["n"]):
-                draw = np.random.default_rng(_seed_of(seed, grp, float(x))).poisson(n, n_boot)
-                acc = sums.setdefault(grp, np.zeros((2, n_boot)))
+            for grp, measure, x, n in zip(pdf["grp"], pdf["measure"], pdf["x"], pdf["n"]):
+                rng = np.random.default_rng(_seed_of(seed, grp, measure, float(x)))
+                draw = rng.poisson(n, n_boot)
+                acc = sums.setdefault((grp, measure), np.zeros((2, n_boot)))
                 acc[0] += draw
                 acc[1] += draw * x
             # Each group holds two short arrays; let go of them when there are many groups.
@@ -119,10 +159,11 @@ def _poisson_partials(n_boot: int, seed: int) -> Callable:
     return partials
 
 
-def _emit(sums: dict[str, np.ndarray], n_boot: int) -> pd.DataFrame:
+def _emit(sums: dict[tuple[str, str], np.ndarray], n_boot: int) -> pd.DataFrame:
     return pd.DataFrame(
         {
-            "grp": np.repeat(list(sums), n_boot),
+            "grp": np.repeat([k[0] for k in sums], n_boot),
+            "measure": np.repeat([k[1] for k in sums], n_boot),
             "b": np.tile(np.arange(n_boot, dtype="int32"), len(sums)),
             "sw": np.concatenate([a[0] for a in sums.values()]),
             "swx": np.concatenate([a[1] for a in sums.values()]),
@@ -132,16 +173,17 @@ def _emit(sums: dict[str, np.ndarray], n_boot: int) -> pd.DataFrame:
 
 def leaderboard_ci(scores: DataFrame, n_boot: int = 10_000, ci: float = 0.95, seed: int = 42) -> DataFrame:
     """Intervals of covered AM (mean) and covered GM (geometric mean of prompt GMs)."""
-    covered = scores.filter("covered")
-    out = None
-    for metric, stat in (("am", "mean"), ("gm", "gm")):
-        one = bootstrap_ci(covered, "model", f"score_{metric}", stat, n_boot, ci, seed).select(
-            "model",
-            S.round4(F.col("ci_lower")).alias(f"{metric}_ci_lower"),
-            S.round4(F.col("ci_upper")).alias(f"{metric}_ci_upper"),
-        )
-        out = one if out is None else out.join(one, "model", "full")
-    return out
+    measures = {"am": ("score_am", "mean"), "gm": ("score_gm", "gm")}
+    rows = bootstrap_cis(scores.filter("covered"), "model", measures, n_boot, ci, seed)
+    return rows.groupBy("model").agg(
+        *[
+            S.round4(F.max(F.when(F.col("measure") == m, F.col(f"ci_{side}")))).alias(
+                f"{m}_ci_{side}"
+            )
+            for m in measures
+            for side in ("lower", "upper")
+        ]
+    )
 
 
 def mixed_hash(key: Column, b: Column, seed: int) -> Column:

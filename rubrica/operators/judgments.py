@@ -24,9 +24,8 @@ def resolve_scores(judgments: DataFrame, legacy: bool = True) -> DataFrame:
     old = F.col("score") if "score" in has else F.lit(None).cast("double")
     seed = F.col("seed") if "seed" in has else F.lit(None).cast("int")
     stand_in = F.when(am.isNull() & gm.isNull(), old) if legacy else F.lit(None).cast("double")
-    probs = S.answer_probabilities(F.coalesce(F.col("answers"), F.array()))
-    resolved_am = F.coalesce(am, stand_in, S.soft_am(probs))
-    resolved_gm = F.coalesce(gm, stand_in, S.soft_gm(probs))
+    resolved_am = F.coalesce(am, stand_in, S.answers_am(F.col("answers")))
+    resolved_gm = F.coalesce(gm, stand_in, S.answers_gm(F.col("answers")))
     return judgments.withColumns(
         {
             "score_am": resolved_am,

@@ -6,7 +6,7 @@ and layer tables then compute on the rounded cells.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rubrica.functions import scoring as S
 
@@ -121,8 +121,9 @@ def layer_comparison(scores: DataFrame, all_models: bool = True) -> DataFrame:
         *aggs, F.count_if(compared).alias("_compared")
     )
     if all_models:
-        total = out.select(F.coalesce(F.sum("_compared"), F.lit(0)).alias("t")).scalar()
-        out = out.filter((F.col("_compared") > 0) | (total == 0))
+        # One row per model by now, so the whole-table window is small.
+        out = out.withColumn("_any", F.sum("_compared").over(W.partitionBy()))
+        out = out.filter("_compared > 0 OR _any = 0").drop("_any")
     else:
         out = out.filter("_compared > 0")
     for m in ("am", "gm"):
@@ -203,18 +204,21 @@ def filter_rates(
     if gen_log is None and counts is None:
         raise ValueError("need a generation log or coverage counts")
     zero = F.lit(0).cast("bigint")
-    base = None
-    if gen_log is not None:
+    if gen_log is None:
+        base = counts.select("model", zero.alias("filtered"), zero.alias("errored"), "n_covered")
+    else:
         base = gen_log.groupBy("model").agg(
             F.count_if(F.col("status") == S.FILTERED).alias("filtered"),
             F.count_if(F.col("status") == S.ERROR).alias("errored"),
         )
-    if counts is not None:
-        bare = counts.select("model", zero.alias("filtered"), zero.alias("errored"))
-        # Used only when the log has no row; the check is a one-row subquery.
-        base = bare if base is None else base.unionByName(bare.filter(~gen_log.exists()))
+        if counts is not None:
+            # Models of the counts alone stay only when the log has no row at all.
+            base = base.join(counts, "model", "full").filter(
+                F.col("filtered").isNotNull() | ~gen_log.exists()
+            )
+            base = base.fillna(0, ["filtered", "errored", "n_covered"])
     if counts is not None and total is not None:
-        base = coverage_lookup(base, counts).withColumn("n_total", total)
+        base = base.withColumn("n_total", total)
         base = base.withColumn(
             "uncovered", F.greatest(F.col("n_total") - F.col("n_covered"), zero)
         ).withColumn(
@@ -264,15 +268,10 @@ def summary_stats(scores: DataFrame) -> DataFrame:
     """One row: sizes and overall means of the merged score table."""
     return scores.agg(
         F.count_distinct("model").alias("n_models"),
+        F.count_distinct("prompt_id").alias("n_prompts_judged"),
         F.count(F.lit(1)).alias("n_total_judgments"),
         S.round4(F.avg("score_am")).alias("mean_score_am_overall"),
         S.round4(F.avg("score_gm")).alias("mean_score_gm_overall"),
-    ).select(
-        "n_models",
-        scores.agg(F.count_distinct("prompt_id").alias("n")).scalar().alias("n_prompts_judged"),
-        "n_total_judgments",
-        "mean_score_am_overall",
-        "mean_score_gm_overall",
     )
 
 

@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Hand out the rows of a scan that has fewer tasks than the session has cores.
+
+    Tables of many files or row groups come through as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 # Judgments -----------------------------------------------------------------------------------
 
 RECORD_ID = (
@@ -66,7 +75,7 @@ def _duck(columns: list[str]) -> str:
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judgment records with nested answers, as a judge would have written them."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr(*_RECORD_COLUMNS)
+    rows = spread(table(spark, sf_dir, "lineitem")).selectExpr(*_RECORD_COLUMNS)
     return rows.withColumn(
         "answers",
         F.expr(
@@ -286,7 +295,7 @@ _EDIT_COLUMNS = [
 
 
 def edit_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").selectExpr(*_EDIT_COLUMNS)
+    rows = spread(table(spark, sf_dir, "documents")).selectExpr(*_EDIT_COLUMNS)
     atoms = F.expr(
         """transform(sequence(1, cast(1 + doc_id % 11 AS int)), i -> named_struct(
              'q_id', concat('q', i), 'question', concat('Question ', i, '?'),
