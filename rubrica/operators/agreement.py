@@ -128,34 +128,28 @@ def cohen_kappa(
 
     The confusion table is aggregated first; everything after it has labels x labels rows.
     """
-    n = F.sum(weight) if weight else F.count(F.lit(1))
-    cells = pairs.groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(n.alias("n"))
-    sides = (
-        cells.select(*by, F.col("a").alias("label"), "n", F.lit(1).alias("first"))
-        .unionByName(cells.select(*by, F.col("b").alias("label"), "n", F.lit(0).alias("first")))
+    count = F.sum(weight) if weight else F.count(F.lit(1))
+    cells = pairs.groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(count.alias("n"))
+    n, zero = F.col("n"), F.lit(0).cast("bigint")
+    agreed = F.when(F.col("a") == F.col("b"), n).otherwise(zero)
+    first = F.struct(F.col("a").alias("label"), n.alias("na"), zero.alias("nb"), agreed.alias("same"))
+    second = F.struct(F.col("b").alias("label"), zero.alias("na"), n.alias("nb"), zero.alias("same"))
+    totals = (
+        cells.select(*by, F.inline(F.array(first, second)))
         .groupBy(*by, "label")
-        .agg(
-            F.sum(F.when(F.col("first") == 1, F.col("n")).otherwise(0)).alias("na"),
-            F.sum(F.when(F.col("first") == 0, F.col("n")).otherwise(0)).alias("nb"),
-        )
+        .agg(*[F.sum(c).alias(c) for c in ("na", "nb", "same")])
         .groupBy(*by)
         .agg(
             F.sum(F.col("na").cast("double") * F.col("nb")).alias("cross"),
             F.sum("na").alias("n_pairs"),
-            F.lit(1).alias("one"),
+            F.sum("same").alias("same"),
         )
+        .filter("n_pairs > 0")
     )
-    same = cells.groupBy(*by).agg(
-        F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("agreed"),
-        F.lit(1).alias("one"),
-    )
-    po = F.col("agreed") / F.col("n_pairs")
+    po = F.col("same") / F.col("n_pairs")
     pe = F.col("cross") / (F.col("n_pairs").cast("double") * F.col("n_pairs"))
-    return (
-        sides.join(same, [*by, "one"])
-        .filter("n_pairs > 0")
-        .select(*by, "n_pairs", po.alias("po"), pe.alias("pe"))
-        .withColumn("kappa", F.try_divide(F.col("po") - F.col("pe"), 1.0 - F.col("pe")))
+    return totals.select(*by, "n_pairs", po.alias("po"), pe.alias("pe")).withColumn(
+        "kappa", F.try_divide(F.col("po") - F.col("pe"), 1.0 - F.col("pe"))
     )
 
 

@@ -22,16 +22,9 @@ PRUNED_LIMIT = 1000
 BUCKET_CHARS = 4
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Join condition that also matches NULL keys. ``right`` names its keys ``_key_<name>``."""
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(right[f"_key_{k}"])
-    return condition
-
-
-def _rename_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+def _cell(keys: list[str]) -> Column:
+    """Keys as one struct: it matches NULL fields too, and join and window share its shuffle."""
+    return F.struct(*keys)
 
 
 def _plain(order: list[Column | str]) -> list[Column]:
@@ -64,7 +57,7 @@ def _bucket_offsets(hashed: DataFrame, keys: list[str]) -> DataFrame:
     earlier = cell.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     return sizes.select(
         *keys,
-        "_bucket",
+        _cell([*keys, "_bucket"]).alias("_cell"),
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_rows").over(cell).alias("_group_rows"),
     )
@@ -79,11 +72,11 @@ def hash_rank(
     ``ids`` must be unique within a group.
     """
     hashed = _hashed(df, ids, seed)
-    offsets = _rename_keys(_bucket_offsets(hashed, keys), [*keys, "_bucket"])
-    joined = hashed.join(offsets, null_safe(hashed, offsets, [*keys, "_bucket"]), "inner")
-    bucket = W.partitionBy(*keys, "_bucket").orderBy("_hash", *ids)
+    offsets = _bucket_offsets(hashed, keys).select("_cell", "_before", "_group_rows")
+    joined = hashed.withColumn("_cell", _cell([*keys, "_bucket"])).join(offsets, "_cell")
+    bucket = W.partitionBy("_cell").orderBy("_hash", *ids)
     return joined.select(
-        *[F.col(c) for c in df.columns],
+        *df.columns,
         (F.col("_before") + F.row_number().over(bucket)).alias(rank),
         F.col("_group_rows").alias(group_rows),
     )
@@ -101,9 +94,9 @@ def lowest_hashes(
     hashed = _hashed(df, ids, seed)
     offsets = _bucket_offsets(hashed, keys).withColumnRenamed("_group_rows", "group_rows")
     offsets = offsets.withColumn("_quota", quota.cast("bigint")).filter("_before < _quota")
-    offsets = _rename_keys(offsets.drop("group_rows"), [*keys, "_bucket"])
-    joined = hashed.join(offsets, null_safe(hashed, offsets, [*keys, "_bucket"]), "inner")
-    bucket = W.partitionBy(*keys, "_bucket").orderBy("_hash", *ids)
+    offsets = offsets.select("_cell", "_before", "_quota")
+    joined = hashed.withColumn("_cell", _cell([*keys, "_bucket"])).join(offsets, "_cell")
+    bucket = W.partitionBy("_cell").orderBy("_hash", *ids)
     ranked = joined.withColumn(rank, F.col("_before") + F.row_number().over(bucket))
     return ranked.filter(F.col(rank) <= F.col("_quota")).select(*df.columns, rank)
 
@@ -126,12 +119,12 @@ def rank_within(
     cut = ordered_blocks(df, [*keys, *order], blocks)
     sizes = cut.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    cell = _cell([*keys, "_block"]).alias("_cell")
     offsets = sizes.select(
-        *keys, "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
+        cell, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
     )
-    offsets = _rename_keys(offsets, [*keys, "_block"])
-    joined = cut.join(offsets, null_safe(cut, offsets, [*keys, "_block"]), "inner")
-    inside = W.partitionBy(*keys, "_block").orderBy(*_plain(order))
+    joined = cut.select("*", cell).join(offsets, "_cell")
+    inside = W.partitionBy("_cell").orderBy(*_plain(order))
     return joined.select(
         *df.columns, (F.col("_before") + F.row_number().over(inside)).alias(rank)
     )
