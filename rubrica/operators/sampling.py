@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from rubrica.functions import text as X
-from rubrica.operators.ranking import hash_order, hash_rank, lowest_hashes, top_n
+from rubrica.operators.ranking import hash_order, hash_rank, lowest_hashes, salted_join, top_n
 
 # Target shares of the image groups, and the group that takes the remainder.
 TARGET_SHARES = {"person": 0.40, "object": 0.30, "scene": 0.20, "style": 0.10}
@@ -57,17 +57,17 @@ def stratified_sample(df: DataFrame, text: str, ids: list[str], n: int, seed: in
 
     Ranks by (length, hash): lengths are counted and accumulated (one row per length), and a
     row's place within its length comes from ``hash_rank``. With n or fewer rows, all stay.
+    Only ids and lengths are shuffled; the picked ids fetch their rows at the end.
     """
-    sized = df.withColumn("_len", F.length(text))
+    sized = df.select(*ids, F.length(text).alias("_len"))
     lengths = sized.groupBy("_len").agg(F.count(F.lit(1)).alias("_c"))
-    total = F.sum("_c").over(W.partitionBy())
     starts = lengths.select(
-        F.col("_len").alias("_l"),
+        "_len",
         (F.sum("_c").over(W.orderBy("_len")) - F.col("_c")).alias("_start"),
-        total.alias("_total"),
+        F.sum("_c").over(W.partitionBy()).alias("_total"),
     )
     placed = hash_rank(sized, ["_len"], ids, seed, rank="_place", group_rows="_same")
-    placed = placed.join(starts, placed["_len"] == starts["_l"], "inner")
+    placed = salted_join(placed, starts, ["_len"], ids)
     rank = F.col("_start") + F.col("_place")
     third = F.floor(F.col("_total") / 3)
     stratum = F.when(rank <= third, 0).when(rank <= 2 * third, 1).otherwise(2)
@@ -75,9 +75,9 @@ def stratified_sample(df: DataFrame, text: str, ids: list[str], n: int, seed: in
     quota = F.when(F.col("_all"), F.col("group_rows")).otherwise(
         F.when(F.col("stratum") == 2, n - 2 * share).otherwise(share)
     )
-    labelled = placed.withColumn("stratum", stratum).withColumn("_all", F.col("_total") <= n)
+    labelled = placed.select(*ids, stratum.alias("stratum"), (F.col("_total") <= n).alias("_all"))
     picked = lowest_hashes(labelled, ["stratum", "_all"], ids, quota, seed + 1)
-    return picked.select(*df.columns, "stratum")
+    return df.join(picked.select(*ids, "stratum"), ids)
 
 
 def annotation_sample(
