@@ -4,8 +4,8 @@ A plain window sends a whole group to one task. Three ways around that are used
 
 * ``top_n``: small n, so Spark cuts every group to n rows before the shuffle.
 * ``hash_rank`` / ``lowest_hashes``: random order. A hash of the row id spreads a group over
-  65,536 buckets; bucket sizes are counted first (a map-side count), their running sum gives
-  each bucket its first rank, and only single buckets are ever sorted.
+  256 to 65,536 buckets; bucket sizes are counted first (a map-side count), their running sum
+  gives each bucket its first rank, and only single buckets are ever sorted.
 * ``rank_within`` / ``running_total``: any unique order. A range partitioning on the order
   itself cuts even a single huge group into even blocks; blocks are checkpointed because
   their borders come from a sample, and block totals are carried over as offsets.
@@ -19,7 +19,6 @@ from rubrica.session import durable
 
 # Above this n Spark no longer prunes groups before the shuffle.
 PRUNED_LIMIT = 1000
-BUCKET_CHARS = 4
 
 
 def _cell(keys: list[str]) -> Column:
@@ -47,8 +46,13 @@ def hash_order(ids: list[str], seed: int) -> Column:
 
 
 def _hashed(df: DataFrame, ids: list[str], seed: int) -> DataFrame:
+    """Rows with hash and bucket. A group gets at least 16 buckets per shuffle task, so a hot one
+    spreads evenly; more would only lengthen the table of bucket sizes. Ranks do not depend on it.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chars = 2 if tasks <= 16 else 3 if tasks <= 256 else 4
     h = df.withColumn("_hash", hash_order(ids, seed))
-    return h.withColumn("_bucket", F.substring("_hash", 1, BUCKET_CHARS))
+    return h.withColumn("_bucket", F.substring("_hash", 1, chars))
 
 
 def _bucket_offsets(hashed: DataFrame, keys: list[str]) -> DataFrame:
