@@ -16,41 +16,41 @@ from rubrica.llm.base import text_key
 SPREAD = 4
 MIN_LINES = 2
 _KEY = ["_id", "_h"]
+_LEAST = -(2**63)
 
 
-def _ends(lines: str, spread: int) -> Column:
-    """1-based numbers of the lines that end a chunk; the last line always does.
-
-    The rolling value is taken from md5, 28 bits, so that any SQL engine can repeat it.
-    """
-
-    def value(i: Column) -> Column:
-        pair = F.concat_ws("\n", F.get(lines, i - 2), F.get(lines, i - 1))
-        return F.conv(F.substring(F.md5(pair), 1, 7), 16, 10).cast("bigint")
-
-    numbers = F.sequence(F.lit(1), F.size(lines))
-    return F.filter(numbers, lambda i: (i == F.size(lines)) | (value(i) % spread == 0))
+def _rank() -> Column:
+    """The id as a number by which NULL comes first."""
+    return F.coalesce("_id", F.lit(_LEAST))
 
 
 def chunked(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """All columns, and ``_chunks``: struct(lines, body) of every chunk of lines in order."""
+    """All columns, and ``_chunks``: the chunks of the text in order.
+
+    The rolling value is 28 bits of an md5, so that any SQL engine can repeat it. No line holds a
+    line feed, so a digit in front of each line (1 where a chunk begins) lets one split cut the
+    text in linear time.
+    """
     df = docs.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    df = df.withColumn("_ends", _ends("_lines", spread))
-    chunks = F.transform(
-        "_ends",
-        lambda e, j: F.struct(
-            (e - F.when(j > 0, F.get("_ends", j - 1)).otherwise(0)).alias("lines"),
-            F.array_join(
-                F.slice(
-                    "_lines",
-                    F.when(j > 0, F.get("_ends", j - 1)).otherwise(0) + 1,
-                    e - F.when(j > 0, F.get("_ends", j - 1)).otherwise(0),
-                ),
-                "\n",
-            ).alias("body"),
+
+    def begins(i: Column) -> Column:
+        pair = F.concat_ws("\n", F.get("_lines", i - 2), F.get("_lines", i - 1))
+        value = F.conv(F.substring(F.md5(pair), 1, 7), 16, 10).cast("bigint")
+        return (i > 0) & (value % spread == 0)
+
+    marked = F.transform("_lines", lambda x, i: F.concat(F.when(begins(i), "1").otherwise("0"), x))
+    df = df.withColumn("_parts", F.split(F.array_join(marked, "\n"), "\n1"))
+    bodies = F.transform(
+        "_parts",
+        lambda p, j: F.replace(
+            F.when(j == 0, F.substring(p, 2, 2**31 - 1)).otherwise(p), F.lit("\n0"), F.lit("\n")
         ),
     )
-    return df.withColumn("_chunks", chunks).drop("_lines", "_ends")
+    return df.withColumn("_chunks", bodies).drop("_lines", "_parts")
+
+
+def _line_count(body: str) -> Column:
+    return F.char_length(body) - F.char_length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
 
 
 def _occurrences(docs: DataFrame, spread: int, min_lines: int) -> DataFrame:
@@ -58,12 +58,11 @@ def _occurrences(docs: DataFrame, spread: int, min_lines: int) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").alias("_id"), text_key(F.coalesce("text", F.lit(""))).alias("_h"), "text"
     )
-    rows = chunked(rows, spread).select(*_KEY, F.posexplode("_chunks").alias("_at", "_chunk"))
-    rows = rows.filter((F.col("_chunk.lines") >= min_lines) & (F.trim("_chunk.body") != ""))
-    return rows.select(
-        *_KEY, "_at", F.xxhash64("_chunk.body").alias("_hash"), F.col("_chunk.lines").alias("_n"),
-        F.col("_chunk.body").alias("_body"),
-    )
+    # The outer form: for the inner one Catalyst would evaluate all chunks once more in a filter.
+    rows = chunked(rows, spread).select(*_KEY, F.posexplode_outer("_chunks").alias("_at", "_body"))
+    rows = rows.withColumn("_n", _line_count("_body"))
+    rows = rows.filter((F.col("_n") >= min_lines) & (F.trim("_body") != ""))
+    return rows.select(*_KEY, "_at", F.xxhash64("_body").alias("_hash"), "_n", "_body")
 
 
 def repeated_chunks(
@@ -75,20 +74,17 @@ def repeated_chunks(
     documents share is counted where it is read. Bodies are moved for repeated chunks alone.
     """
     found = _occurrences(docs, spread, min_lines)
-    # NULL ids sort first; a struct of plain numbers is smallest where the chunk comes first.
-    place = F.struct(F.coalesce("_id", F.lit(-(2**63))).alias("i"), "_h", "_at")
     counted = found.groupBy("_hash").agg(
-        F.count(F.lit(1)).alias("_copies"), F.min(place).alias("_first")
+        F.count(F.lit(1)).alias("_copies"), F.min(_rank()).alias("_first")
     )
     counted = counted.filter("_copies > 1").select("_hash", "_first")
     again = found.join(counted, "_hash")
-    is_first = F.struct(F.coalesce("_id", F.lit(-(2**63))).alias("i"), "_h", "_at") == F.col("_first")
-    keeper = again.filter(is_first).groupBy("_hash").agg(F.first("_body").alias("_kept"))
-    rest = again.filter(~is_first).drop("_copies")
-    same = rest.join(keeper, "_hash").filter(F.col("_body") == F.col("_kept"))
-    return same.select(
-        *_KEY, "_at", "_n", F.nullif(F.col("_first.i"), F.lit(-(2**63))).alias("_first_id")
-    )
+    head = again.filter(_rank() == F.col("_first")).groupBy("_hash")
+    keeper = head.agg(F.min(F.struct("_h", "_at", "_body")).alias("_kept"))
+    rest = again.join(keeper, "_hash")
+    is_kept = (_rank() == F.col("_first")) & (F.struct("_h", "_at") == F.struct("_kept._h", "_kept._at"))
+    same = rest.filter(~is_kept & (F.col("_body") == F.col("_kept._body")))
+    return same.select(*_KEY, "_at", "_n", F.nullif("_first", F.lit(_LEAST)).alias("_first_id"))
 
 
 def dedup_lines(docs: DataFrame, spread: int = SPREAD, min_lines: int = MIN_LINES) -> DataFrame:
@@ -110,11 +106,9 @@ def dedup_lines(docs: DataFrame, spread: int = SPREAD, min_lines: int = MIN_LINE
     )
     joined = chunked(rows.join(cuts, ["_k", "_z", "_h"], "left"), spread)
     places = F.transform("_cut", lambda c: c["_at"])
-    left = F.filter("_chunks", lambda c, j: ~F.array_contains("_places", j))
     joined = joined.withColumn("_places", places)
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(left, lambda c: c["body"]), "\n")
-    )
+    left = F.filter("_chunks", lambda c, j: ~F.array_contains("_places", j))
+    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], "_cut")
 
 
