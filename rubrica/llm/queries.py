@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rubrica.llm import exact, fingerprint, lines, packing, pieces, private, quality, tokens
+from rubrica.llm import exact, fingerprint, forest, lines, packing, pieces, private, quality, tokens
 from rubrica.llm.base import read_documents
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -22,6 +22,10 @@ def op3_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.private_report(read_documents(spark, sf_dir))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_dedup(read_documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read_documents(spark, sf_dir), public_tokenizers.path(PIECE_BPE))
 
@@ -50,7 +54,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_fingerprints, op3_private, op5_token_counts, op6_quality, op7_packing, op8_exact_dedup,
+        op2_fingerprints, op3_private, op4_near_dedup, op5_token_counts, op6_quality, op7_packing, op8_exact_dedup,
         op9_line_dedup, op10_pieces,
     )
 }
