@@ -118,19 +118,25 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def shingles_in_order(words: np.ndarray) -> np.ndarray:
+    """Hashes of all five-word shingles of a text of five words or more, in their order."""
+    m = len(words) - SHINGLE_WORDS + 1
+    with np.errstate(over="ignore"):
+        total = words[:m] * _PLACES[0]
+        for j in range(1, SHINGLE_WORDS):
+            total += words[j : j + m] * _PLACES[j]
+    return mix(total)
+
+
 def shingles(words: np.ndarray) -> np.ndarray:
     """The sorted distinct five-word shingles; fewer words make one shingle, none make none."""
     n = len(words)
     if n == 0:
         return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        if n < SHINGLE_WORDS:
+    if n < SHINGLE_WORDS:
+        with np.errstate(over="ignore"):
             return mix((words * _PLACES[:n]).sum(keepdims=True) + np.uint64(n))
-        m = n - SHINGLE_WORDS + 1
-        total = words[:m] * _PLACES[0]
-        for j in range(1, SHINGLE_WORDS):
-            total += words[j : j + m] * _PLACES[j]
-    return np.unique(mix(total))
+    return np.unique(shingles_in_order(words))
 
 
 class MinHash:

@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rubrica.llm import exact, fingerprint, forest, lines, packing, pieces, private, quality, tokens
+from rubrica.llm import exact, fingerprint, forest, lines, packing, passages, pieces, private, quality, tokens
 from rubrica.llm.base import read_documents
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read_documents(spark, sf_dir))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(read_documents(spark, sf_dir))
 
@@ -54,7 +58,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_fingerprints, op3_private, op4_near_dedup, op5_token_counts, op6_quality, op7_packing, op8_exact_dedup,
+        op1_passages, op2_fingerprints, op3_private, op4_near_dedup, op5_token_counts, op6_quality, op7_packing, op8_exact_dedup,
         op9_line_dedup, op10_pieces,
     )
 }
