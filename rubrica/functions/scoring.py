@@ -180,12 +180,12 @@ def cap_dimensions(instruction: Column, other: Column) -> Column:
 
 
 def display(score: Column, digits: int = 3) -> Column:
-    """Fixed decimals of the exact binary value, ties to even; for values below 1,000."""
-    return F.format_number(score, digits)
+    """Fixed decimals of the exact binary value, ties to even, without grouping of thousands."""
+    return F.replace(F.format_number(score, digits), F.lit(","), F.lit(""))
 
 
 def exact_round(c: Column, digits: int) -> Column:
-    """Rounding of the exact binary value, ties to even; for values below 1,000."""
+    """Rounding of the exact binary value, ties to even."""
     return display(c, digits).cast("double")
 
 

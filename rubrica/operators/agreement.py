@@ -8,7 +8,7 @@ from rubrica.functions import scoring as S
 from rubrica.operators.ranking import salted_join
 
 TARGET_KAPPA = 0.6
-DEFAULT_ANNOTATOR = "dani"
+DEFAULT_ANNOTATOR = "unknown"
 RECORD_LABELS = 1_000
 
 

@@ -18,14 +18,17 @@ def cost_ledger(
     ``may_start`` says whether the total before the row was under the cap.
     """
     alert_line = cap * alert_at
-    before = F.col("running_total") - F.coalesce(F.col("amount"), F.lit(0.0))
-    return running_total(costs, "amount", order, total="running_total").withColumns(
+    ledger = running_total(costs, "amount", order, total="running_total", before="_earlier")
+    place = F.struct(*order)
+    # One value: a total that falls below the line and rises again alerts once all the same.
+    first = ledger.filter(F.col("running_total") >= alert_line).agg(F.min(place)).scalar()
+    return ledger.withColumns(
         {
-            "alert": (F.col("running_total") >= alert_line) & (before < alert_line),
+            "alert": F.coalesce(place == first, F.lit(False)),
             "under_cap": F.col("running_total") < cap,
-            "may_start": before < cap,
+            "may_start": F.col("_earlier") < cap,
         }
-    )
+    ).drop("_earlier")
 
 
 def cost_summary(costs: DataFrame) -> DataFrame:

@@ -156,20 +156,25 @@ def warning_stats(prompts: DataFrame, warnings: DataFrame) -> DataFrame:
 def coverage_matrix(prompts: DataFrame) -> DataFrame:
     """category x difficulty counts with row totals and a TOTAL row.
 
-    Prompts are counted once per cell; the totals come from the counted cells.
+    A prompt without a category counts under '???'. Row totals add the three difficulties, the
+    grand total every difficulty that occurs. ``is_total`` marks the TOTAL row.
     """
-    cells = prompts.groupBy("category", "difficulty").agg(F.count(F.lit(1)).alias("n"))
+    named = prompts.withColumn("category", F.coalesce("category", F.lit("???")))
+    cells = named.groupBy("category", "difficulty").agg(F.count(F.lit(1)).alias("n"))
     by_difficulty = [
         F.coalesce(F.sum(F.when(F.col("difficulty") == d, F.col("n"))), F.lit(0)).alias(d)
         for d in DIFFICULTIES
     ]
     return (
         cells.rollup("category")
-        .agg(*by_difficulty, F.grouping("category").alias("_all"))
+        .agg(*by_difficulty, F.sum("n").alias("_n"), F.grouping("category").alias("_all"))
         .select(
             F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col("category")).alias("category"),
             *DIFFICULTIES,
-            (F.col("easy") + F.col("medium") + F.col("hard")).alias("total"),
+            F.when(F.col("_all") == 1, F.coalesce("_n", F.lit(0)))
+            .otherwise(F.col("easy") + F.col("medium") + F.col("hard"))
+            .alias("total"),
+            (F.col("_all") == 1).alias("is_total"),
         )
     )
 
@@ -180,7 +185,7 @@ def coverage_gaps(matrix: DataFrame, min_per_cell: int = 3) -> DataFrame:
         *[F.struct(F.lit(d).alias("difficulty"), F.col(d).alias("n")) for d in DIFFICULTIES]
     )
     return (
-        matrix.filter("category <> 'TOTAL'")
+        matrix.filter("NOT is_total")
         .select("category", F.explode(cells).alias("_c"))
         .select("category", F.col("_c")["difficulty"].alias("difficulty"), F.col("_c")["n"].alias("n"))
         .filter(F.col("n") < min_per_cell)

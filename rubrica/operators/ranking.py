@@ -136,9 +136,9 @@ def rank_within(
 
 def running_total(
     df: DataFrame, value: str, order: list[Column | str], total: str = "running",
-    blocks: int | None = None,
+    blocks: int | None = None, before: str | None = None,
 ) -> DataFrame:
-    """Running sum of the whole table in a total order."""
+    """Running sum of the whole table in a total order; ``before`` names the sum without the row."""
     cut = ordered_blocks(df, order, blocks)
     sums = cut.groupBy("_block").agg(F.sum(value).alias("_sum"))
     earlier = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
@@ -149,9 +149,14 @@ def running_total(
     inside = (
         W.partitionBy("_block").orderBy(*_plain(order)).rowsBetween(W.unboundedPreceding, 0)
     )
+    earlier = inside.rowsBetween(W.unboundedPreceding, -1)
+    sums = {total: inside} | ({before: earlier} if before else {})
     return cut.join(F.broadcast(offsets), "_block").select(
         *df.columns,
-        (F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0.0))).alias(total),
+        *[
+            (F.col("_before") + F.coalesce(F.sum(value).over(w), F.lit(0.0))).alias(name)
+            for name, w in sums.items()
+        ],
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from rubrica.functions import scoring as S
 from rubrica.operators.ranking import salted_join
 
-ITEM = ("model", "category", "source_id")
+ITEM = ("model", "category", "subcategory", "source_id")
 
 # Category order of the printed table.
 CATEGORIES = ["causal", "numerical", "logical", "compositional", "commonsense", "concept_mixing"]
@@ -16,9 +16,11 @@ CATEGORIES = ["causal", "numerical", "logical", "compositional", "commonsense",
 def answered_questions(questions: DataFrame, replies: DataFrame) -> DataFrame:
     """Questions of an item with the score its reply gives them, NULL when it gives none.
 
-    ``replies`` has one row per (model, item) with ``scores`` as a map by question id.
+    ``replies`` has one row per (model, item) with ``scores`` as a map by question id; a reply that
+    was not parsed (NULL) leaves its item out. Ids are unique inside one sub-category only.
     """
-    joined = replies.join(questions, ["category", "source_id"], "inner")
+    parsed = replies.filter("scores IS NOT NULL")
+    joined = parsed.join(questions, ["category", "subcategory", "source_id"], "inner")
     return joined.withColumn("score", F.try_element_at("scores", F.col("id"))).drop("scores")
 
 

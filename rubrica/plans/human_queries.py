@@ -138,7 +138,7 @@ def export_annotation_sheet(spark, d):
 @query(
     "import_annotation_sheet",
     f"""WITH {b.ATOMS}, {_LABELS}, one AS (SELECT DISTINCT prompt_id, model, q_id, human_answer FROM cleaned)
-        SELECT prompt_id, model, 'dani' AS annotator, q_id, human_answer FROM one""",
+        SELECT prompt_id, model, 'unknown' AS annotator, q_id, human_answer FROM one""",
 )
 def import_annotation_sheet(spark, d):
     """Cleaned labels regrouped into records and read back to rows."""

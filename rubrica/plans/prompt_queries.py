@@ -224,8 +224,9 @@ def warning_stats(spark, d):
 
 _MATRIX = f"""{b.EDIT_PROMPTS}, matrix AS (SELECT CASE WHEN grouping(category) = 1 THEN 'TOTAL' ELSE category END AS category,
     count(*) FILTER (WHERE difficulty = 'easy') AS easy, count(*) FILTER (WHERE difficulty = 'medium') AS medium,
-    count(*) FILTER (WHERE difficulty = 'hard') AS hard, count(*) FILTER (WHERE difficulty <> 'odd') AS total
-    FROM ep GROUP BY ROLLUP (category))"""
+    count(*) FILTER (WHERE difficulty = 'hard') AS hard, CASE WHEN grouping(category) = 1 THEN count(*)
+      ELSE count(*) FILTER (WHERE difficulty IN ('easy', 'medium', 'hard')) END AS total, grouping(category) = 1 AS is_total
+    FROM (SELECT coalesce(category, '???') AS category, difficulty FROM ep) GROUP BY ROLLUP (category))"""
 
 
 @query("coverage_matrix", f"WITH {_MATRIX} SELECT * FROM matrix")
@@ -235,7 +236,7 @@ def coverage_matrix(spark, d):
 
 @query(
     "coverage_gaps",
-    f"""WITH {_MATRIX}, c AS (UNPIVOT (SELECT category, easy, medium, hard FROM matrix WHERE category <> 'TOTAL')
+    f"""WITH {_MATRIX}, c AS (UNPIVOT (SELECT category, easy, medium, hard FROM matrix WHERE NOT is_total)
           ON easy, medium, hard INTO NAME difficulty VALUE n) SELECT category, difficulty, n FROM c WHERE n < 40""",
 )
 def coverage_gaps(spark, d):

@@ -265,9 +265,11 @@ CAP = 5_000.0
 
 @query(
     "cost_ledger",
-    f"""WITH {b.LOG}, r AS (SELECT event_id, amount, sum(amount) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS t FROM log)
-        SELECT event_id, round_even(t, 4) AS running_total, t >= {CAP * 0.8} AND t - amount < {CAP * 0.8} AS alert,
-          t < {CAP} AS under_cap, t - amount < {CAP} AS may_start FROM r""",
+    f"""WITH {b.LOG}, r AS (SELECT event_id, ts, amount, sum(amount) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS t FROM log)
+        SELECT event_id, round_even(t, 4) AS running_total, t < {CAP} AS under_cap,
+          t >= {CAP * 0.8} AND NOT coalesce(bool_or(t >= {CAP * 0.8}) OVER earlier, false) AS alert,
+          coalesce(last_value(t) OVER earlier, 0) < {CAP} AS may_start FROM r
+        WINDOW earlier AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
 def cost_ledger(spark, d):
     ledger = C.cost_ledger(b.log(spark, d), CAP, ["ts", "event_id"])
@@ -369,19 +371,19 @@ def join_turns(spark, d):
 
 # Weighted scores -------------------------------------------------------------------------------
 
-_WEIGHTED = """w AS (SELECT concat('model_', l_suppkey % 5) AS model, p_brand AS category, l_orderkey AS source_id,
+_WEIGHTED = """w AS (SELECT concat('model_', l_suppkey % 5) AS model, p_brand AS category, l_returnflag AS subcategory, l_orderkey AS source_id,
     l_quantity AS weight, CASE WHEN l_tax < 0.08 THEN (l_linenumber % 3) * 0.5e0 END AS score
     FROM lineitem JOIN part ON l_partkey = p_partkey),
-  items AS (SELECT model, category, source_id, printf('%.2f', coalesce(sum(weight * score) /
+  items AS (SELECT model, category, subcategory, source_id, printf('%.2f', coalesce(sum(weight * score) /
     sum(weight) FILTER (WHERE score IS NOT NULL), 0))::DOUBLE AS score, count(score) AS n_answered
-    FROM w GROUP BY model, category, source_id)"""
+    FROM w GROUP BY model, category, subcategory, source_id)"""
 
 
 def _items(spark, d):
     brand = b.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     rows = b.table(spark, d, "lineitem").join(brand, "l_partkey").selectExpr(
-        "concat('model_', l_suppkey % 5) AS model", "p_brand AS category", "l_orderkey AS source_id",
-        "l_quantity AS weight", "CASE WHEN l_tax < 0.08 THEN (l_linenumber % 3) * 0.5D END AS score",
+        "concat('model_', l_suppkey % 5) AS model", "p_brand AS category", "l_returnflag AS subcategory",
+        "l_orderkey AS source_id", "l_quantity AS weight", "CASE WHEN l_tax < 0.08 THEN (l_linenumber % 3) * 0.5D END AS score",
     )
     return G.weighted_score(rows)
 
@@ -399,14 +401,20 @@ def category_scores(spark, d):
     return G.category_scores(_items(spark, d))
 
 
+_BRANDS = [f"Brand#{k}" for k in range(1, 26)]
+_BRAND_COLUMNS = ", ".join(
+    f"""coalesce(max(printf('%.2f', a)) FILTER (WHERE category = '{c}'), '---') AS "{c}" """
+    for c in [*_BRANDS, "none"]
+)
+
+
 @query(
     "category_table",
     f"""WITH {_WEIGHTED}, c AS (SELECT model, category, printf('%.2f', sum(score::DECIMAL(18,2))::DOUBLE / count(score))::DOUBLE AS a FROM items GROUP BY ALL)
-        SELECT model, coalesce(max(printf('%.2f', a)) FILTER (WHERE category = 'Brand#1'), '---') AS "Brand#1",
-          coalesce(max(printf('%.2f', a)) FILTER (WHERE category = 'none'), '---') AS "none" FROM c GROUP BY model""",
+        SELECT model, {_BRAND_COLUMNS} FROM c GROUP BY model""",
 )
 def category_table(spark, d):
-    return G.category_table(G.category_scores(_items(spark, d)), ["Brand#1", "none"])
+    return G.category_table(G.category_scores(_items(spark, d)), [*_BRANDS, "none"])
 
 
 @query(
@@ -418,17 +426,17 @@ def category_table(spark, d):
 def answered_questions(spark, d):
     """Fenced replies, one per order, scored against the questions of that order."""
     replies = b.table(spark, d, "orders").selectExpr(
-        "concat('model_', o_custkey % 5) AS model", "'c' AS category", "o_orderkey AS source_id",
+        "concat('model_', o_custkey % 5) AS model", "'c' AS category", "'s' AS subcategory", "o_orderkey AS source_id",
         r"""concat('Sure!\n```json\n{"1": 0.5, \n"2": ', (o_orderkey % 3) * 0.5D, '}\n```') AS reply""",
     )
     replies = replies.select(
-        "model", "category", "source_id", X.fenced_scores(F.col("reply")).alias("scores")
+        "model", "category", "subcategory", "source_id", X.fenced_scores(F.col("reply")).alias("scores")
     )
     questions = b.table(spark, d, "lineitem").selectExpr(
-        "'c' AS category", "l_orderkey AS source_id", "cast(l_linenumber AS string) AS id",
+        "'c' AS category", "'s' AS subcategory", "l_orderkey AS source_id", "cast(l_linenumber AS string) AS id",
         "l_partkey", "l_suppkey", "l_quantity AS weight",
     )
-    return G.answered_questions(questions, replies).drop("category")
+    return G.answered_questions(questions, replies).drop("category", "subcategory")
 
 
 @query(

@@ -28,7 +28,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a fixed schema. Blank lines are skipped, a broken line fails the job."""
     if not path_exists(spark, path):
         return _empty(spark, schema)
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return _numbers(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
+
+
+def _text_probability(kind: str) -> str:
+    """The schema of judgments with probabilities as text: some files quote them."""
+    schema = schemas.EDIT_JUDGMENT if kind == "edit" else schemas.JUDGMENT
+    return schema.replace("probability: DOUBLE", "probability: STRING")
+
+
+def _numbers(raw: DataFrame) -> DataFrame:
+    number = F.transform(
+        "answers", lambda a: a.withField("probability", a["probability"].try_cast("double"))
+    )
+    return raw.withColumn("answers", number)
 
 
 def read_judgments(spark: SparkSession, path: str, kind: str = "t2i") -> DataFrame:
@@ -37,7 +50,7 @@ def read_judgments(spark: SparkSession, path: str, kind: str = "t2i") -> DataFra
 
     For many or large models use ``read_judgment_table``: there a model is a folder of files.
     """
-    schema = schemas.EDIT_JUDGMENT if kind == "edit" else schemas.JUDGMENT
+    schema = _text_probability(kind)
     if not path_exists(spark, f"{path.rstrip('/')}/*.jsonl"):
         return _empty(spark, schema)
     raw = (
@@ -46,14 +59,15 @@ def read_judgments(spark: SparkSession, path: str, kind: str = "t2i") -> DataFra
         .option("pathGlobFilter", "*.jsonl")
         .json(path)
     )
-    stem = F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), r"^(.*)\.jsonl$", 1)
+    raw = _numbers(raw)
+    stem = F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))), r"^(.*)\.jsonl$", 1)
     return raw.withColumn("model", stem)
 
 
 def read_judgment_table(spark: SparkSession, path: str, kind: str = "t2i") -> DataFrame:
     """Judgments laid out as ``model=<name>/part-*.json``; a filter on model prunes folders."""
-    schema = schemas.EDIT_JUDGMENT if kind == "edit" else schemas.JUDGMENT
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    schema = _text_probability(kind)
+    return _numbers(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
 
 
 def read_prompts(spark: SparkSession, *paths: str, kind: str = "t2i") -> DataFrame:

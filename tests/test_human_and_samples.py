@@ -53,7 +53,7 @@ def test_sheet_round_trip(spark, tmp_path):
     back = readers.import_annotation_sheet(spark, str(tmp_path / "sheet"))
     assert [(r.q_id, r.human_answer, r.prompt_text) for r in back.collect()] == [("q1", "yes", 'say "hi",\nthen go')]
     record = H.label_records(back.drop("annotator")).first()
-    assert record.annotator == "dani" and record.human_answers[0].answer == "yes"
+    assert record.annotator == "unknown" and record.human_answers[0].answer == "yes"
     assert H.annotation_progress(sample, back).first().remaining == 0
 
 
@@ -206,7 +206,25 @@ def test_chains(spark):
 
 
 def test_weighted_score(spark):
-    rows = [("m", "c", 1, 2.0, 1.0), ("m", "c", 1, 1.0, 0.5), ("m", "c", 1, 1.0, None), ("m", "c", 2, 1.0, None)]
-    df = spark.createDataFrame(rows, "model string, category string, source_id int, weight double, score double")
-    got = {r.source_id: r.score for r in G.weighted_score(df).collect()}
-    assert got == {1: 0.83, 2: 0.0}
+    rows = [("m", "c", "s", 1, 2.0, 1.0), ("m", "c", "s", 1, 1.0, 0.5), ("m", "c", "s", 1, 1.0, None), ("m", "c", "s", 2, 1.0, None)]
+    rows += [("m", "c", "other", 1, 1.0, 5000.0)]
+    df = spark.createDataFrame(rows, "model string, category string, subcategory string, source_id int, weight double, score double")
+    got = {(r.subcategory, r.source_id): r.score for r in G.weighted_score(df).collect()}
+    assert got == {("s", 1): 0.83, ("s", 2): 0.0, ("other", 1): 5000.0}
+
+
+def test_one_alert_when_the_total_falls_and_rises(spark):
+    costs = spark.createDataFrame([(1, 9.0), (2, -3.0), (3, 4.0)], "t int, amount double")
+    rows = C.cost_ledger(costs, 10.0, ["t"]).orderBy("t").collect()
+    assert [r.alert for r in rows] == [True, False, False]
+    assert [r.may_start for r in rows] == [True, True, True]
+
+
+def test_unparsed_reply_leaves_its_item_out(spark):
+    questions = spark.createDataFrame([("c", "s", 1, "1", 1.0)], "category string, subcategory string, source_id int, id string, weight double")
+    replies = spark.createDataFrame(
+        [("m", "c", "s", 1, None), ("n", "c", "s", 1, {"1": 0.8}), ("n", "c", "t", 1, {"1": 0.1})],
+        "model string, category string, subcategory string, source_id int, scores map<string,double>",
+    )
+    got = G.weighted_score(G.answered_questions(questions, replies)).collect()
+    assert [(r.model, r.score) for r in got] == [("n", 0.8)]

@@ -197,3 +197,23 @@ def test_judge_errors_uncover(spark):
     out = J.judgment_scores(J.judge_atoms(raw), ("judgment",)).first()
     assert (out.n_atoms, out.n_failed_atoms) == (2, 1)
     assert out.score_am == pytest.approx(0.4524, abs=1e-4)
+
+
+def test_file_stem_and_quoted_probability(spark, tmp_path):
+    from rubrica.sources.readers import read_judgments
+
+    record = '{"prompt_id": "p", "answers": [{"q_id": "q1", "answer": "yes", "probability": "0.9"}, {"q_id": "q2", "probability": 0.4}]}'
+    (tmp_path / "sd+xl.jsonl").write_text(record + "\n")
+    row = read_judgments(spark, str(tmp_path)).first()
+    assert row.model == "sd+xl"
+    assert [a.probability for a in row.answers] == [0.9, 0.4]
+
+
+def test_coverage_totals(spark):
+    from rubrica.operators import quality as Q
+
+    rows = [("a", "easy"), ("a", "odd"), (None, "hard"), ("TOTAL", "easy")]
+    m = Q.coverage_matrix(spark.createDataFrame(rows, "category string, difficulty string"))
+    got = {(r.category, r.is_total): r.total for r in m.collect()}
+    assert got == {("a", False): 1, ("???", False): 1, ("TOTAL", False): 1, ("TOTAL", True): 4}
+    assert {r.category for r in Q.coverage_gaps(m, 1).collect()} == {"a", "???", "TOTAL"}
