@@ -1,33 +1,45 @@
-"""Bootstrap confidence intervals (percentile method).
+"""Bootstrap confidence intervals (percentile method), one method for tables of every size.
 
-Equal values are interchangeable in a resample, so values are counted first, map-side: scores
-with four decimals leave at most 10,001 distinct values per model, whatever the row count.
-
-* Few distinct values: exact multinomial resampling of the counts, one task per group.
-* More: Poisson bootstrap. A value seen c times gets one Poisson(c) draw per replicate (the sum
-  of c Poisson(1) draws), seeded by group and value so that a lost task repeats its draws.
-  Partial sums per replicate leave each batch, so a hot group spreads over all tasks.
+Poisson bootstrap: a row counts Poisson(1) times in each replicate. The count follows from the
+seed, the row's key and the replicate number by plain integer mixing, so the interval depends
+neither on partitioning nor on retries, and SQL can repeat it. Weights are drawn in numpy blocks
+of rows x replicates inside Arrow batches; a task passes on only its sums per group and replicate.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rubrica.functions import scoring as S
-from rubrica.session import durable
 
-EXACT_DISTINCT = 2_000
-REPLICATE_CHUNK = 256
+# A block of rows x replicates is worked on in the cache of one core.
+BLOCK_ROWS = 128
+BLOCK_REPLICATES = 1024
+# Groups whose sums a task holds before it passes them on.
+HELD_GROUPS = 64
+# Odd multipliers of the integer mixing, shared with its SQL form.
+MIX = 73244475
+STRIDE = 2654435761
+
 
+def poisson_steps() -> list[int]:
+    """P(w <= 0), P(w <= 1), ... of Poisson(1) on the scale of 32-bit integers, to its end."""
+    steps, total, k = [], 0.0, 0
+    while True:
+        total += math.exp(-1.0) / math.factorial(k)
+        step = math.ceil(total * 2.0**32)
+        if step >= 2**32:
+            return steps
+        steps.append(step)
+        k += 1
 
-def _seed_of(seed: int, *parts: object) -> int:
-    text = "|".join(repr(p) for p in (seed, *parts))
-    return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big")
+
+POISSON_STEPS = poisson_steps()
 
 
 def _log_scale(stat: str) -> bool:
@@ -36,244 +48,133 @@ def _log_scale(stat: str) -> bool:
     return stat == "gm"
 
 
-def _interval(stats: Column, log_scale: bool, ci: float) -> list[Column]:
-    alpha = (1.0 - ci) / 2.0
-    bounds = F.percentile(stats, F.array(F.lit(alpha), F.lit(1.0 - alpha)))
-    fix = F.exp if log_scale else (lambda c: c)
-    return [fix(bounds[0]).alias("ci_lower"), fix(bounds[1]).alias("ci_upper")]
+def row_halves(key: Column, seed: int) -> list[Column]:
+    """Two 32-bit integers from the md5 of seed and row key."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
+    return [
+        F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint").alias(name)
+        for at, name in ((1, "_a"), (9, "_b"))
+    ]
+
+
+def _scramble(x: np.ndarray) -> np.ndarray:
+    """Mix 32-bit integers in place."""
+    for _ in range(2):
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(MIX)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+def poisson_weights(a: np.ndarray, b: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """Weights (replicates x rows) of rows with the halves ``a`` and ``b``."""
+    u = (replicates * np.uint32(STRIDE))[:, None] ^ a
+    u = _scramble(u)
+    u ^= b
+    u = _scramble(u)
+    steps = np.array(POISSON_STEPS, np.uint32)
+    w = np.zeros(u.shape, np.uint8)
+    for step in steps[:4]:
+        w += u >= step
+    rare = np.flatnonzero(u >= steps[3])
+    w.flat[rare] = np.searchsorted(steps, u.flat[rare], side="right")
+    return w
+
+
+def _partial_sums(n_boot: int, columns: int) -> Callable:
+    """Sums of weight and weight x value per (group, replicate) over the rows of a task."""
+    fields = [pa.field("grp", pa.string()), pa.field("b", pa.int32())]
+    schema = pa.schema(fields + [pa.field(f"s{k}", pa.float64()) for k in range(columns)])
+    replicates = np.arange(n_boot, dtype=np.uint32)
+
+    def emit(sums: dict) -> pa.RecordBatch:
+        names = pa.array(list(sums), pa.string())
+        grp = names.take(pa.array(np.repeat(np.arange(len(sums)), n_boot)))
+        b = pa.array(np.tile(np.arange(n_boot, dtype=np.int32), len(sums)))
+        flat = np.concatenate(list(sums.values()))
+        values = [pa.array(np.ascontiguousarray(flat[:, k])) for k in range(columns)]
+        return pa.RecordBatch.from_arrays([grp, b, *values], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str | None, np.ndarray] = {}
+        for batch in batches:
+            members: dict[str | None, list[int]] = {}
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                members.setdefault(name, []).append(i)
+            a, b = (batch.column(k).to_numpy().astype(np.uint32) for k in (1, 2))
+            x = np.stack([batch.column(3 + k).to_numpy() for k in range(columns)], axis=1)
+            for name, rows in members.items():
+                if name not in sums and len(sums) == HELD_GROUPS:
+                    yield emit(sums)
+                    sums = {}
+                held = sums.setdefault(name, np.zeros((n_boot, columns)))
+                for at in range(0, len(rows), BLOCK_ROWS):
+                    some = rows[at : at + BLOCK_ROWS]
+                    for lo in range(0, n_boot, BLOCK_REPLICATES):
+                        hi = min(lo + BLOCK_REPLICATES, n_boot)
+                        w = poisson_weights(a[some], b[some], replicates[lo:hi])
+                        held[lo:hi] += w.astype(np.float64) @ x[some]
+        if sums:
+            yield emit(sums)
 
-
-def value_counts(df: DataFrame, group: str, measures: dict[str, tuple[str, str]]) -> DataFrame:
-    """(grp, measure, x, n): distinct values with their counts, on the log scale for the GM.
-
-    ``measures`` maps a name to (value column, stat); all are counted in one pass.
-    """
-    cells = []
-    for name, (value, stat) in measures.items():
-        v = F.col(value).cast("double")
-        x = F.ln(F.greatest(v, S.floor_probability())) if _log_scale(stat) else v
-        cells.append(
-            F.when(v.isNotNull(), F.struct(F.lit(name).alias("measure"), x.alias("x")))
-        )
-    return (
-        df.select(F.col(group).cast("string").alias("grp"), F.inline(F.array_compact(F.array(*cells))))
-        .groupBy("grp", "measure", "x")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return run
 
 
 def bootstrap_cis(
-    df: DataFrame, group: str, measures: dict[str, tuple[str, str]], n_boot: int = 10_000,
-    ci: float = 0.95, seed: int = 42, exact_distinct: int = EXACT_DISTINCT,
+    df: DataFrame, group: str, measures: dict[str, tuple[str, str]], key: str,
+    n_boot: int = 10_000, ci: float = 0.95, seed: int = 42,
 ) -> DataFrame:
-    """(group, measure, ci_lower, ci_upper) for several measures at once.
+    """group and {measure}_lower, {measure}_upper for several measures from one set of draws.
 
-    The counted values are checkpointed: they are small next to the rows, and are read by the
-    size count and by both kinds of resampling.
+    ``measures`` maps a name to (value column, "mean" or "gm"). ``key`` names a row within its
+    group; rows that share one are drawn together. NULL values do not take part; a group without
+    values has NULL bounds.
     """
-    counts = durable(value_counts(df, group, measures))
-    keys = ["grp", "measure"]
-    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_distinct"))
-    sized = counts.join(sizes, keys)
-
-    exact = sized.filter(F.col("n_distinct") <= exact_distinct).groupBy(*keys).applyInPandas(
-        _multinomial(n_boot, ci, seed),
-        "grp string, measure string, lower double, upper double",
-    )
+    cells, names = [], []
+    for name, (value, stat) in measures.items():
+        v = F.col(value).cast("double")
+        x = F.ln(F.greatest(v, S.floor_probability())) if _log_scale(stat) else v
+        cells += [
+            v.isNotNull().cast("double").alias(f"_n_{name}"),
+            F.coalesce(x, F.lit(0.0)).alias(f"_x_{name}"),
+        ]
+        names.append(name)
+    rows = df.select(F.col(group).cast("string").alias("grp"), *row_halves(F.col(key), seed), *cells)
     # Drawing is the work here, not the size of the rows, so the task count is set by hand.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partial = (
-        sized.filter(F.col("n_distinct") > exact_distinct)
-        .repartition(tasks, *keys, "x")
-        .mapInPandas(
-            _poisson_partials(n_boot, seed),
-            "grp string, measure string, b int, sw double, swx double",
-        )
-    )
-    replicates = (
-        partial.groupBy(*keys, "b")
-        .agg(F.sum("sw").alias("sw"), F.sum("swx").alias("swx"))
-        .filter("sw > 0")
-        .withColumn("stat", F.col("swx") / F.col("sw"))
-    )
-    alpha = (1.0 - ci) / 2.0
-    bounds = F.percentile("stat", F.array(F.lit(alpha), F.lit(1.0 - alpha)))
-    spread = replicates.groupBy(*keys).agg(bounds[0].alias("lower"), bounds[1].alias("upper"))
-    logged = F.col("measure").isin(*[m for m, (_, stat) in measures.items() if _log_scale(stat)])
-    out = exact.unionByName(spread)
-    return out.select(
-        F.col("grp").alias(group),
-        "measure",
+    rows = rows.repartition(tasks, "grp", "_a", "_b").sortWithinPartitions("grp")
+    sums = [f"s{k}" for k in range(len(cells))]
+    schema = ", ".join(["grp string", "b int", *[f"{s} double" for s in sums]])
+    partial = rows.mapInArrow(_partial_sums(n_boot, len(cells)), schema)
+    totals = partial.groupBy("grp", "b").agg(*[F.sum(s).alias(s) for s in sums])
+    stats = totals.select(
+        "grp",
         *[
-            F.when(logged, F.exp(c)).otherwise(F.col(c)).alias(f"ci_{c}")
-            for c in ("lower", "upper")
+            F.when(F.col(f"s{2 * k}") > 0, F.col(f"s{2 * k + 1}") / F.col(f"s{2 * k}")).alias(name)
+            for k, name in enumerate(names)
         ],
     )
+    alpha = (1.0 - ci) / 2.0
+    ends = F.array(F.lit(alpha), F.lit(1.0 - alpha))
+    bounds = stats.groupBy("grp").agg(*[F.percentile(name, ends).alias(name) for name in names])
+    out = []
+    for name, (_, stat) in measures.items():
+        for at, side in enumerate(("lower", "upper")):
+            bound = F.col(name)[at]
+            out.append((F.exp(bound) if _log_scale(stat) else bound).alias(f"{name}_{side}"))
+    return bounds.select(F.col("grp").alias(group), *out)
 
 
 def bootstrap_ci(
-    df: DataFrame, group: str, value: str, stat: str = "mean", n_boot: int = 10_000,
-    ci: float = 0.95, seed: int = 42, exact_distinct: int = EXACT_DISTINCT,
+    df: DataFrame, group: str, value: str, key: str, stat: str = "mean", n_boot: int = 10_000,
+    ci: float = 0.95, seed: int = 42,
 ) -> DataFrame:
     """(group, ci_lower, ci_upper) of the mean or the floored geometric mean."""
-    measures = {value: (value, stat)}
-    return bootstrap_cis(df, group, measures, n_boot, ci, seed, exact_distinct).drop("measure")
-
-
-def _multinomial(n_boot: int, ci: float, seed: int) -> Callable:
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        x, n = pdf["x"].to_numpy(), pdf["n"].to_numpy()
-        total = int(n.sum())
-        key = (pdf["grp"].iloc[0], pdf["measure"].iloc[0])
-        rng = np.random.default_rng(_seed_of(seed, *key))
-        stats = np.empty(n_boot)
-        for start in range(0, n_boot, REPLICATE_CHUNK):
-            size = min(REPLICATE_CHUNK, n_boot - start)
-            stats[start : start + size] = rng.multinomial(total, n / total, size=size) @ x / total
-        bounds = np.percentile(stats, [50 * (1 - ci), 100 - 50 * (1 - ci)])
-        return pd.DataFrame(
-            {"grp": [key[0]], "measure": [key[1]], "lower": [bounds[0]], "upper": [bounds[1]]}
-        )
-
-    return resample
-
-
-def _poisson_partials(n_boot: int, seed: int) -> Callable:
-    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[str, str], np.ndarray] = {}
-        for pdf in batches:
-            for grp, measure, x, n in zip(pdf["grp"], pdf["measure"], pdf["x"], pdf["n"]):
-                rng = np.random.default_rng(_seed_of(seed, grp, measure, float(x)))
-                draw = rng.poisson(n, n_boot)
-                acc = sums.setdefault((grp, measure), np.zeros((2, n_boot)))
-                acc[0] += draw
-                acc[1] += draw * x
-            # Each group holds two short arrays; let go of them when there are many groups.
-            if len(sums) > 64:
-                yield _emit(sums, n_boot)
-                sums = {}
-        if sums:
-            yield _emit(sums, n_boot)
-
-    return partials
-
-
-def _emit(sums: dict[tuple[str, str], np.ndarray], n_boot: int) -> pd.DataFrame:
-    return pd.DataFrame(
-        {
-            "grp": np.repeat([k[0] for k in sums], n_boot),
-            "measure": np.repeat([k[1] for k in sums], n_boot),
-            "b": np.tile(np.arange(n_boot, dtype="int32"), len(sums)),
-            "sw": np.concatenate([a[0] for a in sums.values()]),
-            "swx": np.concatenate([a[1] for a in sums.values()]),
-        }
-    )
+    return bootstrap_cis(df, group, {"ci": (value, stat)}, key, n_boot, ci, seed)
 
 
 def leaderboard_ci(scores: DataFrame, n_boot: int = 10_000, ci: float = 0.95, seed: int = 42) -> DataFrame:
     """Intervals of covered AM (mean) and covered GM (geometric mean of prompt GMs)."""
-    measures = {"am": ("score_am", "mean"), "gm": ("score_gm", "gm")}
-    rows = bootstrap_cis(scores.filter("covered"), "model", measures, n_boot, ci, seed)
-    return rows.groupBy("model").agg(
-        *[
-            S.round4(F.max(F.when(F.col("measure") == m, F.col(f"ci_{side}")))).alias(
-                f"{m}_ci_{side}"
-            )
-            for m in measures
-            for side in ("lower", "upper")
-        ]
-    )
-
-
-def mixed_hash(key: Column, b: Column, seed: int) -> Column:
-    """A 32-bit integer mix of (row key, replicate) from plain integer arithmetic."""
-    mask = F.lit(0xFFFFFFFF).cast("bigint")
-
-    def scramble(x: Column) -> Column:
-        return (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(0x45D9F3B).cast("bigint")).bitwiseAND(mask)
-
-    start = (key.cast("bigint") * F.lit(7919).cast("bigint") + F.lit(seed)).bitwiseAND(mask)
-    mixed = scramble(scramble(start)).bitwiseXOR(
-        (b.cast("bigint") * F.lit(2654435761).cast("bigint")).bitwiseAND(mask)
-    )
-    mixed = scramble(scramble(mixed))
-    return mixed.bitwiseXOR(F.shiftright(mixed, 16))
-
-
-# Cumulative Poisson(1) probabilities P(w <= 0), P(w <= 1), ...
-POISSON_STEPS = [
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-]
-
-
-def poisson_weight(key: Column, b: Column, seed: int) -> Column:
-    u = mixed_hash(key, b, seed) / F.lit(4294967296.0)
-    steps = [F.when(u >= p, 1).otherwise(0) for p in POISSON_STEPS]
-    out = steps[0]
-    for s in steps[1:]:
-        out = out + s
-    return out
-
-
-def bootstrap_ci_keyed(
-    df: DataFrame, group: str, value: str, key: str, stat: str = "mean", n_boot: int = 200,
-    ci: float = 0.95, seed: int = 42,
-) -> DataFrame:
-    """Poisson bootstrap whose weights follow from an integer row key: same rows, same interval
-    on any engine. Work is rows x n_boot, all of it before a partial aggregation that leaves
-    n_boot rows per group and task."""
-    log_scale = _log_scale(stat)
-    v = F.col(value).cast("double")
-    x = F.ln(F.greatest(v, S.floor_probability())) if log_scale else v
-    w = poisson_weight(F.col(key), F.col("b"), seed)
-    replicates = (
-        df.filter(v.isNotNull())
-        .select(group, key, x.alias("x"))
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-        .select(group, "b", "x", w.alias("w"))
-        .groupBy(group, "b")
-        .agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("x")).alias("swx"))
-        .filter("sw > 0")
-        .withColumn("stat", F.col("swx") / F.col("sw"))
-    )
-    return replicates.groupBy(group).agg(*_interval(F.col("stat"), log_scale, ci))
-
-
-def bootstrap_ci_custom(
-    df: DataFrame, group: str, value: str, order: str, stat_fn: Callable[[np.ndarray], float],
-    n_boot: int = 10_000, ci: float = 0.95, seed: int = 42, max_rows: int = 1_000_000,
-) -> DataFrame:
-    """Any statistic of a numpy array, resampled exactly, one group per task.
-
-    Such a function needs a group's values at once, so a group above ``max_rows`` fails the job
-    instead of being cut.
-    """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
-    too_big = F.raise_error(
-        F.concat(F.lit("group too large for a custom statistic: "), F.col(group).cast("string"))
-    ).cast("double")
-    checked = df.join(sizes, group).select(
-        F.col(group).cast("string").alias("grp"),
-        F.col(order).cast("string").alias("pos"),
-        F.when(F.col("_rows") <= max_rows, F.col(value).cast("double"))
-        .otherwise(too_big).alias("x"),
-    )
-
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("pos")["x"].dropna().to_numpy()
-        bounds = [0.0, 0.0]
-        if len(values):
-            rng = np.random.default_rng(seed)
-            stats = [stat_fn(rng.choice(values, len(values))) for _ in range(n_boot)]
-            bounds = np.percentile(stats, [50 * (1 - ci), 100 - 50 * (1 - ci)])
-        return pd.DataFrame(
-            {"grp": [pdf["grp"].iloc[0]], "ci_lower": [bounds[0]], "ci_upper": [bounds[1]]}
-        )
-
-    return (
-        checked.groupBy("grp")
-        .applyInPandas(resample, "grp string, ci_lower double, ci_upper double")
-        .withColumnRenamed("grp", group)
-    )
+    measures = {"am_ci": ("score_am", "mean"), "gm_ci": ("score_gm", "gm")}
+    rows = bootstrap_cis(scores.filter("covered"), "model", measures, "prompt_id", n_boot, ci, seed)
+    return rows.select("model", *[S.round4(F.col(c)).alias(c) for c in rows.columns[1:]])

@@ -586,51 +586,67 @@ def extreme_cells(spark, d):
 
 # Bootstrap -------------------------------------------------------------------------------------
 
-N_BOOT = 200
+N_BOOT = 10_000
+SEED = 42
 
 
 def _mix(x):
-    return f"((xor({x}, {x} >> 16) * 73244475) & 4294967295)"
-
-
-def _keyed_sql(value, log_scale):
-    x = f"ln(greatest({value}, {b.FLOOR}))" if log_scale else value
-    fix = "exp" if log_scale else ""
-    steps = " + ".join(f"(u >= {p!r}e0)::INT" for p in B.POISSON_STEPS)
-    return f"""WITH {b.COLLAPSED},
-      r0 AS (SELECT model, {x} AS x, (substr(prompt_id, 2)::BIGINT * 7919 + 42) & 4294967295 AS h FROM c WHERE covered),
-      r1 AS (SELECT model, x, {_mix('h')} AS h FROM r0), r2 AS (SELECT model, x, {_mix('h')} AS h FROM r1),
-      r3 AS (SELECT model, x, i AS b, xor(h, (i * 2654435761) & 4294967295) AS h
-             FROM r2, range({N_BOOT}) t(i)),
-      r4 AS (SELECT model, x, b, {_mix('h')} AS h FROM r3), r5 AS (SELECT model, x, b, {_mix('h')} AS h FROM r4),
-      r6 AS (SELECT model, x, b, xor(h, h >> 16) / 4294967296.0e0 AS u FROM r5),
-      w AS (SELECT model, b, x, {steps} AS w FROM r6),
-      rep AS (SELECT model, b, sum(w * x) / sum(w) AS stat FROM w GROUP BY model, b HAVING sum(w) > 0)
-      SELECT model, round_even({fix}(quantile_cont(stat, 0.025e0)), 4) AS ci_lower,
-        round_even({fix}(quantile_cont(stat, 0.975e0)), 4) AS ci_upper FROM rep GROUP BY model"""
-
-
-def _keyed(spark, d, value, stat):
-    covered = collapsed(spark, d).filter("covered").select(
-        "model", value, F.substring("prompt_id", 2, 18).cast("bigint").alias("key")
-    )
-    return B.bootstrap_ci_keyed(covered, "model", value, "key", stat, N_BOOT).select(
-        "model", F.bround("ci_lower", 4).alias("ci_lower"), F.bround("ci_upper", 4).alias("ci_upper")
+    return f"((xor({x}, {x} >> 16) * {B.MIX}) & 4294967295)"
+
+
+def _scramble_sql(source, result, x):
+    """Three steps that mix the 32-bit integer ``x`` of ``source`` into ``h`` of ``result``."""
+    return f"""{result}1 AS (SELECT * EXCLUDE (h), {_mix('h')} AS h FROM (SELECT * EXCLUDE (h), {x} AS h FROM {source})),
+      {result}2 AS (SELECT * EXCLUDE (h), {_mix('h')} AS h FROM {result}1),
+      {result} AS (SELECT * EXCLUDE (h), xor(h, h >> 16) AS h FROM {result}2)"""
+
+
+def _half_sql(at):
+    return f"('0x' || substr(md5('{SEED}:' || prompt_id), {at}, 8))::BIGINT"
+
+
+def _draws_sql(measures):
+    """``ci``: model and the bounds of each (name, value, log scale) from the same weights."""
+    xs = ", ".join(f"{f'ln(greatest({v}, {b.FLOOR}))' if log else v} AS {n}" for n, v, log in measures)
+    names = ", ".join(n for n, _, _ in measures)
+    steps = " + ".join(f"(h >= {p})::INT" for p in B.POISSON_STEPS)
+    stats = ", ".join(f"sum(w * {n}) / sum(w) AS {n}" for n, _, _ in measures)
+    bounds = ", ".join(
+        f"round_even({'exp' if log else ''}(quantile_cont({n}, {q}e0)), 4) AS {n}_{side}"
+        for n, _, log in measures
+        for side, q in (("lower", 0.025), ("upper", 0.975))
     )
+    return f"""r0 AS (SELECT model, {xs}, {_half_sql(1)} AS h, {_half_sql(9)} AS k FROM c WHERE covered),
+      r1 AS (SELECT *, i AS b FROM r0, range({N_BOOT}) t(i)),
+      {_scramble_sql('r1', 'p', f'xor(h, (b * {B.STRIDE}) & 4294967295)')},
+      {_scramble_sql('p', 'q', 'xor(h, k)')},
+      w AS (SELECT model, b, {names}, {steps} AS w FROM q),
+      rep AS (SELECT model, b, {stats} FROM w GROUP BY model, b HAVING sum(w) > 0),
+      ci AS (SELECT model, {bounds} FROM rep GROUP BY model)"""
+
+
+def _interval(spark, d, value, stat):
+    covered = collapsed(spark, d).filter("covered")
+    bounds = B.bootstrap_ci(covered, "model", value, "prompt_id", stat, N_BOOT, seed=SEED)
+    return bounds.select("model", *[F.bround(c, 4).alias(c) for c in ("ci_lower", "ci_upper")])
 
 
-@query("bootstrap_ci_mean", _keyed_sql("score_am", False))
+@query("bootstrap_ci_mean", f"WITH {b.COLLAPSED}, {_draws_sql([('ci', 'score_am', False)])} SELECT * FROM ci")
 def bootstrap_ci_mean(spark, d):
-    return _keyed(spark, d, "score_am", "mean")
+    return _interval(spark, d, "score_am", "mean")
 
 
-@query("bootstrap_ci_gm", _keyed_sql("score_gm", True))
+@query("bootstrap_ci_gm", f"WITH {b.COLLAPSED}, {_draws_sql([('ci', 'score_gm', True)])} SELECT * FROM ci")
 def bootstrap_ci_gm(spark, d):
-    return _keyed(spark, d, "score_gm", "gm")
+    return _interval(spark, d, "score_gm", "gm")
 
 
-@query("leaderboard_ci")
+@query(
+    "leaderboard_ci",
+    f"""{BOARD}, {_draws_sql([('am_ci', 'score_am', False), ('gm_ci', 'score_gm', True)])}
+        SELECT board.*, ci.* EXCLUDE (model) FROM board LEFT JOIN ci USING (model)""",
+)
 def leaderboard_ci(spark, d):
-    """Leaderboard with intervals from value counts; random draws, so no SQL."""
+    """The leaderboard with intervals of covered AM and GM."""
     scores = collapsed(spark, d)
-    return A.leaderboard(scores, B.leaderboard_ci(scores, n_boot=2_000))
+    return A.leaderboard(scores, B.leaderboard_ci(scores, N_BOOT, seed=SEED))

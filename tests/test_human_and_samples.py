@@ -149,32 +149,41 @@ VALUES = [0.70, 0.75, 0.80, 0.82, 0.85, 0.88, 0.90, 0.95]
 
 
 def test_bootstrap_interval(spark):
-    df = spark.createDataFrame([("m", v) for v in VALUES] + [("one", 0.5)], "model string, v double")
-    got = {r.model: r for r in B.bootstrap_ci(df, "model", "v", n_boot=4000).collect()}
-    again = {r.model: r for r in B.bootstrap_ci(df.repartition(3), "model", "v", n_boot=4000).collect()}
+    rows = [("m", i, v) for i, v in enumerate(VALUES)] + [("m", 99, None), ("one", 0, 0.5), (None, 0, 0.5), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "model string, i int, v double")
+    got = {r.model: r for r in B.bootstrap_ci(df, "model", "v", "i", n_boot=4000).collect()}
+    again = {r.model: r for r in B.bootstrap_ci(df.repartition(3), "model", "v", "i", n_boot=4000).collect()}
     m = got["m"]
-    assert m.ci_lower < np.mean(VALUES) < m.ci_upper and m == again["m"]
+    assert m.ci_lower < np.mean(VALUES) < m.ci_upper
+    assert (m.ci_lower, m.ci_upper) == pytest.approx((again["m"].ci_lower, again["m"].ci_upper), abs=1e-12)
     rng = np.random.default_rng(0)
     brute = np.percentile([rng.choice(VALUES, 8).mean() for _ in range(4000)], [2.5, 97.5])
-    assert (m.ci_lower, m.ci_upper) == pytest.approx(tuple(brute), abs=0.01)
+    assert (m.ci_lower, m.ci_upper) == pytest.approx(tuple(brute), abs=0.015)
     assert (got["one"].ci_lower, got["one"].ci_upper) == (0.5, 0.5)
-    gm = B.bootstrap_ci(df, "model", "v", "gm", n_boot=1000).filter("model = 'm'").first()
+    assert (got[None].ci_lower, got[None].ci_upper) == (0.5, 0.5)
+    assert (got["none"].ci_lower, got["none"].ci_upper) == (None, None)
+    gm = B.bootstrap_ci(df, "model", "v", "i", "gm", n_boot=1000).filter("model = 'm'").first()
     assert 0 < gm.ci_lower < gm.ci_upper <= 1
 
 
-def test_poisson_path_agrees_with_exact(spark):
-    df = spark.range(400).selectExpr("'m' AS model", "(id % 97) / 100 AS v")
-    exact = B.bootstrap_ci(df, "model", "v", n_boot=2000).first()
-    poisson = B.bootstrap_ci(df, "model", "v", n_boot=2000, exact_distinct=5).first()
-    assert (poisson.ci_lower, poisson.ci_upper) == pytest.approx((exact.ci_lower, exact.ci_upper), abs=0.01)
-
-
-def test_custom_statistic_and_its_limit(spark):
-    df = spark.createDataFrame([("m", i, v) for i, v in enumerate(VALUES)], "model string, i int, v double")
-    row = B.bootstrap_ci_custom(df, "model", "v", "i", np.median, n_boot=500).first()
-    assert 0.7 <= row.ci_lower < row.ci_upper <= 0.95
-    with pytest.raises(Exception, match="too large"):
-        B.bootstrap_ci_custom(df, "model", "v", "i", np.median, n_boot=5, max_rows=3).collect()
+def test_bootstrap_agrees_with_resampling(spark):
+    df = spark.range(400).selectExpr("'m' AS model", "id", "(id % 97) / 100 AS v")
+    values = np.array([(i % 97) / 100 for i in range(400)])
+    rng = np.random.default_rng(0)
+    brute = np.percentile([rng.choice(values, 400).mean() for _ in range(2000)], [2.5, 97.5])
+    row = B.bootstrap_ci(df, "model", "v", "id", n_boot=2000).first()
+    assert (row.ci_lower, row.ci_upper) == pytest.approx(tuple(brute), abs=0.005)
+
+
+def test_bootstrap_weights_are_poisson():
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(0, 2**32, 500, dtype=np.uint32) for _ in range(2))
+    w = B.poisson_weights(a, b, np.arange(4000, dtype=np.uint32)).astype(float)
+    share = [np.mean(w == k) for k in range(6)]
+    assert share == pytest.approx([0.36788, 0.36788, 0.18394, 0.06131, 0.01533, 0.00307], abs=0.002)
+    between = np.corrcoef(w[:50])[np.triu_indices(50, 1)]
+    assert abs(between.mean()) < 0.005 and np.abs(between).max() < 0.25
+    assert len(B.POISSON_STEPS) == 12 and B.POISSON_STEPS == sorted(B.POISSON_STEPS)
 
 
 def test_costs(spark):
