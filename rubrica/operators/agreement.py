@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rubrica.functions import scoring as S
-from rubrica.operators.ranking import salted_join
 
 TARGET_KAPPA = 0.6
 DEFAULT_ANNOTATOR = "unknown"
-RECORD_LABELS = 1_000
 
 
 def annotation_sheet(sample: DataFrame) -> DataFrame:
@@ -46,30 +44,28 @@ def human_labels(labels: DataFrame, order: Column) -> DataFrame:
     )
 
 
-def label_records(sheet: DataFrame) -> DataFrame:
+def label_records(sheet: DataFrame, order: Column) -> DataFrame:
     """Cleaned sheet rows to one record per (prompt, model) with its answers.
 
-    A (prompt, model) with more than 1,000 labels is written as several records, which readers
-    merge by key; no record then grows without bound.
+    ``order`` is the position of a row in the sheet. The last label of a question wins, questions
+    stand in the order of their first label, the annotator is that of the first row. Labels are
+    reduced to one per question before records are built, so a record is as long as its prompt
+    has questions.
     """
     named = sheet if "annotator" in sheet.columns else sheet.withColumn(
         "annotator", F.lit(DEFAULT_ANNOTATOR)
     )
     keys = ["prompt_id", "model"]
-    sizes = named.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / RECORD_LABELS).alias("_parts"),
-        F.min(F.struct("q_id", "annotator"))["annotator"].alias("annotator"),
+    last = named.groupBy(*keys, "q_id").agg(
+        F.max_by("human_answer", order).alias("answer"),
+        F.min(F.struct(order.alias("pos"), "annotator")).alias("_first"),
     )
-    row = F.struct("q_id", F.col("human_answer").alias("answer"))
-    spread = salted_join(named.drop("annotator"), sizes, keys, ["q_id", "human_answer"])
-    return (
-        spread.withColumn("_part", F.pmod(F.xxhash64("q_id", "human_answer"), F.col("_parts")))
-        .groupBy(*keys, "_part")
-        .agg(
-            F.min("annotator").alias("annotator"),
-            F.array_sort(F.collect_set(row)).alias("human_answers"),
-        )
-        .drop("_part")
+    placed = F.array_sort(F.collect_list(F.struct(F.col("_first")["pos"].alias("pos"), "q_id", "answer")))
+    return last.groupBy(*keys).agg(
+        F.min("_first")["annotator"].alias("annotator"),
+        F.transform(
+            placed, lambda a: F.struct(a["q_id"].alias("q_id"), a["answer"].alias("answer"))
+        ).alias("human_answers"),
     )
 
 

@@ -137,16 +137,17 @@ def export_annotation_sheet(spark, d):
 
 @query(
     "import_annotation_sheet",
-    f"""WITH {b.ATOMS}, {_LABELS}, one AS (SELECT DISTINCT prompt_id, model, q_id, human_answer FROM cleaned)
-        SELECT prompt_id, model, 'unknown' AS annotator, q_id, human_answer FROM one""",
+    f"""WITH {b.ATOMS}, {_LABELS}, first AS (
+          SELECT prompt_id, model, 'rater ' || min_by(seed % 10, lpad(seed::VARCHAR, 12, '0') || rec_id) AS annotator
+          FROM cleaned GROUP BY prompt_id, model)
+        SELECT prompt_id, model, annotator, q_id, human_answer FROM labels2 JOIN first USING (prompt_id, model)""",
 )
 def import_annotation_sheet(spark, d):
     """Cleaned labels regrouped into records and read back to rows."""
-    records = H.label_records(
-        H.clean_human_answers(raw_labels(spark, d)).select(
-            "prompt_id", "model", "q_id", "human_answer"
-        )
+    sheet = H.clean_human_answers(raw_labels(spark, d)).withColumn(
+        "annotator", F.expr("concat('rater ', seed % 10)")
     )
+    records = H.label_records(sheet, F.struct("seed", "rec_id"))
     return H.label_rows(records).drop("pos")
 
 

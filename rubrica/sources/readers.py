@@ -114,13 +114,14 @@ def read_score_table(spark: SparkSession, path: str, schema: str) -> DataFrame |
 
 
 def import_annotation_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A filled-in sheet, quoted line breaks allowed; only yes/no rows stay."""
+    """A filled-in sheet, quoted line breaks allowed; only yes/no rows stay. ``pos`` is the row order
+    inside each file: such a file is read by one task."""
     from rubrica.operators.agreement import clean_human_answers
 
     sheet = spark.read.csv(
         path, header=True, schema=schemas.ANNOTATION_SHEET, multiLine=True, escape='"'
     )
-    return clean_human_answers(sheet)
+    return clean_human_answers(sheet.withColumn("pos", F.monotonically_increasing_id()))
 
 
 def read_text_prompts(spark: SparkSession, candidates: list[str]) -> DataFrame:

@@ -52,16 +52,20 @@ def test_sheet_round_trip(spark, tmp_path):
     writers.write_annotation_sheet(filled, str(tmp_path / "sheet"))
     back = readers.import_annotation_sheet(spark, str(tmp_path / "sheet"))
     assert [(r.q_id, r.human_answer, r.prompt_text) for r in back.collect()] == [("q1", "yes", 'say "hi",\nthen go')]
-    record = H.label_records(back.drop("annotator")).first()
+    record = H.label_records(back.drop("annotator"), F.col("pos")).first()
     assert record.annotator == "unknown" and record.human_answers[0].answer == "yes"
     assert H.annotation_progress(sample, back).first().remaining == 0
 
 
-def test_many_labels_become_several_records(spark):
-    rows = spark.range(5000).selectExpr("'p' AS prompt_id", "'m' AS model", "concat('q', id) AS q_id", "'yes' AS human_answer")
-    records = H.label_records(rows)
-    sizes = [len(r.human_answers) for r in records.collect()]
-    assert sum(sizes) == 5000 and len(sizes) >= 5 and max(sizes) < 1400
+def test_last_label_wins_in_sheet_order(spark):
+    rows = [(0, "q2", "yes", "ann"), (1, "q1", "yes", "bob"), (2, "q1", "no", "bob"), (3, "q2", "yes", "ann")]
+    sheet = spark.createDataFrame(rows, "pos int, q_id string, human_answer string, annotator string")
+    sheet = sheet.selectExpr("*", "'p' AS prompt_id", "'m' AS model").repartition(3)
+    record = H.label_records(sheet, F.col("pos")).first()
+    assert record.annotator == "ann"
+    assert [(a.q_id, a.answer) for a in record.human_answers] == [("q2", "yes"), ("q1", "no")]
+    many = spark.range(5000).selectExpr("id AS pos", "'p' AS prompt_id", "'m' AS model", "concat('q', id) AS q_id", "'yes' AS human_answer")
+    assert [len(r.human_answers) for r in H.label_records(many, F.col("pos")).collect()] == [5000]
 
 
 def _skewed(spark, n=3000):
