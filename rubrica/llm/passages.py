@@ -6,8 +6,14 @@ band the lines that collide meet the smallest and the largest of them, and a pai
 exact Jaccard similarity of its full sets is 0.75 or more. A *cell* is a content-defined piece of a
 line, cut where a word's hash is the smallest within ``REACH`` words, so that a passage which is
 moved into another line keeps its cells; a cell's only band is its whole content, 64 bits of hash.
-Cells in a row that stand in several documents form a run; runs of ``MIN_WORDS`` words count.
-Components over neighbouring cells and confirmed line pairs give every removal its class.
+Cells in a row that stand in several documents form a run. Within runs, *windows* of cells with
+``MIN_WORDS`` words, the shortest from each cell on and up to each cell, are the passages that are
+held against each other: whatever repeats in that many words of whole cells is covered by them.
+
+Keepers go by content. Of a class of lines, joined by confirmed pairs only, the lines of the
+smallest doc_id stay. A window stays in the smallest doc_id that holds it outside removed lines; a
+cell stays where any window over it stays, so the kept copy of a window is whole. Windows in a row
+that the same documents hold form one class.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ BROADCAST_NODES = 1_000_000
 _CELL = "doc_id bigint, _d bigint, at int, start int, end int, words int, node bigint"
 _LINE = "doc_id bigint, _d bigint, start int, end int, words int, node bigint, bands array<bigint>"
 _TEXT = "node bigint, text string"
+_PLACE = "doc_id bigint, _d bigint, _run bigint, node bigint, first int, last int, held boolean"
+_SEGMENT = "doc_id bigint, _d bigint, start int, end int, n_words bigint, class_id bigint, keep_id bigint, n_docs bigint, kept boolean"
 
 
 def _prefix_sums(h: np.ndarray) -> np.ndarray:
@@ -97,7 +105,10 @@ class _Pieces:
 
 
 def _batch(columns: list, schema: str) -> pa.RecordBatch:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
+    kinds = {
+        "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(),
+        "array<bigint>": pa.list_(pa.int64()),
+    }
     fields = [f.split() for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)],
@@ -180,10 +191,10 @@ def _lines(with_text: bool):
     return run
 
 
-def _known(rows: DataFrame, nodes: DataFrame, how: str = "inner") -> DataFrame:
+def _known(rows: DataFrame, nodes: DataFrame, how: str = "inner", key: str = "node") -> DataFrame:
     """Rows whose node is in ``nodes`` (one row per node); broadcast only up to a checked size."""
     small = nodes.count() <= BROADCAST_NODES
-    return rows.join(F.broadcast(nodes) if small else nodes, "node", how)
+    return rows.join(F.broadcast(nodes) if small else nodes, key, how)
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,13 +226,115 @@ def _line_links(lines: DataFrame, rows: DataFrame) -> DataFrame:
     return stored(joined.mapInArrow(_exact, "a bigint, b bigint"), "paragraph-links")
 
 
+def windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last cells of the shortest windows of ``MIN_WORDS`` words from, and up to, each cell."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    first = np.arange(len(words))
+    last = np.searchsorted(total, total[:-1] + MIN_WORDS) - 1
+    fits = last < len(words)
+    up_to = np.searchsorted(total, total[1:] - MIN_WORDS, side="right") - 1
+    ends = up_to >= 0
+    both = np.concatenate([np.stack([first[fits], last[fits]], 1), np.stack([up_to[ends], first[ends]], 1)])
+    both = np.unique(both, axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of every run: content, first and last cell, and whether no removed line touches it."""
+    for cols in rows_of(batches, "doc_id", "_d", "_run", "cells", "gone"):
+        rows = []
+        for doc, key, run, cells, gone in zip(*cols, strict=True):
+            start, end, words, node = (np.array([c[k] for c in cells]) for k in ("start", "end", "words", "node"))
+            first, last = windows(words)
+            name = _piece_hashes(node.view(np.uint64), first, last + 1).view(np.int64)
+            held = np.ones(len(first), bool)
+            if gone:
+                cut = np.array(sorted((g["start"], g["end"]) for g in gone))
+                reach = np.maximum.accumulate(cut[:, 1])
+                before = np.searchsorted(cut[:, 0], end[last])
+                held = (before == 0) | (reach[before - 1] <= start[first])
+            n = len(first)
+            rows += zip([doc] * n, [key] * n, [run] * n, name.tolist(), first.tolist(), last.tolist(), held.tolist(), strict=True)
+            if len(rows) > 8192:
+                yield _batch(list(zip(*rows, strict=True)), _PLACE)
+                rows = []
+        if rows:
+            yield _batch(list(zip(*rows, strict=True)), _PLACE)
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of a run with one class and one fate: a cell stays where a window over it stays."""
+    for cols in rows_of(batches, "doc_id", "_d", "cells", "found"):
+        rows = []
+        for doc, key, cells, found in zip(*cols, strict=True):
+            # The window that decides is written last: one that stays before all others, then the smallest keeper.
+            order = sorted(
+                found,
+                key=lambda w: (w["kept"], w["keep_id"] is not None, -(w["keep_id"] or 0), w["n_docs"], w["class_id"]),
+            )
+            fate = np.full(len(cells), -1)
+            names = {}
+            for w in order:
+                fate[w["first"] : w["last"] + 1] = names.setdefault((w["class_id"], w["keep_id"], w["n_docs"], w["kept"]), len(names))
+            known = list(names)
+            bounds = np.flatnonzero(np.diff(fate, prepend=-2, append=-2))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if fate[a] >= 0:
+                    n_words = sum(c["words"] for c in cells[a:b])
+                    rows.append((doc, key, cells[a]["start"], cells[b - 1]["end"], n_words, *known[fate[a]]))
+        if rows:
+            yield _batch(list(zip(*rows, strict=True)), _SEGMENT)
+
+
+def _runs(found: DataFrame, gone: DataFrame) -> DataFrame:
+    """Runs of ``MIN_WORDS`` words or more of repeated cells, and what of them stays.
+
+    ``gone`` has the spans (_d, start, end) of removed lines: their copies of a window keep nothing.
+    """
+    ahead = W.partitionBy("_d").orderBy("at")
+    found = found.withColumn("_new", F.coalesce(F.col("at") != F.lag("at").over(ahead) + 1, F.lit(True)))
+    found = found.withColumn("_run", F.sum(F.col("_new").cast("int")).over(ahead))
+    cell = F.struct("at", "start", "end", "words", "node")
+    runs = found.groupBy("doc_id", "_d", "_run").agg(
+        F.sum("words").alias("n"), F.sort_array(F.collect_list(cell)).alias("cells")
+    ).filter(F.col("n") >= MIN_WORDS)
+    cut = gone.groupBy("_d").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    runs = stored(runs.drop("n").join(cut, "_d", "left"), "runs")
+    places = stored(runs.mapInArrow(_places, _PLACE), "windows")
+    each = places.groupBy("node", "_d", "doc_id").agg(F.max("held").alias("held"))
+    holds = each.groupBy("node").agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.min(F.when(F.col("held"), F.col("doc_id"))).alias("keep_id"),
+        F.max("held").alias("stays"),
+        F.sum(F.shiftright(F.xxhash64("_d"), 20)).alias("same"),
+    )
+    # A window that stands in removed lines only goes with them.
+    holds = stored(holds.filter("n_docs > 1 AND stays").drop("stays"), "repeated-windows")
+    hits = stored(_known(places, holds), "window-places")
+    row = W.partitionBy("_d", "_run").orderBy("first", "last")
+    linked = [F.lag(c).over(row).eqNullSafe(F.col(c)) for c in ("n_docs", "keep_id", "same")]
+    near = F.lag("last").over(row) + 1 >= F.col("first")
+    edges = hits.select(F.lag("node").over(row).alias("a"), F.col("node").alias("b"), (linked[0] & linked[1] & linked[2] & near).alias("ok"))
+    edges = edges.filter("ok AND a <> b").select("a", "b").distinct()
+    roots = stored(components(edges).withColumnRenamed("root", "class_id"), "run-classes")
+    hits = _known(hits, roots, "left").withColumn("class_id", F.coalesce("class_id", "node"))
+    kept = F.col("held") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    told = hits.groupBy("_d", "_run").agg(
+        F.collect_list(F.struct("first", "last", "class_id", "keep_id", "n_docs", kept.alias("kept"))).alias("found")
+    )
+    done = runs.drop("gone").join(told, ["_d", "_run"]).mapInArrow(_segments, _SEGMENT)
+    return done.withColumn("kind", F.lit("run"))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row per passage that stands in several documents: doc_id, kind (run or line), start, end
-    (code points), n_words, class_id, keep_id (smallest doc_id of the class), n_docs, kept.
+    (code points), n_words, class_id, keep_id, n_docs, kept.
 
-    The passage of the document keep_id stays, all others of the class are removals. A NULL
-    text counts as empty; documents without repeated passages have no row, so neither has an empty
-    table. Rows with equal doc_id and text are one document; NULL ids stay NULL and never keep.
+    Rows with kept = false are the removals. keep_id is the smallest doc_id that holds the passage
+    (of runs: outside removed lines), and its copy stays whole; a run is cut where its keeper
+    changes, so a row of a run may have fewer than ``MIN_WORDS`` words. A NULL text counts as empty;
+    documents without repeated passages have no row, so neither has an empty table. Rows with equal
+    doc_id and text are one document; NULL ids stay NULL and never keep.
     """
     rows = bare(docs).withColumn("_d", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
     cells = stored(rows.mapInArrow(_cells, _CELL), "all-cells")
@@ -229,29 +342,19 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     shared = cells.groupBy("node").agg(F.min("_d").alias("low"), F.max("_d").alias("high"))
     shared = stored(shared.filter("low <> high").select("node"), "cells")
     found = stored(_known(cells, shared, "left_semi").distinct(), "repeated-cells")
-    ahead = W.partitionBy("_d").orderBy("at")
-    found = found.withColumn("_new", F.coalesce(F.col("at") != F.lag("at").over(ahead) + 1, F.lit(True)))
-    found = found.withColumn("_run", F.sum(F.col("_new").cast("int")).over(ahead))
-    found = found.withColumn("_before", F.when(~F.col("_new"), F.lag("node").over(ahead)))
-    runs = found.groupBy("doc_id", "_d", "_run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"),
-        F.min("node").alias("node"),
-    ).filter(F.col("n_words") >= MIN_WORDS)
-    runs = stored(runs.drop("_run").withColumn("kind", F.lit("run")), "runs")
-    edges = found.filter("_before IS NOT NULL").select(F.col("_before").alias("a"), F.col("node").alias("b"))
     lines = stored(rows.mapInArrow(_lines(False), _LINE), "lines")
     links = _line_links(lines, rows)
-    roots = stored(components(edges.distinct().unionByName(links)), "passage-classes")
+    roots = stored(components(links), "line-classes")
     near = links.select(F.explode_outer(F.array("a", "b")).alias("node")).distinct()
     lined = _known(lines.select("doc_id", "_d", "start", "end", F.col("words").cast("bigint").alias("n_words"), "node"), near, "left_semi")
-    lined = lined.distinct().withColumn("kind", F.lit("line"))
-    names = ["doc_id", "_d", "start", "end", "n_words", "node", "kind"]
-    passages = runs.select(*names).unionByName(lined.select(*names))
-    passages = passages.join(roots, "node", "left").withColumn("class_id", F.coalesce("root", "node"))
-    classes = passages.groupBy("class_id", "_d").agg(F.min("doc_id").alias("low")).groupBy("class_id")
+    lined = stored(_known(lined.distinct(), roots).withColumnRenamed("root", "class_id"), "linked-lines")
+    classes = lined.groupBy("class_id", "_d").agg(F.min("doc_id").alias("low")).groupBy("class_id")
     classes = classes.agg(F.count(F.lit(1)).alias("n_docs"), F.min("low").alias("keep_id"))
-    done = passages.join(classes.filter("n_docs > 1"), "class_id")
-    return done.select(
-        "doc_id", "kind", "start", "end", "n_words", "class_id", "keep_id", "n_docs",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-    )
+    classes = stored(classes.filter("n_docs > 1"), "kept-lines")
+    lined = _known(lined, classes, key="class_id").withColumns(
+        {"kind": F.lit("line"), "kept": F.col("doc_id").eqNullSafe(F.col("keep_id"))}
+    )
+    lined = stored(lined, "near-lines")
+    runs = _runs(found, lined.filter("NOT kept").select("_d", "start", "end"))
+    names = ["doc_id", "kind", "start", "end", "n_words", "class_id", "keep_id", "n_docs", "kept"]
+    return runs.select(*names).unionByName(lined.select(*names))

@@ -163,6 +163,26 @@ def test_passages(docs):
     assert not {4, 5, 6, 7, 9, 15, 16} & {r.doc_id for r in rows}
 
 
+def test_passages_keep_a_copy_of_each(spark):
+    """A heading that many documents share chains no passages: each stays where it stands first."""
+    head = " ".join(_words(30, 40))
+    quotes = [" ".join(_words(40, 41 + k)) for k in range(3)]
+    own = [" ".join(_words(25, 50 + k)) for k in range(9)]
+    texts = {0: f"{head}\n{own[0]}"}
+    for k, q in enumerate(quotes):
+        for i in (1 + 2 * k, 2 + 2 * k):
+            texts[i] = f"{own[i]}\n{head}\n{q}\n{own[i][::-1]}"
+    rows = passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    left = dict(texts)
+    for r in sorted(rows, key=lambda r: -r.start):
+        if not r.kept:
+            left[r.doc_id] = left[r.doc_id][: r.start] + left[r.doc_id][r.end :]
+    for k, q in enumerate(quotes):
+        assert q in left[1 + 2 * k]
+        assert len(set(q.split()) & set(left[2 + 2 * k].split())) < 16
+    assert head in left[0] and not any(head in left[i] for i in range(1, 7))
+
+
 def test_line_dedup(docs):
     rows = _by_id(lines.dedup_lines(docs))
     left, kept = rows[14].text.split("\n"), TEXTS[13].split("\n")
