@@ -2,10 +2,13 @@
 
 Base findings are e-mail addresses, IP numbers, card and phone numbers. Each distinct value is a
 protected entity. Over the distinct texts of the corpus, the words around its mentions are counted:
-PMI(entity; word) = ln(N * n(entity, word) / (n(entity) * n(word))) says how much of the entity's
-information IC = -ln(n(entity) / N) a word discloses. From ``generalise`` times IC on the word is
-generalised to its shape, from ``remove`` times IC on it is removed, in the documents that hold
-the entity. Only built-in expressions are used.
+PMI(entity; word) = ln(p(word | entity) / p(word)) says how much of the entity's information
+IC = -ln(n(entity) / N) a word discloses. p(word | entity) is smoothed, so that a value of a single
+text counts too: the word's share in the entity's texts is drawn, with the weight of ``prior`` texts,
+to its share in the texts of the entity's group (its kind, or the domain of an e-mail address), and
+that one likewise to p(word) = n(word) / N. From ``generalise`` times IC on the word is generalised to
+its shape, from ``remove`` times IC on it is removed, in the documents that hold the entity. Only
+built-in expressions are used.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ _WORD_CHAR = r"[^\x20\x09-\x0D]"
 _KEY = ["_k", "_z", "_h"]
 _STEP = 64
 CONTEXT = 6
-SUPPORT = 3
+PRIOR = 3.0
 GENERALISE = 0.7
 REMOVE = 0.9
 BROADCAST_WORDS = 200_000
@@ -144,9 +147,11 @@ def _words(text: str) -> Column:
 
 
 def _entities(based: DataFrame) -> DataFrame:
-    """Distinct (text, entity): _k, _z, _h and _e."""
+    """Distinct (text, entity): _k, _z, _h, _e, and _g, its group: the kind, of an e-mail its domain too."""
     found = based.select(*_KEY, F.explode_outer("_base").alias("x")).filter("x IS NOT NULL")
-    return found.select(*_KEY, _entity(F.col("x.kind"), F.col("x.m")).alias("_e")).distinct()
+    kind, m = F.col("x.kind"), F.col("x.m")
+    domain = F.when(kind == "email", F.substring_index(F.lower(m), "@", -1))
+    return found.select(*_KEY, _entity(kind, m).alias("_e"), F.xxhash64(kind, domain).alias("_g")).distinct()
 
 
 def _contexts(based: DataFrame, context: int) -> DataFrame:
@@ -168,35 +173,50 @@ def _contexts(based: DataFrame, context: int) -> DataFrame:
 def _word_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """In how many distinct texts each wanted word stands: _t, n_t.
 
-    A broadcast of the wanted words is used up to ``BROADCAST_WORDS`` of them, a shuffle beyond.
+    A text of c copies counts 1/c in each, so that no word has to be moved to tell copies apart.
+    A broadcast of the wanted words is used up to ``BROADCAST_WORDS`` of them, a shuffle beyond; so for
+    the texts with copies.
     """
+    copies = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    copies = stored(copies, "copied-texts")
+    few = copies.count() <= BROADCAST_WORDS
     small = wanted.count() <= BROADCAST_WORDS
     hashes = F.array_distinct(F.transform(_words("text"), lambda w: F.xxhash64(w)))
-    each = rows.select("_h", F.explode_outer(hashes).alias("_t"))
-    hits = each.join(F.broadcast(wanted) if small else wanted, "_t", "left_semi").distinct()
-    return hits.groupBy("_t").agg(F.count(F.lit(1)).alias("n_t"))
+    each = rows.select("_h", "text").join(F.broadcast(copies) if few else copies, "_h", "left")
+    each = each.select(F.coalesce("_c", F.lit(1)).alias("_c"), F.explode_outer(hashes).alias("_t"))
+    hits = each.join(F.broadcast(wanted) if small else wanted, "_t", "left_semi")
+    return hits.groupBy("_t").agg(F.round(F.sum(1.0 / F.col("_c"))).cast("bigint").alias("n_t"))
+
+
+def _share(n_et: str, n_e: str, n_gt: str, n_g: str, n_t: str, n: float, prior: float) -> Column:
+    """The part of an entity's information that a word discloses; NULL where the entity has none."""
+    alone = F.col(n_t) / F.lit(n)
+    group = (F.col(n_gt) + prior * alone) / (F.col(n_g) + prior)
+    own = (F.col(n_et) + prior * group) / (F.col(n_e) + prior)
+    return F.log(own / alone) / F.nullif(F.log(F.lit(n) / F.col(n_e)), F.lit(0.0))
 
 
 def disclosing(
-    rows: DataFrame, based: DataFrame, context: int = CONTEXT, support: int = SUPPORT,
+    rows: DataFrame, based: DataFrame, context: int = CONTEXT, prior: float = PRIOR,
     generalise: float = GENERALISE, remove: float = REMOVE,
 ) -> DataFrame:
     """Words that disclose an entity: _e, _w, level (1 generalise, 2 remove).
 
     ``rows`` are all documents, ``based`` those with findings. Everything is counted by distinct
-    text, so copies do not make a word look telling. Only words near an entity in ``support`` texts
-    or more are looked up in the counts of all words.
+    text, so copies do not make a word look telling. Every word near an entity is weighed, also
+    when the entity stands in one text only.
     """
-    joint = _contexts(based, context).groupBy("_e", "_w", "_t").agg(F.count(F.lit(1)).alias("n_et"))
-    joint = stored(joint.filter(F.col("n_et") >= support), "cooccurrence")
-    held = _entities(based).select("_h", "_e").distinct()
-    held = held.groupBy("_e").agg(F.count(F.lit(1)).alias("n_e"))
-    words = _word_counts(rows, joint.select("_t").distinct())
+    held = stored(_entities(based).select("_h", "_e", "_g").distinct(), "entities")
+    near = stored(_contexts(based, context).join(held, ["_h", "_e"]), "cooccurrence")
+    joint = near.groupBy("_e", "_g", "_w", "_t").agg(F.count(F.lit(1)).alias("n_et"))
+    pooled = near.select("_h", "_g", "_t").distinct().groupBy("_g", "_t").agg(F.count(F.lit(1)).alias("n_gt"))
+    words = _word_counts(rows, stored(near.select("_t").distinct(), "near-words"))
+    texts = held.groupBy("_e").agg(F.count(F.lit(1)).alias("n_e"))
+    groups = held.select("_h", "_g").distinct().groupBy("_g").agg(F.count(F.lit(1)).alias("n_g"))
     total = rows.select("_h").distinct().agg(F.count(F.lit(1)).cast("double").alias("n"))
     n = total.first()["n"]
-    told = joint.join(words, "_t").join(held, "_e")
-    pmi = F.log(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    share = pmi / F.nullif(F.log(F.lit(n) / F.col("n_e")), F.lit(0.0))
+    told = joint.join(words, "_t").join(texts, "_e").join(pooled, ["_g", "_t"]).join(groups, "_g")
+    share = _share("n_et", "n_e", "n_gt", "n_g", "n_t", n, prior)
     level = F.when(share >= remove, 2).when(share >= generalise, 1)
     return told.select("_e", "_w", level.alias("level")).filter("level IS NOT NULL")
 
@@ -229,7 +249,7 @@ def _telling(kind: str, order: int) -> Column:
 
 
 def find_private(
-    docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT,
+    docs: DataFrame, context: int = CONTEXT, prior: float = PRIOR,
     generalise: float = GENERALISE, remove: float = REMOVE,
 ) -> DataFrame:
     """Findings of every document: doc_id, _k, _z, _h (its key), _base and _all, sorted spans
@@ -244,7 +264,7 @@ def find_private(
     found = with_base(rows).withColumn("text", F.when(F.size("_base") > 0, F.col("text")))
     found = stored(found.select("doc_id", *_KEY, "text", "_base"), "findings")
     based = found.filter("text IS NOT NULL")
-    told = disclosing(rows, based, context, support, generalise, remove)
+    told = disclosing(rows, based, context, prior, generalise, remove)
     hits = _entities(based).join(told, "_e").groupBy(*_KEY, "_w").agg(F.max("level").alias("level"))
     lists = hits.groupBy(*_KEY).agg(
         F.sort_array(F.collect_list(F.when(F.col("level") == 1, F.col("_w")))).alias("_general"),

@@ -242,6 +242,19 @@ def test_words_that_disclose(spark, docs):
     assert clean[100].text == plain[0][1]
 
 
+def test_words_that_disclose_a_value_of_one_text(spark):
+    """A rare word beside a value that stands once is marked, and one that goes with its domain."""
+    plain = [(100 + k, f"the {w} of the market is about the {w}") for k, w in enumerate(_words(300, 13))]
+    told = [(0, "the zanzibar writes to ann@x.org about the market")]
+    told += [(1 + k, f"the quorum of v{w}@pool.org is about the market") for k, w in enumerate(_words(3, 14))]
+    table = spark.createDataFrame(told + plain, "doc_id bigint, text string")
+    rows = _by_id(private.private_report(table))
+    assert re.search(r"(general|removed):4:12", rows[0].spans)
+    assert all(re.search(r"(general|removed):4:10", rows[i].spans) for i in range(1, 4))
+    assert all(rows[i].n_told and not re.search(r"(general|removed):0:3", rows[i].spans) for i in range(4))
+    assert all(rows[i].spans == "" for i, _ in plain)
+
+
 def test_fingerprints(docs):
     rows = fingerprint.edited_pairs(docs).collect()
     assert len(rows) == len(ROWS)
