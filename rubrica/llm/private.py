@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and words that give a protected value away, by co-occurrence.
 
 Base findings are e-mail addresses, IP numbers, card and phone numbers. Each distinct value is a
-protected entity. Over the distinct texts of the corpus, the words around its mentions are counted:
+protected entity. Over the distinct texts of the corpus, all words of the texts that hold it are counted:
 PMI(entity; word) = ln(p(word | entity) / p(word)) says how much of the entity's information
 IC = -ln(n(entity) / N) a word discloses. p(word | entity) is smoothed, so that a value of a single
 text counts too: the word's share in the entity's texts is drawn, with the weight of ``prior`` texts,
@@ -31,7 +31,6 @@ KINDS = list(PATTERNS)
 _WORD_CHAR = r"[^\x20\x09-\x0D]"
 _KEY = ["_k", "_z", "_h"]
 _STEP = 64
-CONTEXT = 6
 PRIOR = 3.0
 GENERALISE = 0.7
 REMOVE = 0.9
@@ -142,7 +141,7 @@ def _entity(kind: Column, m: Column) -> Column:
     return F.xxhash64(kind, plain)
 
 
-def _words(text: str) -> Column:
+def _words(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
@@ -154,20 +153,25 @@ def _entities(based: DataFrame) -> DataFrame:
     return found.select(*_KEY, _entity(kind, m).alias("_e"), F.xxhash64(kind, domain).alias("_g")).distinct()
 
 
-def _contexts(based: DataFrame, context: int) -> DataFrame:
-    """Distinct (text, entity, word) near mentions: at most 2 * context words per mention."""
-    mentions = based.select("_h", "text", F.explode_outer("_base").alias("x"))
-    mentions = mentions.filter("x IS NOT NULL").select(
-        "_h", _entity(F.col("x.kind"), F.col("x.m")).alias("_e"),
-        F.expr("substring(text, greatest(1, x.s - 255), least(256, x.s))").alias("_left"),
-        F.expr("substring(text, x.e + 1, 256)").alias("_right"),
-    )
-    near = F.concat(
-        F.slice(F.reverse(_words("_left")), 1, context), F.slice(_words("_right"), 1, context)
+def _text_words(based: DataFrame) -> DataFrame:
+    """Distinct (text, word) over whole texts, without words that a base finding touches: _h, _w, _t."""
+    texts = based.select("_h", "text", "_base").dropDuplicates(["_h"])
+    # Findings may overlap: each gap begins where all before it have ended.
+    ends = F.aggregate(
+        "_base", F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.greatest(F.element_at(s, -1), x["e"])))
     )
-    pairs = mentions.select("_h", "_e", F.explode_outer(F.array_distinct(near)).alias("_w"))
-    pairs = pairs.filter("_w IS NOT NULL").filter(~F.col("_w").rlike("[0-9@]"))
-    return pairs.distinct().withColumn("_t", F.xxhash64("_w"))
+    texts = texts.withColumn("_ends", ends)
+
+    def gap(e: Column, i: Column) -> Column:
+        upto = F.coalesce(F.get("_base", i)["s"], F.char_length("text"))
+        piece = F.substring("text", e + 1, F.greatest(F.lit(0), upto - e))
+        tail = F.regexp_replace(piece, rf"(?<!{_WORD_CHAR}){_WORD_CHAR}++\z", "")
+        piece = F.when(i < F.size("_base"), tail).otherwise(piece)
+        return F.when(i > 0, F.regexp_replace(piece, rf"^{_WORD_CHAR}++", "")).otherwise(piece)
+
+    words = F.array_distinct(_words(F.array_join(F.transform("_ends", gap), " ")))
+    pairs = texts.select("_h", F.explode_outer(words).alias("_w")).filter("_w IS NOT NULL")
+    return pairs.withColumn("_t", F.xxhash64("_w"))
 
 
 def _word_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -197,28 +201,33 @@ def _share(n_et: str, n_e: str, n_gt: str, n_g: str, n_t: str, n: float, prior:
 
 
 def disclosing(
-    rows: DataFrame, based: DataFrame, context: int = CONTEXT, prior: float = PRIOR,
-    generalise: float = GENERALISE, remove: float = REMOVE,
+    rows: DataFrame, based: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
-    """Words that disclose an entity: _e, _w, level (1 generalise, 2 remove).
+    """Words that disclose an entity of their text: _h, _w, level (1 generalise, 2 remove).
 
     ``rows`` are all documents, ``based`` those with findings. Everything is counted by distinct
-    text, so copies do not make a word look telling. Every word near an entity is weighed, also
-    when the entity stands in one text only.
+    text, so copies do not make a word look telling. Every word of a text is weighed with every
+    entity in it; entities of one text and one group only weigh alike, so they are counted as one.
     """
-    held = stored(_entities(based).select("_h", "_e", "_g").distinct(), "entities")
-    near = stored(_contexts(based, context).join(held, ["_h", "_e"]), "cooccurrence")
-    joint = near.groupBy("_e", "_g", "_w", "_t").agg(F.count(F.lit(1)).alias("n_et"))
-    pooled = near.select("_h", "_g", "_t").distinct().groupBy("_g", "_t").agg(F.count(F.lit(1)).alias("n_gt"))
-    words = _word_counts(rows, stored(near.select("_t").distinct(), "near-words"))
+    held = _entities(based).select("_h", "_e", "_g").distinct()
     texts = held.groupBy("_e").agg(F.count(F.lit(1)).alias("n_e"))
-    groups = held.select("_h", "_g").distinct().groupBy("_g").agg(F.count(F.lit(1)).alias("n_g"))
+    held = stored(held.join(texts, "_e"), "entities")
+    units = held.select("_h", "_g", "n_e", F.when(F.col("n_e") > 1, F.col("_e")).alias("_e")).distinct()
+    words = stored(_text_words(based), "text-words")
+    near = stored(words.join(units, "_h"), "cooccurrence")
+    joint = near.filter("_e IS NOT NULL").groupBy("_e", "_t").agg(F.count(F.lit(1)).alias("n_et"))
+    grouped = held.select("_h", "_g").distinct()
+    pooled = near.select("_h", "_g", "_t").distinct().groupBy("_g", "_t").agg(F.count(F.lit(1)).alias("n_gt"))
+    counts = _word_counts(rows, stored(words.select("_t").distinct(), "near-words"))
+    groups = grouped.groupBy("_g").agg(F.count(F.lit(1)).alias("n_g"))
     total = rows.select("_h").distinct().agg(F.count(F.lit(1)).cast("double").alias("n"))
     n = total.first()["n"]
-    told = joint.join(words, "_t").join(texts, "_e").join(pooled, ["_g", "_t"]).join(groups, "_g")
+    told = near.join(joint, ["_e", "_t"], "left").withColumn("n_et", F.coalesce("n_et", F.lit(1)))
+    told = told.join(stored(pooled.join(counts, "_t").join(groups, "_g"), "word-counts"), ["_g", "_t"])
     share = _share("n_et", "n_e", "n_gt", "n_g", "n_t", n, prior)
     level = F.when(share >= remove, 2).when(share >= generalise, 1)
-    return told.select("_e", "_w", level.alias("level")).filter("level IS NOT NULL")
+    told = told.select("_h", "_w", level.alias("level")).filter("level IS NOT NULL")
+    return told.groupBy("_h", "_w").agg(F.max("level").alias("level"))
 
 
 def _escaped(w: Column) -> Column:
@@ -249,7 +258,7 @@ def _telling(kind: str, order: int) -> Column:
 
 
 def find_private(
-    docs: DataFrame, context: int = CONTEXT, prior: float = PRIOR,
+    docs: DataFrame, prior: float = PRIOR,
     generalise: float = GENERALISE, remove: float = REMOVE,
 ) -> DataFrame:
     """Findings of every document: doc_id, _k, _z, _h (its key), _base and _all, sorted spans
@@ -264,13 +273,12 @@ def find_private(
     found = with_base(rows).withColumn("text", F.when(F.size("_base") > 0, F.col("text")))
     found = stored(found.select("doc_id", *_KEY, "text", "_base"), "findings")
     based = found.filter("text IS NOT NULL")
-    told = disclosing(rows, based, context, prior, generalise, remove)
-    hits = _entities(based).join(told, "_e").groupBy(*_KEY, "_w").agg(F.max("level").alias("level"))
-    lists = hits.groupBy(*_KEY).agg(
+    told = disclosing(rows, based, prior, generalise, remove)
+    lists = told.groupBy("_h").agg(
         F.sort_array(F.collect_list(F.when(F.col("level") == 1, F.col("_w")))).alias("_general"),
         F.sort_array(F.collect_list(F.when(F.col("level") == 2, F.col("_w")))).alias("_removed"),
     )
-    told = based.select(*_KEY, "text", "_base").join(lists, _KEY)
+    told = based.select(*_KEY, "text", "_base").join(lists, "_h")
     told = _with_matches(told, "general", _pattern("_general"))
     told = _with_matches(told, "removed", _pattern("_removed"))
     spans = F.concat("_base", _telling("general", len(KINDS)), _telling("removed", len(KINDS) + 1))

@@ -255,6 +255,17 @@ def test_words_that_disclose_a_value_of_one_text(spark):
     assert all(rows[i].spans == "" for i, _ in plain)
 
 
+def test_words_that_disclose_stand_anywhere(spark):
+    """A name in a letter's head and a room with digits in it are weighed with a number in its foot."""
+    plain = [(100 + k, f"the {w} of the market is about the {w}") for k, w in enumerate(_words(300, 13))]
+    letter = "zanzibar " + "the market is about " * 100 + "kx77-q of the +1 (555) 123-4567, of the market"
+    rows = _by_id(private.private_report(spark.createDataFrame([(0, letter), *plain], "doc_id bigint, text string")))
+    for w in ("zanzibar", "kx77-q"):
+        at = letter.index(w)
+        assert re.search(rf"(general|removed):{at}:{at + len(w)}", rows[0].spans)
+    assert rows[0].n_told == 2 and all(rows[i].spans == "" for i, _ in plain)
+
+
 def test_fingerprints(docs):
     rows = fingerprint.edited_pairs(docs).collect()
     assert len(rows) == len(ROWS)
