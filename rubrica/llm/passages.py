@@ -2,8 +2,8 @@
 
 Two sorts of paragraphs are compared. A *line* of ``MIN_WORDS`` words or more gets ``BANDS`` bands of
 ``ROWS`` minima over its five-word shingles (recall 0.993 at a Jaccard similarity of 0.75); in each
-band the lines that collide meet the smallest and the largest of them, and a pair counts when the
-exact Jaccard similarity of its full sets is 0.75 or more. A *cell* is a content-defined piece of a
+band the lines that collide meet the smallest and the largest of them, then all lines of other
+components, and a pair counts when the exact Jaccard similarity of its full sets is 0.75 or more. A *cell* is a content-defined piece of a
 line, cut where a word's hash is the smallest within ``REACH`` words, so that a passage which is
 moved into another line keeps its cells; a cell's only band is its whole content, 64 bits of hash.
 Cells in a row that stand in several documents form a run. Within runs, *windows* of cells with
@@ -42,6 +42,7 @@ MIN_WORDS = 16
 BANDS = 6
 ROWS = 2
 BROADCAST_NODES = 1_000_000
+BLOCK = 1024
 _CELL = "doc_id bigint, _d bigint, at int, start int, end int, words int, node bigint"
 _LINE = "doc_id bigint, _d bigint, start int, end int, words int, node bigint, bands array<bigint>"
 _TEXT = "node bigint, text string"
@@ -208,15 +209,8 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([[a for a, _ in out], [b for _, b in out]], "a bigint, b bigint")
 
 
-def _line_links(lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs of different line contents (a, b) with an exact Jaccard similarity of 0.75 or more."""
-    keyed = lines.select("node", F.explode_outer("bands").alias("band")).distinct()
-    ends = keyed.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    ends = ends.filter("low <> high")
-    met = keyed.join(ends, "band")
-    pairs = met.select(F.explode_outer(F.array("low", "high")).alias("a"), F.col("node").alias("b"))
-    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(pairs.distinct(), "paragraph-pairs")
+def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the stored ``pairs`` (a, b) with an exact Jaccard similarity of 0.75 or more."""
     wanted = pairs.select(F.explode_outer(F.array("a", "b")).alias("node")).distinct()
     texts = _known(rows.mapInArrow(_lines(True), _TEXT), stored(wanted, "paragraphs"), "left_semi")
     texts = stored(texts.dropDuplicates(["node"]), "paragraph-texts")
@@ -226,6 +220,50 @@ def _line_links(lines: DataFrame, rows: DataFrame) -> DataFrame:
     return stored(joined.mapInArrow(_exact, "a bigint, b bigint"), "paragraph-links")
 
 
+def _across(keyed: DataFrame, links: DataFrame) -> DataFrame:
+    """All pairs of a band whose lines ``links`` does not join yet.
+
+    A band of n lines is dealt into blocks of about ``BLOCK``, and every block meets every other
+    one and itself under a key of its own.
+    """
+    roots = stored(components(links), "first-classes")
+    rooted = _known(keyed, roots, "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = stored(rooted, "rooted-bands")
+    bands = rooted.groupBy("band").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("n")
+    )
+    bands = stored(bands.filter("low <> high").select("band", "n"), "open-bands")
+    dealt = _known(rooted, bands, key="band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("n")))
+    others = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)
+    meets = F.transform(others, lambda o: F.struct(F.least("part", o).alias("p"), F.greatest("part", o).alias("q")))
+    dealt = dealt.select("band", "node", "root", "part", F.explode_outer(meets).alias("m"))
+    dealt = stored(dealt.select("band", "m.p", "m.q", "node", "root", "part"), "dealt-bands")
+    one, two = (
+        dealt.select("band", "p", "q", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "part")]) for x in "ab"
+    )
+    met = one.join(two, ["band", "p", "q"]).filter("root_a <> root_b AND node_a < node_b")
+    met = met.filter("p = q OR part_a <> part_b")
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _line_links(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs of different line contents (a, b) with an exact Jaccard similarity of 0.75 or more.
+
+    The smallest and largest line of each band join most of a class; then all pairs of a band that are
+    in different components are tested, so every line that collides with a like one is linked.
+    """
+    keyed = stored(lines.select("node", F.explode_outer("bands").alias("band")).distinct(), "bands")
+    ends = keyed.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    ends = stored(ends.filter("low <> high"), "band-ends")
+    met = _known(keyed, ends, key="band")
+    pairs = met.select(F.explode_outer(F.array("low", "high")).alias("a"), F.col("node").alias("b"))
+    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stored(pairs.distinct(), "paragraph-pairs")
+    links = _confirmed(pairs, rows)
+    rest = stored(_across(keyed, links).join(pairs, ["a", "b"], "left_anti"), "further-pairs")
+    return links.unionByName(_confirmed(rest, rows)) if rest.head(1) else links
+
+
 def windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last cells of the shortest windows of ``MIN_WORDS`` words from, and up to, each cell."""
     total = np.concatenate([[0], np.cumsum(words)])
