@@ -42,7 +42,7 @@ def poisson_steps() -> list[int]:
 POISSON_STEPS = poisson_steps()
 
 
-def _log_scale(stat: str) -> bool:
+def log_scale(stat: str) -> bool:
     if stat not in ("mean", "gm"):
         raise ValueError(f"stat must be mean or gm, not {stat!r}")
     return stat == "gm"
@@ -133,7 +133,7 @@ def bootstrap_cis(
     cells, names = [], []
     for name, (value, stat) in measures.items():
         v = F.col(value).cast("double")
-        x = F.ln(F.greatest(v, S.floor_probability())) if _log_scale(stat) else v
+        x = F.ln(F.greatest(v, S.floor_probability())) if log_scale(stat) else v
         cells += [
             v.isNotNull().cast("double").alias(f"_n_{name}"),
             F.coalesce(x, F.lit(0.0)).alias(f"_x_{name}"),
@@ -161,7 +161,7 @@ def bootstrap_cis(
     for name, (_, stat) in measures.items():
         for at, side in enumerate(("lower", "upper")):
             bound = F.col(name)[at]
-            out.append((F.exp(bound) if _log_scale(stat) else bound).alias(f"{name}_{side}"))
+            out.append((F.exp(bound) if log_scale(stat) else bound).alias(f"{name}_{side}"))
     return bounds.select(F.col("grp").alias(group), *out)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rubrica.functions import scoring as S
 from rubrica.operators import bootstrap as B
+from rubrica.operators import resampling as R
 from rubrica.operators import judgments as J
 from rubrica.operators import scores as A
 from rubrica.plans import bindings as b
@@ -650,3 +651,45 @@ def leaderboard_ci(spark, d):
     """The leaderboard with intervals of covered AM and GM."""
     scores = collapsed(spark, d)
     return A.leaderboard(scores, B.leaderboard_ci(scores, N_BOOT, seed=SEED))
+
+
+@query(
+    "bootstrap_exact",
+    f"""WITH {b.COLLAPSED} SELECT model, count(*) AS n, count(*) AS least_draws, count(*) AS most_draws,
+        true AS near_lower, true AS near_upper, round_even(avg(score_am), 6) AS mean FROM c WHERE covered GROUP BY model""",
+)
+def bootstrap_exact(spark, d):
+    """Intervals from replicates of exactly n draws; both bounds lie near those of the normal law."""
+    covered = collapsed(spark, d).filter("covered")
+    bounds = R.exact_ci(covered, "model", "score_am", "prompt_id", n_boot=N_BOOT, seed=SEED)
+    error = F.stddev_pop("score_am") / F.sqrt(F.count("score_am"))
+    normal = covered.groupBy("model").agg(F.avg("score_am").alias("mean"), error.alias("error"))
+
+    def near(bound, side):
+        return F.abs(F.col(bound) - (F.col("mean") + side * 1.96 * F.col("error"))) < 0.5 * F.col("error")
+
+    return bounds.join(normal, "model").select(
+        "model", "n", "least_draws", "most_draws", near("ci_lower", -1).alias("near_lower"),
+        near("ci_upper", 1).alias("near_upper"), F.bround("mean", 6).alias("mean"),
+    )
+
+
+@query(
+    "bootstrap_median",
+    f"""WITH {b.COLLAPSED} SELECT model, count(*) AS n, round_even(median(score_gm), 6) AS middle, true AS low_in_place,
+        true AS high_in_place FROM c WHERE covered GROUP BY model""",
+)
+def bootstrap_median(spark, d):
+    """Intervals of a statistic of the caller's own, the median. The numbers of values below its bounds must
+    lie where a binomial count does: 1 to 3.3 deviations beside the middle."""
+    covered = collapsed(spark, d).filter("covered").select("model", "prompt_id", F.col("score_gm").alias("x"))
+    bounds = R.custom_ci(covered, "model", "x", "prompt_id", R.weighted_median, weighted=True, n_boot=N_BOOT, seed=SEED)
+    n, half = F.count("x"), 0.5 * F.sqrt(F.count("x"))
+    lower, upper = F.count_if(F.col("x") < F.col("ci_lower")), F.count_if(F.col("x") < F.col("ci_upper"))
+    lower_too, upper_too = F.count_if(F.col("x") <= F.col("ci_lower")), F.count_if(F.col("x") <= F.col("ci_upper"))
+    return covered.join(bounds.drop("n"), "model").groupBy("model").agg(
+        n.alias("n"),
+        F.bround(F.median("x"), 6).alias("middle"),
+        ((lower <= n / 2 - half) & (lower_too >= n / 2 - 3.3 * half)).alias("low_in_place"),
+        ((upper_too >= n / 2 + half) & (upper <= n / 2 + 3.3 * half)).alias("high_in_place"),
+    )

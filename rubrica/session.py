@@ -49,3 +49,10 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint, so a lost executor cannot change the rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: what follows never runs its plan again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
