@@ -2,33 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from rubrica.operators.ranking import running_total
+from rubrica.operators.ranking import ordered_blocks
 
 ALERT_AT = 0.8
 
 
 def cost_ledger(
-    costs: DataFrame, cap: float, order: list[Column | str], alert_at: float = ALERT_AT
+    costs: DataFrame, cap: float, order: list[Column | str], alert_at: float = ALERT_AT,
+    start: float = 0.0, alerted: bool = False,
 ) -> DataFrame:
     """Running total in arrival order, with the cap state of every row.
 
     ``alert`` is true on the one row that first brings the total to the alert share;
-    ``may_start`` says whether the total before the row was under the cap.
+    ``may_start`` says whether the total before the row was under the cap. A ledger that goes on from
+    an earlier one starts with its total and whether it has alerted.
+
+    Rows are cut into blocks of the order once. Totals of the blocks say in which of them the line can
+    first be reached (usually one), and only those are looked through for the alert.
     """
-    alert_line = cap * alert_at
-    ledger = running_total(costs, "amount", order, total="running_total", before="_earlier")
+    line = cap * alert_at
+    cut = ordered_blocks(costs, order)
+    sums = cut.groupBy("_block").agg(
+        F.coalesce(F.sum("amount"), F.lit(0.0)).alias("_sum"),
+        F.coalesce(F.sum(F.greatest("amount", F.lit(0.0))), F.lit(0.0)).alias("_most"),
+    )
+    # One row per block, so windows and broadcast are bounded by the block count.
+    every = W.orderBy("_block")
+    before = F.coalesce(F.sum("_sum").over(every.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)) + start
+    blocks = sums.withColumn("_before", before)
+    sure = F.min(F.when(F.col("_before") + F.col("_sum") >= line, F.col("_block"))).over(W.orderBy(F.lit(0)).rowsBetween(
+        W.unboundedPreceding, W.unboundedFollowing))
+    can = (F.col("_before") + F.col("_most") >= line) & (F.col("_block") <= F.coalesce(sure, F.col("_block")))
+    blocks = blocks.withColumn("_can", can & F.lit(not alerted)).select("_block", "_before", "_can")
+
+    inside = W.partitionBy("_block").orderBy(*[F.col(c) if isinstance(c, str) else c for c in order])
+
+    def totals(some: DataFrame) -> DataFrame:
+        def through(last: int) -> Column:
+            held = F.sum("amount").over(inside.rowsBetween(W.unboundedPreceding, last))
+            return F.col("_before") + F.coalesce(held, F.lit(0.0))
+
+        joined = cut.join(F.broadcast(some), "_block")
+        return joined.withColumns({"running_total": through(0), "_earlier": through(-1)})
+
     place = F.struct(*order)
-    # One value: a total that falls below the line and rises again alerts once all the same.
-    first = ledger.filter(F.col("running_total") >= alert_line).agg(F.min(place)).scalar()
-    return ledger.withColumns(
-        {
-            "alert": F.coalesce(place == first, F.lit(False)),
-            "under_cap": F.col("running_total") < cap,
-            "may_start": F.col("_earlier") < cap,
-        }
-    ).drop("_earlier")
+    first = totals(blocks.filter("_can")).filter(F.col("running_total") >= line).agg(F.min(place)).scalar()
+    return totals(blocks).select(
+        *costs.columns,
+        "running_total",
+        F.coalesce(place == first, F.lit(False)).alias("alert"),
+        (F.col("running_total") < cap).alias("under_cap"),
+        (F.col("_earlier") < cap).alias("may_start"),
+    )
 
 
 def cost_summary(costs: DataFrame) -> DataFrame:

@@ -9,12 +9,12 @@ from rubrica.operators import judgments as J
 from rubrica.operators import scores as A
 from rubrica.plans import bindings as b
 from rubrica.plans.evaluation import edit_tables, image_tables, summary_document
-from rubrica.plans.registry import query
+from rubrica.plans.registry import ORACLES, query
 from rubrica.plans.report_queries import CAP
 from rubrica.plans.score_queries import BOARD, merged
 from rubrica.session import scratch_path
 from rubrica.sources import readers, writers
-from rubrica.streaming import jobs
+from rubrica.streaming import board, jobs, ledger
 
 _PER_MODEL = "SELECT model, count(*) AS n, round_even(avg(score_am), 6) AS am, round_even(avg(score_gm), 6) AS gm FROM j GROUP BY model"
 
@@ -60,21 +60,17 @@ _ROUTED = f"""WITH {b.LOG} SELECT 'log' AS sink, status, count(*) AS n FROM log
   UNION ALL SELECT 'failures', status, count(*) FROM log WHERE status IN ('FILTERED', 'ERROR') GROUP BY ALL"""
 
 
-def _routed(spark, log_path, failures_path):
-    def read(path, name):
-        rows = spark.read.schema(schemas.GENERATION).json(path)
-        return rows.select(F.lit(name).alias("sink"), "status")
-
-    both = read(log_path, "log").union(read(failures_path, "failures"))
-    return both.groupBy("sink", "status").agg(F.count(F.lit(1)).alias("n"))
+def _routed(spark, path):
+    rows = spark.read.schema(f"{schemas.GENERATION}, sink STRING").json(path)
+    return rows.groupBy("sink", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("route_failures", _ROUTED)
 def route_failures(spark, d):
-    log_path, failures_path = scratch_path(spark, "log"), scratch_path(spark, "failures")
+    path = scratch_path(spark, "routed")
     rows = b.log(spark, d).select("prompt_id", "model", "status", "error", "seed")
-    writers.route_failures(rows, log_path, failures_path)
-    return _routed(spark, log_path, failures_path)
+    writers.route_failures(rows, path)
+    return _routed(spark, path)
 
 
 @query("write_score_tables", f"{BOARD} SELECT model, overall_gm_covered, coverage_rate FROM board")
@@ -135,7 +131,8 @@ def _event_stream(spark, d):
 @query(
     "stream_judgments",
     f"WITH {b.RESOLVED} SELECT model, count(*) AS n_judgments, count(*) FILTER (WHERE good) AS n_covered, "
-    "round_even(avg(score_am), 6) AS mean_am, round_even(avg(score_gm), 6) AS mean_gm FROM j GROUP BY model",
+    "round_even(avg(score_am) FILTER (WHERE good), 6) AS mean_am, "
+    "round_even(avg(score_gm) FILTER (WHERE good), 6) AS mean_gm FROM j GROUP BY model",
 )
 def stream_judgments(spark, d):
     path = _judgment_files(spark, d)
@@ -147,12 +144,22 @@ def stream_judgments(spark, d):
     )
 
 
+@query("stream_board", f"{BOARD} SELECT * FROM board")
+def stream_board(spark, d):
+    """The leaderboard kept by a stream over judgment files, several files per batch."""
+    path = _judgment_files(spark, d)
+    out, state = scratch_path(spark, "board"), scratch_path(spark, "state")
+    stream = J.resolve_scores(jobs.stream_files(spark, path, schemas.JUDGMENT))
+    board.write_board(stream, out, state).awaitTermination()
+    return board.read_board(spark, out)
+
+
 @query("stream_failures", _ROUTED)
 def stream_failures(spark, d):
-    log_path, failures_path = scratch_path(spark, "log"), scratch_path(spark, "failures")
+    path = scratch_path(spark, "routed")
     rows = _event_stream(spark, d).select("prompt_id", "model", "status", "error", "seed")
-    jobs.stream_failures(rows, log_path, failures_path, scratch_path(spark, "state")).awaitTermination()
-    return _routed(spark, log_path, failures_path)
+    jobs.stream_failures(rows, path, scratch_path(spark, "state")).awaitTermination()
+    return _routed(spark, path)
 
 
 @query(
@@ -179,6 +186,18 @@ def stream_cost_alerts(spark, d):
     return spark.read.parquet(out).select("ledger", F.bround("total_usd", 4).alias("total_usd"))
 
 
+@query("stream_ledger", ORACLES["cost_ledger"])
+def stream_ledger(spark, d):
+    """The cost ledger kept by a stream, its last rows released when it is closed."""
+    path = scratch_path(spark, "ledger")
+    rows = _event_stream(spark, d).select("ts", "event_id", "amount")
+    ledger.stream_ledger(rows, path, scratch_path(spark, "state"), CAP, ["event_id"], "1 day").awaitTermination()
+    ledger.close_ledger(spark, path, CAP, ["event_id"])
+    return ledger.read_ledger(spark, path).select(
+        "event_id", F.bround("running_total", 4).alias("running_total"), "alert", "under_cap", "may_start"
+    )
+
+
 @query(
     "dedupe_attempts",
     f"WITH {b.LOG} SELECT DISTINCT model, prompt_id, seed FROM log",

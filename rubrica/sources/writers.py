@@ -19,10 +19,20 @@ def failed_attempts(records: DataFrame) -> DataFrame:
     return records.filter(F.col("status").isin(S.FILTERED, S.ERROR))
 
 
-def route_failures(records: DataFrame, log_path: str, failures_path: str) -> None:
-    """Every record to the log, filtered and errored ones to the failures as well."""
-    append_records(records, log_path)
-    append_records(failed_attempts(records), failures_path)
+def write_routed(records: DataFrame, path: str, mode: str = "append") -> None:
+    """Every record below ``sink=log``, filtered and errored ones below ``sink=failures`` as well.
+
+    A record names the sinks it goes to and is written once per sink: the records are computed once, and both
+    sinks appear when the one write commits.
+    """
+    failed = F.col("status").isin(S.FILTERED, S.ERROR)
+    sinks = F.when(failed, F.array(F.lit("log"), F.lit("failures"))).otherwise(F.array(F.lit("log")))
+    records.withColumn("sink", F.explode(sinks)).write.mode(mode).partitionBy("sink").json(path)
+
+
+def route_failures(records: DataFrame, path: str) -> None:
+    """Append a run's records to the log and its failures; see ``write_routed``."""
+    write_routed(records, path)
 
 
 def write_score_tables(tables: dict[str, DataFrame], path: str, csv: bool = False) -> list[str]:

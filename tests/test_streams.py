@@ -23,13 +23,14 @@ def test_alert_fires_once_over_batches(spark, tmp_path):
 def test_failures_are_routed_per_batch(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()
-    log, failures, state = (str(tmp_path / n) for n in ("log", "failures", "state"))
+    path, state = str(tmp_path / "routed"), str(tmp_path / "state")
     for i, status in enumerate(["SUCCESS", "ERROR", "FILTERED"]):
         _write(src / f"{i}.json", [{"prompt_id": str(i), "status": status}])
         stream = jobs.stream_files(spark, str(src), "prompt_id STRING, status STRING")
-        jobs.stream_failures(stream, log, failures, state).awaitTermination()
-    assert spark.read.json(log).count() == 3
-    assert {r.status for r in spark.read.json(failures).collect()} == {"ERROR", "FILTERED"}
+        jobs.stream_failures(stream, path, state).awaitTermination()
+    back = spark.read.json(path)
+    assert back.filter("sink = 'log'").count() == 3
+    assert {r.status for r in back.filter("sink = 'failures'").collect()} == {"ERROR", "FILTERED"}
 
 
 def test_redelivered_attempts_drop(spark, tmp_path):
