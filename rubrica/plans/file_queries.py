@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rubrica import schemas
@@ -11,7 +13,7 @@ from rubrica.plans import bindings as b
 from rubrica.plans.evaluation import edit_tables, image_tables, summary_document
 from rubrica.plans.registry import ORACLES, query
 from rubrica.plans.report_queries import CAP
-from rubrica.plans.score_queries import BOARD, merged
+from rubrica.plans.score_queries import BOARD, LAYERS, PER_SUB, merged
 from rubrica.session import scratch_path
 from rubrica.sources import readers, writers
 from rubrica.streaming import board, jobs, ledger
@@ -97,7 +99,7 @@ def write_summary(spark, d):
     path = scratch_path(spark, "summary")
     tables = image_tables(
         b.judgments(spark, d), b.prompts(spark, d), b.log(spark, d), n_boot=0, tie="rec_id",
-        categories=b.SUB_CATEGORIES,
+        categories=b.SUB_CATEGORIES, materialise=True,
     )
     writers.write_summary(summary_document(tables), path)
     back = spark.read.schema(
@@ -107,6 +109,138 @@ def write_summary(spark, d):
     return back.select("n_models", "n_prompts_judged", "n_total_judgments", first.alias("first_model"))
 
 
+_CELL_TABLES = "leaderboard layer_comparison per_subcategory".split()
+
+
+@query(
+    "bundle_report_cells",
+    f"""{BOARD}, per_sub AS (WITH {PER_SUB}), {LAYERS},
+        u AS (SELECT 'leaderboard' AS tbl, * FROM (UNPIVOT (SELECT model, COLUMNS(* EXCLUDE (model))::DOUBLE FROM board) ON COLUMNS(* EXCLUDE (model)) INTO NAME col VALUE v)
+          UNION ALL SELECT 'layer_comparison', * FROM (UNPIVOT (SELECT model, COLUMNS(* EXCLUDE (model))::DOUBLE FROM layers) ON COLUMNS(* EXCLUDE (model)) INTO NAME col VALUE v)
+          UNION ALL SELECT 'per_subcategory', * FROM (UNPIVOT (SELECT model, COLUMNS(* EXCLUDE (model))::DOUBLE FROM per_sub) ON COLUMNS(* EXCLUDE (model)) INTO NAME col VALUE v))
+        SELECT tbl, model, col, v FROM u""",
+)
+def bundle_report_cells(spark, d):
+    """Every cell of the bundled JSON document, parsed back."""
+    from rubrica.plans.report_queries import bundle_report
+
+    row = bundle_report(spark, d)
+    cells = None
+    for name in _CELL_TABLES:
+        rows = F.explode(F.from_json(name, "ARRAY<MAP<STRING, STRING>>")).alias("r")
+        part = row.select(F.lit(name).alias("tbl"), rows).select(
+            "tbl", F.col("r")["model"].alias("model"), F.explode("r").alias("col", "v")
+        )
+        cells = part if cells is None else cells.unionByName(part)
+    return cells.filter("col <> 'model'").select("tbl", "model", "col", F.col("v").cast("double").alias("v"))
+
+
+@query(
+    "bucketed_scores",
+    f"WITH {b.SCORES} SELECT model, prompt_id, round_even(score_am, 6) AS score_am, round_even(score_gm, 6) AS score_gm, "
+    "n_seeds, covered, layer, sub_category FROM s",
+)
+def bucketed_scores(spark, d):
+    """Judgments of two runs appended to a bucketed table, collapsed and joined to bucketed prompts without a shuffle."""
+    name = uuid.uuid4().hex
+    rows = _judgment_rows(spark, d)
+    odd = F.col("seed") % 2 == 1
+    path = scratch_path(spark, "bucketed")
+    for run in (rows.filter(odd), rows.filter(~odd)):
+        writers.append_bucketed(run, f"judgments_{name}", path)
+    writers.append_bucketed(b.prompts(spark, d), f"prompts_{name}", scratch_path(spark, "bucketed-prompts"))
+    judged = J.resolve_scores(spark.table(f"judgments_{name}"))
+    scores = J.attach_prompts(J.collapse_seeds(judged), spark.table(f"prompts_{name}"))
+    return scores.select(
+        "model", "prompt_id", *[F.bround(c, 6).alias(c) for c in ("score_am", "score_gm")], "n_seeds", "covered",
+        "layer", "sub_category",
+    )
+
+
+# Round trips of the input formats ----------------------------------------------------------------
+
+@query(
+    "read_prompts",
+    f"""WITH {b.QUESTIONS} SELECT qp.prompt_id, layer, sub_category, difficulty, prompt_text, count(q_id) AS n_questions,
+          string_agg(type, ',' ORDER BY q_id) AS types
+        FROM qp LEFT JOIN qs USING (prompt_id) GROUP BY ALL""",
+)
+def read_prompts(spark, d):
+    """Prompts written as files of JSON arrays, a hundred or so in each, and read back."""
+    path = scratch_path(spark, "prompts")
+    prompts = b.question_prompts(spark, d)
+    files = F.greatest(F.ceil(prompts.agg(F.count(F.lit(1))).scalar() / 100), F.lit(1))
+    dealt = prompts.withColumn("file", F.pmod(F.xxhash64("prompt_id"), files))
+    arrays = dealt.groupBy("file").agg(F.to_json(F.collect_list(F.struct(*prompts.columns))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    back = readers.read_prompts(spark, path, f"{path}-absent")
+    kinds = F.transform(F.array_sort("atomic_questions", lambda x, y: F.when(x["q_id"] < y["q_id"], -1).otherwise(1)), lambda q: q["type"])
+    return back.select(
+        "prompt_id", "layer", "sub_category", "difficulty", "prompt_text",
+        F.size("atomic_questions").cast("bigint").alias("n_questions"),
+        F.when(F.size("atomic_questions") > 0, F.array_join(kinds, ",")).alias("types"),
+    )
+
+
+_WEIGHTED_FILES = """e AS (SELECT 'cat' || c_mktsegment[1:1] AS category, 'n' || (c_nationkey % 3) AS subcategory, c_custkey AS source_id,
+    'q' || (c_custkey % 4) AS id, 'Is it "' || c_name || '",' || chr(10) || 'or not?' AS question, c_acctbal AS weight FROM customer),
+  p AS (SELECT category, subcategory, source_id, question || ' ?' AS prompt_text FROM e WHERE NOT (category = 'catA' AND subcategory = 'n1'))"""
+
+
+def _csv_files(rows, path, name):
+    """One CSV file per (category, subcategory), named as the reader expects."""
+    spark = rows.sparkSession
+    parts = scratch_path(spark, "csv")
+    named = rows.withColumn("folder", F.col("category")).withColumn("file", name)
+    named.drop("category", "subcategory").repartition("folder", "file").write.partitionBy("folder", "file").csv(
+        parts, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(parts).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for found in fs.globStatus(jvm.Path(f"{parts}/folder=*/file=*/part-*")):
+        file = found.getPath()
+        folder = f"{path}/{file.getParent().getParent().getName().removeprefix('folder=')}"
+        fs.mkdirs(jvm.Path(folder))
+        fs.rename(file, jvm.Path(f"{folder}/{file.getParent().getName().removeprefix('file=')}.csv"))
+
+
+@query(
+    "read_weighted_tables",
+    f"""WITH {_WEIGHTED_FILES} SELECT e.category, e.subcategory, e.source_id, id, e.question, weight, prompt_text
+        FROM e JOIN p USING (category, subcategory, source_id)""",
+)
+def read_weighted_tables(spark, d):
+    """Question and prompt files, quoted line breaks in them, written per category and read back as pairs."""
+    path = scratch_path(spark, "weighted")
+    rows = b.table(spark, d, "customer").selectExpr(
+        "concat('cat', left(c_mktsegment, 1)) AS category", "concat('n', c_nationkey % 3) AS subcategory",
+        "cast(c_custkey AS int) AS source_id", "concat('q', c_custkey % 4) AS id",
+        "concat('Is it \"', c_name, '\",\n', 'or not?') AS question", "'' AS evaluation_criteria", "c_acctbal AS weight",
+    )
+    _csv_files(rows, f"{path}/eval", F.concat("subcategory", F.lit("_eval")))
+    prompts = rows.filter("NOT (category = 'catA' AND subcategory = 'n1')").select(
+        "category", "subcategory", F.col("source_id").alias("id"), F.concat("question", F.lit(" ?")).alias("Prompt")
+    )
+    _csv_files(prompts, f"{path}/prompts", F.concat_ws("_", "category", "subcategory"))
+    questions, texts = readers.read_weighted_tables(spark, f"{path}/eval", f"{path}/prompts")
+    return questions.drop("evaluation_criteria").join(texts, ["category", "subcategory", "source_id"])
+
+
+@query(
+    "read_human_records",
+    f"""WITH {b.ATOMS} SELECT model, q_id, count(*) AS n, count(*) FILTER (WHERE answer = 'yes') AS n_yes FROM atoms
+        WHERE q_id <> 'q3' GROUP BY model, q_id""",
+)
+def read_human_records(spark, d):
+    """Human records written as JSON lines and read back, one row per answer."""
+    path = scratch_path(spark, "human")
+    labels = F.transform(F.filter("answers", lambda a: a["q_id"] != "q3"), lambda a: F.struct(a["q_id"].alias("q_id"), a["answer"].alias("answer")))
+    rows = b.judgments(spark, d).select("prompt_id", "model", F.lit("ann").alias("annotator"), labels.alias("human_answers"))
+    writers.append_records(rows, path)
+    back = readers.read_human_records(spark, path).select("model", F.inline("human_answers"))
+    return back.groupBy("model", "q_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("answer") == "yes").alias("n_yes"))
+
+
 @query(
     "edit_run_dimensions",
     f"""WITH {b.ATOMS} SELECT model, round_even(avg(p) FILTER (WHERE dimension = 'instruction_following'), 4)

@@ -8,6 +8,7 @@ from rubrica.functions import text as X
 from rubrica.operators import judgments as J
 from rubrica.operators import planning as P
 from rubrica.operators import quality as Q
+from rubrica.operators import replies as RP
 from rubrica.plans import bindings as b
 from rubrica.plans.registry import query
 
@@ -370,6 +371,28 @@ def extract_json(spark, d):
     )
 
 
+_SHAPES = r"""CASE event_id % 9 WHEN 0 THEN props WHEN 1 THEN concat('```json', {nl}, props, {nl}, '```')
+            WHEN 2 THEN concat(' Here: ', props, ' Bye.') WHEN 3 THEN 'no object here' WHEN 4 THEN CASE WHEN event_id % 2 = 0 THEN ' ' END
+            WHEN 5 THEN replace(props, ':', '') WHEN 6 THEN replace(props, '{{', '{{"j": [1, 2, ')
+            WHEN 7 THEN replace(props, 'k', 'q') ELSE concat('{{"k": "', event_type, '"}}') END"""
+_REPLY_FIELDS = {"k": "int"}
+
+
+@query(
+    "parse_replies",
+    f"""WITH r AS (SELECT event_id, {_SHAPES.format(nl="chr(10)")} AS reply FROM events),
+        o AS (SELECT *, regexp_extract(reply, '([{{].*[}}])', 1, 's') AS obj FROM r),
+        t AS (SELECT *, CASE WHEN trim(coalesce(reply, '')) = '' THEN 'empty' WHEN obj = '' THEN 'no object'
+                WHEN NOT json_valid(obj) THEN 'malformed' WHEN json_extract(obj, '$.k') IS NULL THEN 'missing k'
+                WHEN try_cast(json_extract_string(obj, '$.k') AS INT) IS NULL THEN 'wrong type k' END AS reason FROM o)
+        SELECT event_id, reason, CASE WHEN reason IS NULL THEN json_extract_string(obj, '$.k')::INT END AS k FROM t""",
+)
+def parse_replies(spark, d):
+    """Replies of nine shapes: parsed ones with their field, the others with the reason they were rejected for."""
+    replies = b.table(spark, d, "events").selectExpr("event_id", _SHAPES.format(nl=r"'\n'") + " AS reply")
+    return RP.parse_replies(replies, "reply", _REPLY_FIELDS).select("event_id", "reason", "k")
+
+
 @query(
     "extract_fenced_json",
     "SELECT event_id, regexp_extract(props, ': ([0-9]+)', 1)::DOUBLE AS k FROM events",

@@ -388,16 +388,16 @@ _WIDE = ", ".join(
     for m in ("am", "gm")
     for c in b.SUB_CATEGORIES
 )
-_PER_SUB = f"""{CELLS} SELECT model, {_WIDE}, round_even(sum(am::DECIMAL(18,4))::DOUBLE / count(am), 4) AS overall_am,
+PER_SUB = f"""{CELLS} SELECT model, {_WIDE}, round_even(sum(am::DECIMAL(18,4))::DOUBLE / count(am), 4) AS overall_am,
   round_even(sum(gm::DECIMAL(18,4))::DOUBLE / count(gm), 4) AS overall_gm FROM cells GROUP BY model"""
 
 
-@query("per_subcategory", f"WITH {b.SCORES}, {_PER_SUB}")
+@query("per_subcategory", f"WITH {b.SCORES}, {PER_SUB}")
 def per_subcategory(spark, d):
     return A.per_subcategory(merged(spark, d), b.SUB_CATEGORIES)
 
 
-@query("per_subcategory_edit", f"WITH {b.EDIT_SCORES}, {_PER_SUB}")
+@query("per_subcategory_edit", f"WITH {b.EDIT_SCORES}, {PER_SUB}")
 def per_subcategory_edit(spark, d):
     return A.per_subcategory(edit_scores(spark, d), b.SUB_CATEGORIES)
 

@@ -15,6 +15,17 @@ def append_records(df: DataFrame, path: str, partition_by: str | None = None) ->
     writer.json(path)
 
 
+def append_bucketed(df: DataFrame, table: str, path: str, key: str = "prompt_id", buckets: int = 64) -> None:
+    """Append rows to a table kept in ``buckets`` hash buckets of ``key``, sorted by it, with its files below ``path``.
+
+    Grouping by any keys that include ``key`` and joins on it then need no shuffle, against a
+    table of as many buckets. Rows are dealt to buckets before they are written, so a run adds one file per bucket.
+    """
+    dealt = df.repartition(buckets, key)
+    writer = dealt.write.mode("append").format("parquet").option("path", path)
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
 def failed_attempts(records: DataFrame) -> DataFrame:
     return records.filter(F.col("status").isin(S.FILTERED, S.ERROR))
 
