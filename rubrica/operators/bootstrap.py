@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rubrica.functions import scoring as S
+from rubrica.operators.ranking import salted_join
+from rubrica.session import stored
 
 # A block of rows x replicates is worked on in the cache of one core.
 BLOCK_ROWS = 128
 BLOCK_REPLICATES = 1024
-# Groups whose sums a task holds before it passes them on.
-HELD_GROUPS = 64
+# Rows of a group that are drawn in one place.
+PART_ROWS = 4096
 # Odd multipliers of the integer mixing, shared with its SQL form.
 MIX = 73244475
 STRIDE = 2654435761
@@ -81,41 +83,71 @@ def poisson_weights(a: np.ndarray, b: np.ndarray, replicates: np.ndarray) -> np.
     return w
 
 
+_PARTIAL = pa.schema([("grp", pa.string()), ("sums", pa.binary())])
+
+
 def _partial_sums(n_boot: int, columns: int) -> Callable:
-    """Sums of weight and weight x value per (group, replicate) over the rows of a task."""
-    fields = [pa.field("grp", pa.string()), pa.field("b", pa.int32())]
-    schema = pa.schema(fields + [pa.field(f"s{k}", pa.float64()) for k in range(columns)])
+    """Per group the sums of weight and weight x value by replicate, over the rows of a task; rows come by group."""
     replicates = np.arange(n_boot, dtype=np.uint32)
 
-    def emit(sums: dict) -> pa.RecordBatch:
-        names = pa.array(list(sums), pa.string())
-        grp = names.take(pa.array(np.repeat(np.arange(len(sums)), n_boot)))
-        b = pa.array(np.tile(np.arange(n_boot, dtype=np.int32), len(sums)))
-        flat = np.concatenate(list(sums.values()))
-        values = [pa.array(np.ascontiguousarray(flat[:, k])) for k in range(columns)]
-        return pa.RecordBatch.from_arrays([grp, b, *values], schema=schema)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str | None, np.ndarray] = {}
+        name, held = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name], pa.string()), pa.array([held.tobytes()], pa.binary())], schema=_PARTIAL
+            )
+
         for batch in batches:
-            members: dict[str | None, list[int]] = {}
-            for i, name in enumerate(batch.column(0).to_pylist()):
-                members.setdefault(name, []).append(i)
+            groups = np.array([c["grp"] for c in batch.column(0).to_pylist()], object)
             a, b = (batch.column(k).to_numpy().astype(np.uint32) for k in (1, 2))
             x = np.stack([batch.column(3 + k).to_numpy() for k in range(columns)], axis=1)
-            for name, rows in members.items():
-                if name not in sums and len(sums) == HELD_GROUPS:
-                    yield emit(sums)
-                    sums = {}
-                held = sums.setdefault(name, np.zeros((n_boot, columns)))
-                for at in range(0, len(rows), BLOCK_ROWS):
-                    some = rows[at : at + BLOCK_ROWS]
-                    for lo in range(0, n_boot, BLOCK_REPLICATES):
-                        hi = min(lo + BLOCK_REPLICATES, n_boot)
-                        w = poisson_weights(a[some], b[some], replicates[lo:hi])
-                        held[lo:hi] += w.astype(np.float64) @ x[some]
-        if sums:
-            yield emit(sums)
+            starts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1)] if len(groups) else []
+            for lo, hi in zip(starts, [*starts[1:], len(groups)], strict=True):
+                if held is not None and groups[lo] != name:
+                    yield out()
+                    held = None
+                if held is None:
+                    name, held = groups[lo], np.zeros((n_boot, columns))
+                for at in range(lo, hi, BLOCK_ROWS):
+                    some = slice(at, min(at + BLOCK_ROWS, hi))
+                    for r in range(0, n_boot, BLOCK_REPLICATES):
+                        w = poisson_weights(a[some], b[some], replicates[r : r + BLOCK_REPLICATES])
+                        held[r : r + BLOCK_REPLICATES] += w.astype(np.float64) @ x[some]
+        if held is not None:
+            yield out()
+
+    return run
+
+
+def _bounds(n_boot: int, measures: int, ci: float) -> Callable:
+    """Bounds of every measure of a group from the sums of the tasks, at most one row of each task."""
+    schema = pa.schema([("grp", pa.string()), ("bounds", pa.list_(pa.float64()))])
+    ends = [(1.0 - ci) / 2.0, (1.0 + ci) / 2.0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, None
+
+        def out() -> pa.RecordBatch:
+            found: list[float | None] = []
+            for k in range(measures):
+                # A replicate that drew no row has no statistic.
+                drawn = held[:, 2 * k] > 0
+                stats = held[drawn, 2 * k + 1] / held[drawn, 2 * k]
+                found += map(float, np.quantile(stats, ends)) if drawn.any() else [None, None]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name], pa.string()), pa.array([found], schema.field(1).type)], schema=schema
+            )
+
+        for batch in batches:
+            for group, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(sums).reshape(n_boot, 2 * measures)
+                if held is not None and group != name:
+                    yield out()
+                    held = None
+                name, held = group, part.copy() if held is None else held + part
+        if held is not None:
+            yield out()
 
     return run
 
@@ -129,8 +161,11 @@ def bootstrap_cis(
     ``measures`` maps a name to (value column, "mean" or "gm"). ``key`` names a row within its
     group; rows that share one are drawn together. NULL values do not take part; a group without
     values has NULL bounds.
+
+    A group is dealt to one part per ``PART_ROWS`` rows and parts to tasks, so a small group is in one task and
+    a task passes on one array of sums for each group it holds.
     """
-    cells, names = [], []
+    cells = []
     for name, (value, stat) in measures.items():
         v = F.col(value).cast("double")
         x = F.ln(F.greatest(v, S.floor_probability())) if log_scale(stat) else v
@@ -138,29 +173,23 @@ def bootstrap_cis(
             v.isNotNull().cast("double").alias(f"_n_{name}"),
             F.coalesce(x, F.lit(0.0)).alias(f"_x_{name}"),
         ]
-        names.append(name)
-    rows = df.select(F.col(group).cast("string").alias("grp"), *row_halves(F.col(key), seed), *cells)
+    cell = F.struct(F.col(group).cast("string").alias("grp")).alias("_cell")
+    # Written once: the parts of a group need its size, and what is above may be dear.
+    rows = stored(df.select(cell, *row_halves(F.col(key), seed), *cells), "draws")
+    parts = F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("bigint")
+    sizes = rows.groupBy("_cell").agg(parts.alias("_parts"))
+    dealt = salted_join(rows, sizes, ["_cell"], ["_a", "_b"])
+    dealt = dealt.select(*rows.columns, F.expr("pmod(_a, _parts)").alias("_part"))
     # Drawing is the work here, not the size of the rows, so the task count is set by hand.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(tasks, "grp", "_a", "_b").sortWithinPartitions("grp")
-    sums = [f"s{k}" for k in range(len(cells))]
-    schema = ", ".join(["grp string", "b int", *[f"{s} double" for s in sums]])
-    partial = rows.mapInArrow(_partial_sums(n_boot, len(cells)), schema)
-    totals = partial.groupBy("grp", "b").agg(*[F.sum(s).alias(s) for s in sums])
-    stats = totals.select(
-        "grp",
-        *[
-            F.when(F.col(f"s{2 * k}") > 0, F.col(f"s{2 * k + 1}") / F.col(f"s{2 * k}")).alias(name)
-            for k, name in enumerate(names)
-        ],
-    )
-    alpha = (1.0 - ci) / 2.0
-    ends = F.array(F.lit(alpha), F.lit(1.0 - alpha))
-    bounds = stats.groupBy("grp").agg(*[F.percentile(name, ends).alias(name) for name in names])
+    dealt = dealt.repartition(tasks, "_cell", "_part").sortWithinPartitions("_cell")
+    partial = dealt.mapInArrow(_partial_sums(n_boot, len(cells)), "grp string, sums binary")
+    merged = partial.repartition("grp").sortWithinPartitions("grp")
+    bounds = merged.mapInArrow(_bounds(n_boot, len(measures), ci), "grp string, bounds array<double>")
     out = []
-    for name, (_, stat) in measures.items():
+    for k, (name, (_, stat)) in enumerate(measures.items()):
         for at, side in enumerate(("lower", "upper")):
-            bound = F.col(name)[at]
+            bound = F.col("bounds")[2 * k + at]
             out.append((F.exp(bound) if log_scale(stat) else bound).alias(f"{name}_{side}"))
     return bounds.select(F.col("grp").alias(group), *out)
 
