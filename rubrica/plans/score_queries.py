@@ -11,6 +11,7 @@ from rubrica.operators import judgments as J
 from rubrica.operators import scores as A
 from rubrica.plans import bindings as b
 from rubrica.plans.registry import query
+from rubrica.session import stored
 
 
 def resolved(spark, d):
@@ -649,7 +650,7 @@ def bootstrap_ci_gm(spark, d):
 )
 def leaderboard_ci(spark, d):
     """The leaderboard with intervals of covered AM and GM."""
-    scores = collapsed(spark, d)
+    scores = stored(collapsed(spark, d).drop("answers", "judge_error"), "collapsed")
     return A.leaderboard(scores, B.leaderboard_ci(scores, N_BOOT, seed=SEED))
 
 
