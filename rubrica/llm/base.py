@@ -31,6 +31,26 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(text)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_, name__, ... that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def wrapped(docs: DataFrame, *more: Column) -> DataFrame:
+    """All columns in one struct ``row``, so that an operator's own columns cannot clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
+def unwrapped(rows: DataFrame, columns: list[str], text: Column | None = None) -> DataFrame:
+    """The columns back from ``row``, with a new ``text`` if one is given."""
+    return rows.select(
+        *[text.alias(c) if c == "text" and text is not None else F.col("row").getField(c).alias(c) for c in columns]
+    )
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends here and a lost executor costs nothing."""
     path = scratch_path(df.sparkSession, name)

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rubrica.llm.base import stored
+from rubrica.llm.base import free_name, stored
 from rubrica.operators.ranking import rank_within
 
 Leaf = tuple[str, str, int, float]
@@ -90,21 +90,13 @@ def descend(docs: DataFrame, key: Column, tree: list[Leaf], names: list[str]) ->
     return docs
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """``name``, or the first of name_, name__, ... that no column of the table has."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def write_shards(
     docs: DataFrame, tree: list[Leaf], path: str, key: str = "doc_id", rows: int = 1_000_000
 ) -> None:
     """All columns as Parquet, one folder per shard; a large shard is written by many tasks, files are
     cut at ``rows``. The folder column is ``shard``, with underscores added while the table has such a name.
     """
-    names = [_free(docs, n) for n in ("region", "rack", "shard")]
+    names = [free_name(docs, n) for n in ("region", "rack", "shard")]
     placed = descend(docs, F.col(key), tree, names).drop(*names[:2])
     placed.write.option("maxRecordsPerFile", rows).partitionBy(names[2]).parquet(path)
 

@@ -1,130 +1,166 @@
-"""Line dedup by content-defined chunks of lines, in built-in expressions only.
+"""Line dedup by content-defined chunks of lines at two scales, in built-in expressions only.
 
-A rolling hash over each line and the one before it chooses where chunks end: after a line whose
-value is 0 modulo ``spread``. Borders depend on two lines only, so inserted or lost lines move
-no border further on. A chunk of several lines that occurs again, in any document, goes; the first
-occurrence by doc_id and place stays. Hashes only propose repeats: a chunk is removed after its
-bytes were compared with those of the occurrence that stays.
+Lines with a character other than white space (``[\\x20\\x09-\\x0D]``) count; blank ones between two of them share
+their fate. A rolling hash over the hashes of a line and the one before it chooses borders: after a line whose
+value is 0 modulo ``spread`` a *chunk* ends. Borders depend on two lines only, so inserted or lost lines move no border
+further on. A chunk lies inside a repeated run only by chance at its ends, so at the finer scale every line is a border and
+every two neighbouring lines are a *pair*: pairs carry a match line by line to both ends of the run, and find runs too short to
+hold a chunk. What repeats as a whole chunk is handled as one; pairs inside it are left out.
+
+Of equal chunks or pairs, in any documents, the first by doc_id, text hash and place stays and the others go. Hashes only
+propose repeats: text goes after its bytes were compared with those of the occurrence that stays. Every line that occurs
+stays at its first occurrence: no pair or chunk that holds it can have an earlier one.
+
+Only hashes and places are counted and shuffled; bodies are cut from the documents for repeats alone and meet in an
+aggregate per hash, so a passage that a third of the documents share is folded where it is read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
 
-from rubrica.llm.base import text_key
+from rubrica.llm.base import stored, text_key, unwrapped, wrapped
 
 SPREAD = 4
-MIN_LINES = 2
-_KEY = ["_id", "_h"]
+# Up to so many rows of a counted table are broadcast, more are shuffled.
+BROADCAST_ROWS = 1_000_000
 _LEAST = -(2**63)
+_CONTENT = "[^\\x20\\x09-\\x0D]"
 
 
-def _rank() -> Column:
-    """The id as a number by which NULL comes first."""
-    return F.coalesce("_id", F.lit(_LEAST))
-
-
-def chunked(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """All columns, and ``_chunks``: the chunks of the text in order.
-
-    The rolling value is 28 bits of an md5, so that any SQL engine can repeat it. No line holds a
-    line feed, so a digit in front of each line (1 where a chunk begins) lets one split cut the
-    text in linear time.
-    """
-    df = docs.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-
-    def begins(i: Column) -> Column:
-        pair = F.concat_ws("\n", F.get("_lines", i - 2), F.get("_lines", i - 1))
-        value = F.conv(F.substring(F.md5(pair), 1, 7), 16, 10).cast("bigint")
-        return (i > 0) & (value % spread == 0)
-
-    marked = F.transform("_lines", lambda x, i: F.concat(F.when(begins(i), "1").otherwise("0"), x))
-    df = df.withColumn("_parts", F.split(F.array_join(marked, "\n"), "\n1"))
-    bodies = F.transform(
-        "_parts",
-        lambda p, j: F.replace(
-            F.when(j == 0, F.substring(p, 2, 2**31 - 1)).otherwise(p), F.lit("\n0"), F.lit("\n")
-        ),
-    )
-    return df.withColumn("_chunks", bodies).drop("_lines", "_parts")
+def _key() -> Column:
+    """A document: its id and text; NULL ids match each other inside a struct."""
+    return F.struct("doc_id", text_key(F.coalesce("text", F.lit(""))).alias("h")).alias("key")
 
 
-def _line_count(body: str) -> Column:
-    return F.char_length(body) - F.char_length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
+def _lined(rows: DataFrame, *keep: str | Column) -> DataFrame:
+    """``keep``, all lines of ``text``, the places of those with content, and these lines."""
+    rows = rows.select(*keep, F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    numbered = F.transform("lines", lambda x, i: F.when(F.rlike(x, F.lit(_CONTENT)), i))
+    rows = rows.withColumn("at", F.filter(numbered, lambda i: i.isNotNull()))
+    return rows.withColumn("content", F.transform("at", lambda i: F.get("lines", i)))
 
 
-def _occurrences(docs: DataFrame, spread: int, min_lines: int) -> DataFrame:
-    """One row per chunk of ``min_lines`` lines or more that is not blank: key, place, hash, body."""
-    rows = docs.select(
-        F.col("doc_id").alias("_id"), text_key(F.coalesce("text", F.lit(""))).alias("_h"), "text"
+def _units(docs: DataFrame, spread: int) -> DataFrame:
+    """key, first, last (numbers of content lines) and hash of every pair and every chunk of three lines or more."""
+    rows = _lined(docs, _key())
+    rows = rows.select("key", F.transform("content", lambda x: F.xxhash64(x)).alias("h"))
+    n = F.size("h")
+    rows = rows.filter(n > 1).withColumn(
+        "rolled", F.transform(F.slice("h", 2, n - 1), lambda x, i: F.xxhash64(F.get("h", i), x))
     )
-    # The outer form: for the inner one Catalyst would evaluate all chunks once more in a filter.
-    rows = chunked(rows, spread).select(*_KEY, F.posexplode_outer("_chunks").alias("_at", "_body"))
-    rows = rows.withColumn("_n", _line_count("_body"))
-    rows = rows.filter((F.col("_n") >= min_lines) & (F.trim("_body") != ""))
-    return rows.select(*_KEY, "_at", F.xxhash64("_body").alias("_hash"), "_n", "_body")
-
-
-def repeated_chunks(
-    docs: DataFrame, spread: int = SPREAD, min_lines: int = MIN_LINES
-) -> DataFrame:
-    """Chunks to remove: _id, _h (of the document), _at, _n, and _first_id, the document that keeps it.
-
-    Counting moves one small row per distinct chunk and task, so a chunk that a third of the
-    documents share is counted where it is read. Bodies are moved for repeated chunks alone.
-    """
-    found = _occurrences(docs, spread, min_lines)
-    counted = found.groupBy("_hash").agg(
-        F.count(F.lit(1)).alias("_copies"), F.min(_rank()).alias("_first")
+    # A chunk begins at line k when the pair of the two lines before it says so.
+    starts = F.transform("rolled", lambda x, i: F.when(x % spread == 0, i + 2))
+    starts = F.concat(F.array(F.lit(0)), F.filter(starts, lambda i: i.isNotNull() & (i < n)))
+    rows = rows.withColumn("starts", starts)
+    pairs = F.transform("rolled", lambda x, i: F.struct(i.alias("first"), (i + 1).alias("last"), x.alias("hash")))
+    ends = F.transform("starts", lambda s, q: F.coalesce(F.get("starts", q + 1), F.size("h")) - 1)
+    spans = F.filter(F.arrays_zip(F.col("starts").alias("first"), ends.alias("last")), lambda c: c["last"] - c["first"] > 1)
+    chunks = F.transform(
+        spans,
+        lambda c: F.struct(
+            c["first"].alias("first"),
+            c["last"].alias("last"),
+            F.xxhash64(F.slice("h", c["first"] + 1, c["last"] - c["first"] + 1)).alias("hash"),
+        ),
     )
-    counted = counted.filter("_copies > 1").select("_hash", "_first")
-    again = found.join(counted, "_hash")
-    head = again.filter(_rank() == F.col("_first")).groupBy("_hash")
-    keeper = head.agg(F.min(F.struct("_h", "_at", "_body")).alias("_kept"))
-    rest = again.join(keeper, "_hash")
-    is_kept = (_rank() == F.col("_first")) & (F.struct("_h", "_at") == F.struct("_kept._h", "_kept._at"))
-    same = rest.filter(~is_kept & (F.col("_body") == F.col("_kept._body")))
-    return same.select(*_KEY, "_at", "_n", F.nullif("_first", F.lit(_LEAST)).alias("_first_id"))
-
-
-def dedup_lines(docs: DataFrame, spread: int = SPREAD, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with repeated chunks cut out of ``text``, and ``_cut``: (at, lines, first_id) of each.
+    # The outer form: for the inner one Catalyst would evaluate all units once more in a filter.
+    return rows.select("key", F.inline_outer(F.concat(pairs, chunks))).filter("hash IS NOT NULL")
+
+
+def _place() -> Column:
+    """The order of occurrences; a NULL id comes first."""
+    rank = F.coalesce("key.doc_id", F.lit(_LEAST)).alias("id")
+    return F.struct(rank, F.col("key.h").alias("h"), "first", "last")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table with the broadcast hint where its counted rows allow one."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def line_cuts(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
+    """key and cuts of documents that lose lines: ranges (first, last) of content lines, in order and apart."""
+    units = stored(_units(docs, spread), "units")
+    counted = units.groupBy("hash").agg(F.min(_place()).alias("keeper"), F.max(_place()).alias("_last"))
+    counted = stored(counted.filter("keeper <> _last").select("hash", "keeper"), "repeated")
+    again = units.join(_small(counted), "hash").withColumn("gone", _place() != F.col("keeper")).drop("keeper")
+    again = stored(again.distinct(), "occurrences")
+    # Pairs inside a chunk that goes need no look of their own; their units come after the chunk's.
+    before = W.partitionBy("key").orderBy("first", F.desc("last")).rowsBetween(W.unboundedPreceding, -1)
+    whole = F.when(F.col("gone") & (F.col("last") - F.col("first") > 1), F.col("last"))
+    again = again.withColumn("inside", F.coalesce(F.max(whole).over(before) >= F.col("last"), F.lit(False)))
+    wanted = stored(again.filter("gone AND NOT inside").drop("gone", "inside"), "wanted")
+    # What goes is compared with the occurrence that stays: bodies of both, from their documents.
+    hashes = wanted.select("hash").distinct()
+    kept = counted.join(hashes, "hash", "left_semi").select(
+        F.struct(F.nullif("keeper.id", F.lit(_LEAST)).alias("doc_id"), "keeper.h").alias("key"),
+        "keeper.first", "keeper.last", "hash",
+    )
+    places = wanted.select("key", "first", "last", "hash").unionByName(kept)
+    listed = places.groupBy("key").agg(F.collect_list(F.struct("first", "last", "hash")).alias("places"))
+    read = docs.select(_key(), "text").join(_small(stored(listed, "places")), "key")
+    read = _lined(read, "key", "places").select("content", F.explode_outer("places").alias("p"))
+    body = F.array_join(F.slice("content", F.col("p.first") + 1, F.col("p.last") - F.col("p.first") + 1), "\n")
+    read = read.select(F.col("p.hash").alias("hash"), body.alias("body"))
+    bodies = read.groupBy("hash").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+    equal = stored(bodies.filter("low = high").select("hash"), "equal")
+    cuts = wanted.join(_small(equal), "hash", "left_semi")
+    # Ranges that overlap or touch are one.
+    line = W.partitionBy("key").orderBy("first", "last")
+    reach = F.max("last").over(line.rowsBetween(W.unboundedPreceding, -1))
+    cuts = cuts.withColumn("new", F.coalesce(F.col("first") > reach + 1, F.lit(True)).cast("int"))
+    cuts = cuts.withColumn("run", F.sum("new").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    runs = cuts.groupBy("key", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("cuts"))
+
+
+def _cut(docs: DataFrame, spread: int) -> DataFrame:
+    """All rows as a struct ``row``; ``text``, and ``left`` and ``cut`` (ranges of lines), NULL without cuts."""
+    cuts = stored(line_cuts(docs, spread), "cuts")
+    rows = wrapped(docs, _key(), F.col("text"))
+    rows = rows.join(_small(cuts), "key", "left")
+    rows = _lined(rows, "row", "text", "cuts")
+    ranges = F.transform("cuts", lambda c: F.struct(F.get("at", c["first"]).alias("first"), F.get("at", c["last"]).alias("last")))
+    rows = rows.select("row", "text", "lines", ranges.alias("cut"))
+    edges = F.sequence(F.lit(0), F.size("cut"))
+    kept = F.transform(edges, lambda k: F.slice("lines", _after(k) + 1, _until(k) - _after(k)))
+    left = F.when(F.col("cut").isNotNull(), F.array_join(F.flatten(kept), "\n"))
+    return rows.select("row", "text", "cut", F.when(F.col("cut").isNull(), F.col("text")).otherwise(left).alias("left"))
+
+
+def _after(k: Column) -> Column:
+    """The first line behind cut k - 1."""
+    return F.when(k == 0, 0).otherwise(F.get("cut", k - 1)["last"] + 1)
+
+
+def _until(k: Column) -> Column:
+    """The first line of cut k."""
+    return F.when(k == F.size("cut"), F.size("lines")).otherwise(F.get("cut", k)["first"])
+
+
+def dedup_lines(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
+    """``docs`` with repeated chunks and pairs of lines cut out of ``text``, in the columns of ``docs``.
 
     A NULL text stays NULL; a text of which nothing is left becomes empty; texts without repeats
     come back byte for byte. Repeated rows (equal doc_id and text) count as one document and keep or
-    lose the same chunks. Blank chunks and chunks below ``min_lines`` lines are never cut. Extra
-    columns pass through; names that begin with an underscore are the operator's own.
+    lose the same lines. A line alone is never cut, and blank lines only go between lines that do. Extra columns
+    pass through whatever their names are. An empty table gives no rows.
     """
-    cut = repeated_chunks(docs, spread, min_lines).distinct()
-    cuts = cut.groupBy(*_KEY).agg(
-        F.sort_array(F.collect_list(F.struct("_at", F.col("_n").alias("lines"), "_first_id"))).alias("_cut")
-    )
-    cuts = cuts.select(F.coalesce("_id", F.lit(0)).alias("_k"), F.col("_id").isNull().alias("_z"), "_h", "_cut")
-    rows = docs.withColumns(
-        {"_k": F.coalesce("doc_id", F.lit(0)), "_z": F.col("doc_id").isNull(),
-         "_h": text_key(F.coalesce("text", F.lit("")))}
-    )
-    joined = chunked(rows.join(cuts, ["_k", "_z", "_h"], "left"), spread)
-    places = F.transform("_cut", lambda c: c["_at"])
-    joined = joined.withColumn("_places", places)
-    left = F.filter("_chunks", lambda c, j: ~F.array_contains("_places", j))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], "_cut")
+    return unwrapped(_cut(docs, spread), docs.columns, F.col("left"))
 
 
-def line_report(docs: DataFrame, spread: int = SPREAD, min_lines: int = MIN_LINES) -> DataFrame:
-    """Per document: doc_id, n_cut (lines removed), cut (place:lines:first doc of each chunk), text_sha256.
+def line_report(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
+    """Per document: doc_id, n_cut (lines removed), cut (first line:lines of each range), text_sha256.
 
     An empty table gives no rows; a NULL text counts as empty here.
     """
-    done = dedup_lines(docs.select("doc_id", "text"), spread, min_lines)
-    listed = F.transform(
-        "_cut",
-        lambda c: F.concat_ws(":", c["_at"], c["lines"], F.coalesce(c["_first_id"].cast("string"), F.lit("NULL"))),
-    )
-    lines = F.coalesce(F.aggregate("_cut", F.lit(0), lambda s, c: s + c["lines"]), F.lit(0))
-    listed = F.coalesce(F.array_join(listed, ","), F.lit(""))
+    done = _cut(docs.select("doc_id", "text"), spread)
+    listed = F.transform("cut", lambda c: F.concat_ws(":", c["first"], c["last"] - c["first"] + 1))
+    lines = F.aggregate("cut", F.lit(0), lambda s, c: s + c["last"] - c["first"] + 1)
     return done.select(
-        "doc_id", lines.cast("bigint").alias("n_cut"), listed.alias("cut"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+        F.col("row.doc_id").alias("doc_id"), F.coalesce(lines, F.lit(0)).cast("bigint").alias("n_cut"),
+        F.coalesce(F.array_join(listed, ","), F.lit("")).alias("cut"),
+        F.sha2(F.coalesce("left", F.lit("")), 256).alias("text_sha256"),
     )

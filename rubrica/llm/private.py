@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rubrica.llm.base import bare, stored, text_key
+from rubrica.llm.base import bare, stored, text_key, unwrapped, wrapped
 
 # Fixed: the base patterns, with possessive groups so that no text makes them backtrack. A local
 # part or a number begins where no character of its class stands before it, or where the match
@@ -315,10 +315,11 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     """
     marks = find_private(docs, **options).filter(F.size("_all") > 0)
     marks = marks.select(*_KEY, F.col("_all").alias("_spans")).dropDuplicates(_KEY)
-    rows = docs.withColumns(
-        {"_k": F.coalesce("doc_id", F.lit(0)), "_z": F.col("doc_id").isNull(),
-         "_h": text_key(F.coalesce("text", F.lit("")))}
-    ).join(marks, _KEY, "left")
+    keys = [
+        F.coalesce("doc_id", F.lit(0)).alias("_k"), F.col("doc_id").isNull().alias("_z"),
+        text_key(F.coalesce("text", F.lit(""))).alias("_h"),
+    ]
+    rows = wrapped(docs, F.col("text"), *keys).join(marks, _KEY, "left")
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -334,4 +335,4 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(
         F.concat(F.array_join("_cut.parts", ""), tail)
     )
-    return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    return unwrapped(rows, docs.columns, text)

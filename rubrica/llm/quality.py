@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     return fit(pairs, np.array([r[1] for r in found], np.float64))
 
 
-def _scorer(model: Machine):
+def _scorer(model: Machine, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scores = []
@@ -175,21 +175,21 @@ def _scorer(model: Machine):
                 index, value = features(text or "")
                 scores.append(float(_sigmoid(model.margins(index, value, np.array([0])))[0]))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, "score"]
+                [*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, name]
             )
 
     return run
 
 
-def score(docs: DataFrame, model: Machine) -> DataFrame:
-    """All columns of ``docs`` and ``score``: how likely label 1 is. Only ``text`` is looked at.
+def score(docs: DataFrame, model: Machine, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` and ``name``: how likely label 1 is. Only ``text`` is looked at.
 
-    NULL and empty texts are scored alike, by their structure; repeated rows get equal scores; a
-    column named score must not exist yet.
+    NULL and empty texts are scored alike, by their structure; repeated rows get equal scores. ``name`` must
+    be free: see ``free_name``.
     """
     small = Machine(model.bias, model.linear.astype(np.float32), model.factors.astype(np.float32))
     fields = [f"`{n.replace('`', '``')}` {t}" for n, t in docs.dtypes]
-    return docs.mapInArrow(_scorer(small), ", ".join([*fields, "score double"]))
+    return docs.mapInArrow(_scorer(small, name), ", ".join([*fields, f"`{name}` double"]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

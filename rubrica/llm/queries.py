@@ -217,26 +217,32 @@ ORACLES: dict[str, str] = {
         FROM d JOIN g ON d.t = g.t
     """,
     "op9_line_dedup": """
-        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l
-                   FROM documents),
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
         n AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
-        e AS (SELECT doc_id, i, l[i] AS line,
-                     i = len(l) OR ('0x' || substr(md5(CASE WHEN i > 1 THEN l[i - 1] || chr(10) || l[i]
-                                                       ELSE l[i] END), 1, 7))::BIGINT % 4 = 0 AS ends
-              FROM n),
-        c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i
-                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM e),
-        k AS (SELECT doc_id, pos, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS body
-              FROM c GROUP BY doc_id, pos),
-        m AS (SELECT *, lines >= 2 AND trim(body) <> '' AS fit,
-                     row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS nth,
-                     first_value(doc_id) OVER (PARTITION BY body ORDER BY doc_id, pos) AS first_id FROM k),
-        r AS (SELECT *, fit AND nth > 1 AS gone FROM m)
-        SELECT doc_id, coalesce(sum(lines) FILTER (WHERE gone), 0)::BIGINT AS n_cut,
-               coalesce(string_agg(concat_ws(':', pos, lines, first_id), ',' ORDER BY pos)
-                        FILTER (WHERE gone), '') AS cut,
-               sha256(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), ''))
-                   AS text_sha256
-        FROM r GROUP BY doc_id
+        c AS (SELECT doc_id, l[i] AS line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k
+              FROM n WHERE regexp_matches(l[i], '[^\x20\x09-\x0D]')),
+        p AS (SELECT doc_id, i, lead(i) OVER w AS j, line || chr(10) || lead(line) OVER w AS body
+              FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        g AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS FIRST, i) > 1 AS gone
+              FROM p WHERE j IS NOT NULL),
+        x AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM g WHERE gone),
+        m AS (SELECT n.doc_id, n.i, l[n.i] AS line, x.i IS NOT NULL AS gone,
+                     coalesce(content.k, 0) AS k FROM n LEFT JOIN x ON n.doc_id = x.doc_id AND n.i = x.i
+              LEFT JOIN c AS content ON n.doc_id = content.doc_id AND n.i = content.i),
+        r AS (SELECT *, max(CASE WHEN gone THEN i END) OVER w AS last_gone,
+                     max(CASE WHEN NOT gone AND k > 0 THEN i END) OVER w AS last_kept
+              FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        -- A blank line between two lines that go, with none that stays between them, goes too.
+        t AS (SELECT *, gone OR (k = 0 AND last_gone > coalesce(last_kept, 0) AND
+                     coalesce(min(CASE WHEN gone THEN i END) OVER v <
+                              coalesce(min(CASE WHEN NOT gone AND k > 0 THEN i END) OVER v, 9e18), false)) AS cut
+              FROM r WINDOW v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+        s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, cut ORDER BY i) AS island FROM t),
+        u AS (SELECT doc_id, min(i) - 1 AS first, count(*) AS lines FROM s WHERE cut GROUP BY doc_id, island),
+        a AS (SELECT doc_id, sum(lines)::BIGINT AS n_cut, string_agg(concat_ws(':', first, lines), ',' ORDER BY first) AS cut
+              FROM u GROUP BY doc_id),
+        b AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT cut) AS body FROM t GROUP BY doc_id)
+        SELECT b.doc_id, coalesce(n_cut, 0) AS n_cut, coalesce(a.cut, '') AS cut, sha256(coalesce(body, '')) AS text_sha256
+        FROM b LEFT JOIN a ON a.doc_id = b.doc_id
     """,
 }

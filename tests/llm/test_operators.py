@@ -199,14 +199,53 @@ def test_lines_of_one_band_all_meet(spark):
 
 def test_line_dedup(docs):
     rows = _by_id(lines.dedup_lines(docs))
-    left, kept = rows[14].text.split("\n"), TEXTS[13].split("\n")
-    assert rows[13].text == TEXTS[13] and rows[14]["_cut"]
-    assert len(left) < len(TEXTS[14].split("\n"))
-    assert all(line in TEXTS[14].split("\n") for line in left)
-    assert all(c["_first_id"] == 13 for c in rows[14]["_cut"]) and set(kept)
+    # All shared lines go from the later document, to both ends of the run.
+    assert rows[13].text == TEXTS[13] and rows[14].text == "new\nend"
     for i in (1, 2, 4, 5, 8, 9, 15):
         assert rows[i].text == TEXTS[i]
-    assert rows[1].score == "clash"
+    assert rows[1].score == "clash" and lines.dedup_lines(docs).columns == docs.columns
+
+
+def _deduped(texts: list[str]) -> list[str]:
+    """Pairs of neighbouring content lines, the first occurrence of each stays."""
+    seen, out = set(), []
+    for text in texts:
+        all_lines = text.split("\n")
+        at = [i for i, x in enumerate(all_lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+        gone = set()
+        for i, j in zip(at, at[1:], strict=False):
+            pair = (all_lines[i], all_lines[j])
+            if pair in seen:
+                gone.update((i, j))
+            seen.add(pair)
+        # Blank lines between two lines that go, go too.
+        for i, j in zip(at, at[1:], strict=False):
+            if i in gone and j in gone:
+                gone.update(range(i, j))
+        out.append("\n".join(x for i, x in enumerate(all_lines) if i not in gone))
+    return out
+
+
+def test_line_runs_go_whole(spark):
+    """Runs of 2 to 40 lines planted in three documents each: every line of the later copies goes."""
+    rng = random.Random(2)
+    texts, planted = [], []
+    for n in [2, 2, 2, 3, 3, 5, 5, 8, 12, 40]:
+        run = [f"run {n} {rng.random()}" for _ in range(n)]
+        run = [x for line in run for x in ([line, ""] if n == 8 else [line])]
+        for _ in range(3):
+            own = [f"own {rng.random()}" for _ in range(rng.randint(1, 6))]
+            at = rng.randint(0, len(own))
+            texts.append("\n".join([*own[:at], *run, *own[at:]]))
+            planted.append((len(texts) - 1, own))
+    texts += ["\n\n\n", "\n\n\n", " \n\t\n", "alone", "alone", "a\na\na\na", "x\r\ny\r\n", "z\nx\r\n \ny\r\n"]
+    df = spark.createDataFrame([(i, t, i, t, t) for i, t in enumerate(texts)], "doc_id bigint, text string, row bigint, key string, cuts string")
+    rows = _by_id(lines.dedup_lines(df))
+    assert [rows[i].text for i in range(len(texts))] == _deduped(texts)
+    assert all(rows[i].row == i and rows[i].key == rows[i].cuts == texts[i] for i in rows)
+    for k, (i, own) in enumerate(planted):
+        if k % 3:
+            assert [x for x in rows[i].text.split("\n") if x] == own
 
 
 def _base(t: str) -> str:
