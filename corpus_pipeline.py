@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rubrica.llm import forest, lines, packing, private, quality
-from rubrica.llm.base import read_documents, stored, text_key
+from rubrica.llm.base import free_name, read_documents, stored, text_key, unwrapped, wrapped
 
 # Up to so many dropped documents are broadcast, more are shuffled.
 BROADCAST_DROPPED = 500_000
@@ -26,24 +26,37 @@ def _measured(docs: DataFrame) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject (score of 0.3 or more)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score(docs, quality.train(docs, labels))
-    return scored.filter(F.col("score") >= quality.THRESHOLD).drop("score")
+    name = free_name(docs, "score")
+    scored = quality.score(docs, quality.train(docs, labels), name)
+    return scored.filter(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, repeated chunks of lines cut after their first occurrence."""
-    return _measured(lines.dedup_lines(docs).drop("_cut"))
+    """All documents, lines of repeated runs cut after their first occurrence."""
+    return _measured(lines.dedup_lines(docs))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
-    groups = forest.near_groups(docs)
-    dropped = groups.filter("doc_id <> component_id").select("doc_id", "_h").distinct()
-    dropped = stored(dropped, "dropped")
-    if dropped.count() <= BROADCAST_DROPPED:
-        dropped = F.broadcast(dropped)
-    keyed = docs.withColumn("_h", text_key(F.coalesce("text", F.lit(""))))
-    return keyed.join(dropped, ["doc_id", "_h"], "left_anti").select(*docs.columns)
+    """The document with the smallest doc_id of each group of near duplicates.
+
+    Of rows with equal doc_id and text one stays. A row without a doc_id goes if its group has a row with one;
+    groups of such rows only are left as they are, for want of a name.
+    """
+    groups = stored(forest.near_groups(docs).select(F.struct("doc_id", "_h").alias("key"), "component_id"), "groups")
+    leaves = ~F.col("key.doc_id").eqNullSafe(F.col("component_id"))
+    dropped = stored(groups.filter(leaves).select("key").distinct(), "dropped")
+    twice = groups.filter(~leaves).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    twice = stored(twice, "repeated-rows")
+    key = F.struct("doc_id", text_key(F.coalesce("text", F.lit(""))).alias("_h")).alias("key")
+    rows = wrapped(docs, key).join(_small(dropped), "key", "left_anti")
+    if twice.head(1):
+        once = rows.join(_small(twice), "key", "left_semi").dropDuplicates(["key"])
+        rows = rows.join(_small(twice), "key", "left_anti").unionByName(once)
+    return unwrapped(rows, docs.columns)
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_DROPPED else keys
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
