@@ -23,8 +23,8 @@ from pyspark.sql import Window as W
 from rubrica.llm.base import stored, text_key, unwrapped, wrapped
 
 SPREAD = 4
-# Up to so many rows of a counted table are broadcast, more are shuffled.
-BROADCAST_ROWS = 1_000_000
+# A counted table with up to so many entries (rows, or elements of its lists) is broadcast, a larger one shuffled.
+BROADCAST_ENTRIES = 200_000
 _LEAST = -(2**63)
 _CONTENT = "[^\\x20\\x09-\\x0D]"
 
@@ -75,9 +75,11 @@ def _place() -> Column:
     return F.struct(rank, F.col("key.h").alias("h"), "first", "last")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A stored table with the broadcast hint where its counted rows allow one."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """A stored table with the broadcast hint where its counted entries allow one."""
+    entries = F.size(lists) + 1 if lists else F.lit(1)
+    n = df.agg(F.coalesce(F.sum(entries), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= BROADCAST_ENTRIES else df
 
 
 def line_cuts(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
@@ -100,7 +102,7 @@ def line_cuts(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     )
     places = wanted.select("key", "first", "last", "hash").unionByName(kept)
     listed = places.groupBy("key").agg(F.collect_list(F.struct("first", "last", "hash")).alias("places"))
-    read = docs.select(_key(), "text").join(_small(stored(listed, "places")), "key")
+    read = docs.select(_key(), "text").join(_small(stored(listed, "places"), "places"), "key")
     read = _lined(read, "key", "places").select("content", F.explode_outer("places").alias("p"))
     body = F.array_join(F.slice("content", F.col("p.first") + 1, F.col("p.last") - F.col("p.first") + 1), "\n")
     read = read.select(F.col("p.hash").alias("hash"), body.alias("body"))
@@ -120,7 +122,7 @@ def _cut(docs: DataFrame, spread: int) -> DataFrame:
     """All rows as a struct ``row``; ``text``, and ``left`` and ``cut`` (ranges of lines), NULL without cuts."""
     cuts = stored(line_cuts(docs, spread), "cuts")
     rows = wrapped(docs, _key(), F.col("text"))
-    rows = rows.join(_small(cuts), "key", "left")
+    rows = rows.join(_small(cuts, "cuts"), "key", "left")
     rows = _lined(rows, "row", "text", "cuts")
     ranges = F.transform("cuts", lambda c: F.struct(F.get("at", c["first"]).alias("first"), F.get("at", c["last"]).alias("last")))
     rows = rows.select("row", "text", "lines", ranges.alias("cut"))
