@@ -9,7 +9,8 @@ whole label. Candidates come in four rounds, and each is confirmed on the full s
 2. in regions whose nodes are not one component yet, a node meets its best partner of another
    component, by the share of equal bins of a sketch of one permutation: that joins most of a group;
 3. in those still mixed, a node meets its best partner in each other component;
-4. then all partners of other components whose share makes a link plausible.
+4. then all partners of other components whose share makes a link plausible, in the regions of the least depth: of a
+   large one, every part meets every part of what lies outside its largest component.
 
 A pair inside one component cannot change the result, so it is never tested.
 """
@@ -29,6 +30,7 @@ TREES = 20
 START = 3
 DEPTH = 6
 BLOCK = 256
+WIDE = 2048
 BINS = 512
 # A pair is tested from so many deviations of the sketch below 0.75 on.
 DEVIATIONS = 4.5
@@ -153,57 +155,98 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(joined.mapInArrow(_confirm, "a binary, b binary"), "links")
 
 
+def _mixed(regions: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, root, region, size, tree of those regions that hold several components."""
+    rows = regions.select("node", "region", "size", "tree").join(roots, "node", "left")
+    rows = rows.withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("region").agg(F.min("root").alias("_x"), F.max("root").alias("_y"))
+    return rows.join(mixed.filter("_x <> _y").select("region"), "region")
+
+
 def _open_blocks(regions: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, root, block, sketch of regions that hold several components.
+    """node, root, block, guest (false), sketch of regions that hold several components.
 
-    The regions of a tree that count are its deepest ones; a region that is still too large at
-    full depth is dealt into blocks by node, differently in each tree.
+    A region that is still too large at full depth is dealt into blocks by node, differently in each tree: that joins
+    most of it at little cost. What is left apart meets in ``_whole_blocks``.
     """
-    leaf = (F.col("size") <= BLOCK) | (F.col("depth") == DEPTH)
-    rows = regions.filter(leaf).join(roots, "node", "left")
-    rows = rows.withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("region").agg(F.min("root").alias("_x"), F.max("root").alias("_y"))
-    mixed = mixed.filter("_x <> _y").select("region")
-    parts = F.ceil(F.col("size") / BLOCK)
-    salt = F.pmod(F.xxhash64("node", "tree"), parts)
-    rows = rows.join(mixed, "region").select("node", "root", F.xxhash64("region", salt).alias("block"))
+    regions = regions.filter((F.col("size") <= BLOCK) | (F.col("depth") == DEPTH))
+    salt = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("size") / BLOCK))
+    rows = _mixed(regions, roots).select("node", "root", F.xxhash64("region", salt).alias("block"), F.lit(False).alias("guest"))
     return rows.join(nodes.select("node", "sketch"), "node")
 
 
+def _whole_blocks(regions: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """As ``_open_blocks``, but so that every two nodes meet that share any region, of the least depth too, and lie
+    in different components.
+
+    A region of up to ``BLOCK`` nodes is one block. In a larger one the nodes outside its largest component are the guests:
+    two nodes in different components are never both in the largest. Members and guests are dealt into parts of
+    ``WIDE``, and every part of members meets every part of guests under a key of its own.
+    """
+    rows = _mixed(regions.filter(F.col("depth") == START), roots)
+    small = rows.filter(F.col("size") <= BLOCK)
+    small = small.select("node", "root", F.xxhash64("region").alias("block"), F.lit(False).alias("guest"))
+    large = stored(rows.filter(F.col("size") > BLOCK).select("node", "root", "region", "size"), "large-regions")
+    counts = large.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("region").agg(
+        F.max(F.struct("n", "root"))["root"].alias("top"), (F.sum("n") - F.max("n")).alias("others")
+    )
+    large = large.join(top, "region").withColumns(
+        {"parts": F.ceil(F.col("size") / WIDE), "guests": F.ceil(F.col("others") / WIDE), "guest": F.col("root") != F.col("top")}
+    )
+    zero = F.lit(0).cast("bigint")
+
+    def met(rows: DataFrame, own: str, other: str, guest: bool) -> DataFrame:
+        place = F.pmod(F.xxhash64("node", F.lit(7)), F.col(own))
+        rows = rows.withColumn("own", place).withColumn("other", F.explode(F.sequence(zero, F.col(other) - 1)))
+        pair = ("other", "own") if guest else ("own", "other")
+        return rows.select("node", "root", F.xxhash64("region", *pair).alias("block"), F.lit(guest).alias("guest"))
+
+    dealt = met(large, "parts", "guests", False).unionByName(met(large.filter("guest"), "guests", "parts", True))
+    return small.unionByName(dealt).join(nodes.select("node", "sketch"), "node")
+
+
 def _block_pairs(reach: str):
-    """Pairs inside blocks: of a node and its "best" partner, the best in "each" component, or "all"."""
+    """Pairs inside blocks: of a node and its "best" partner, the best in "each" component, or "all".
 
-    def pairs_in(nodes: list, roots: list, sketches: list) -> set[tuple[bytes, bytes]]:
-        found = set()
+    In a block with guests these meet the others; elsewhere every node meets every other one.
+    """
+
+    def pairs_in(nodes: list, roots: list, guests: list, sketches: list) -> Iterator[tuple[bytes, bytes]]:
         bins = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(nodes), -1)
         _, comp = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)
-        for i in range(len(nodes)):
-            filled = np.count_nonzero(bins | bins[i], axis=1)
-            share = np.count_nonzero((bins == bins[i]) & (bins > 0), axis=1) / filled
-            fits = np.flatnonzero((share >= _plausible(filled)) & (comp != comp[i]))
+        asked = np.flatnonzero(guests)
+        others = np.flatnonzero(~np.array(guests, bool)) if len(asked) else np.arange(len(nodes))
+        asked = asked if len(asked) else others
+        among, kind = bins[others], comp[others]
+        for i in asked.tolist():
+            filled = np.count_nonzero(among | bins[i], axis=1)
+            share = np.count_nonzero((among == bins[i]) & (among > 0), axis=1) / filled
+            fits = np.flatnonzero((share >= _plausible(filled)) & (kind != comp[i]))
             if reach != "all":
                 fits = fits[np.lexsort((fits, -share[fits]))]
-                fits = fits[:1] if reach == "best" else fits[np.unique(comp[fits], return_index=True)[1]]
-            found.update((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in fits)
-        return found
+                fits = fits[:1] if reach == "best" else fits[np.unique(kind[fits], return_index=True)[1]]
+            for j in others[fits].tolist():
+                yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, current = ([], [], []), None
+        held, current = ([], [], [], []), None
 
         def close() -> Iterator[pa.RecordBatch]:
-            found = list(pairs_in(*held)) if len(held[0]) > 1 else []
-            for at in range(0, len(found), 10_000):
-                part = found[at : at + 10_000]
-                yield pa.RecordBatch.from_pydict(
-                    {"a": pa.array([x for x, _ in part], pa.binary()),
-                     "b": pa.array([y for _, y in part], pa.binary())}
-                )
-
-        for cols in rows_of(batches, "block", "node", "root", "sketch"):
+            found: set[tuple[bytes, bytes]] = set()
+            for pair in pairs_in(*held) if len(held[0]) > 1 else ():
+                found.add(pair)
+                if len(found) == 10_000:
+                    yield _pair_batch(found)
+                    found = set()
+            if found:
+                yield _pair_batch(found)
+
+        for cols in rows_of(batches, "block", "node", "root", "guest", "sketch"):
             for block, *row in zip(*cols, strict=True):
                 if block != current:
                     yield from close()
-                    held, current = ([], [], []), block
+                    held, current = ([], [], [], []), block
                 for column, value in zip(held, row, strict=True):
                     column.append(value)
         yield from close()
@@ -211,8 +254,13 @@ def _block_pairs(reach: str):
     return run
 
 
+def _pair_batch(found: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True)
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
 def _partner_pairs(blocks: DataFrame, reach: str) -> DataFrame:
-    cut = blocks.repartition("block").sortWithinPartitions("block", "node")
+    cut = blocks.repartition("block").sortWithinPartitions("block", "node", "guest")
     return _pairs(cut.mapInArrow(_block_pairs(reach), "a binary, b binary"))
 
 
@@ -241,7 +289,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     links = _links(tested, texts)
     roots = components(links)
     for reach in ("best", "each", "all"):
-        blocks = stored(_open_blocks(regions, roots, nodes), "blocks")
+        opened = _whole_blocks if reach == "all" else _open_blocks
+        blocks = stored(opened(regions, roots, nodes), "blocks")
         if blocks.isEmpty():
             break
         pairs = stored(_partner_pairs(blocks, reach).join(tested, ["a", "b"], "left_anti"), "pairs")

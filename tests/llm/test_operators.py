@@ -248,6 +248,32 @@ def test_line_runs_go_whole(spark):
             assert [x for x in rows[i].text.split("\n") if x] == own
 
 
+def test_no_link_is_lost_in_a_large_group(spark, monkeypatch):
+    """A large group of variants, and edited copies that are like one variant only: regions far above a block."""
+    monkeypatch.setattr(forest, "BLOCK", 8)
+    monkeypatch.setattr(forest, "WIDE", 16)
+    rng = random.Random(7)
+    base = _words(400, 70)
+    texts = {}
+    for k in range(600):
+        own = base[:]
+        for _ in range(3):
+            own[rng.randrange(400)] = f"v{rng.randrange(10**9)}"
+        texts[k] = own
+    for k in range(60):
+        own = texts[rng.randrange(600)][:]
+        # Ten spread edits cost fifty shingles: about .76 to the variant, below .75 to every other one.
+        for at in range(5, 400, 40):
+            own[at] = f"e{rng.randrange(10**9)}"
+        texts[600 + k] = own
+    sets = {i: {tuple(w[a : a + 5]) for a in range(396)} for i, w in texts.items()}
+    want = [i for i in range(600, 660) if any(100 * len(sets[i] & sets[k]) >= 75 * len(sets[i] | sets[k]) for k in range(600))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id bigint, text string")
+    rows = _by_id(forest.near_dedup(df))
+    assert all(rows[k].component_id == 0 for k in range(600))
+    assert len(want) > 20 and [i for i in want if rows[i].component_id != 0] == []
+
+
 def _base(t: str) -> str:
     patterns = (
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
