@@ -1,14 +1,12 @@
 """Personal data: fixed patterns, and words that give a protected value away, by co-occurrence.
 
-Base findings are e-mail addresses, IP numbers, card and phone numbers. Each distinct value is a
-protected entity. Over the distinct texts of the corpus, all words of the texts that hold it are counted:
-PMI(entity; word) = ln(p(word | entity) / p(word)) says how much of the entity's information
-IC = -ln(n(entity) / N) a word discloses. p(word | entity) is smoothed, so that a value of a single
-text counts too: the word's share in the entity's texts is drawn, with the weight of ``prior`` texts,
-to its share in the texts of the entity's group (its kind, or the domain of an e-mail address), and
-that one likewise to p(word) = n(word) / N. From ``generalise`` times IC on the word is generalised to
-its shape, from ``remove`` times IC on it is removed, in the documents that hold the entity. Only
-built-in expressions are used.
+Base findings are e-mail addresses, IP numbers, card and phone numbers. Each distinct value is a protected entity, and so is
+the domain of an e-mail address. Over the distinct texts of the corpus, PMI(entity; word) = ln(p(word | entity) / p(word))
+says how much of the entity's information IC = -ln(n(entity) / N) a word discloses. One text is no evidence, since there all
+its words go with the value: a word must stand in ``LEAST_TEXTS`` texts of the entity, and its PMI is taken at the
+lower end of a confidence interval, with the Wilson bounds of p(word | entity) from below and of p(word) from above. From
+``generalise`` times IC on the word is generalised to its shape, from ``remove`` times IC on it is removed, in every text
+where it stands: a text that reveals an entity without naming it is the case this is for. Only built-in expressions are used.
 """
 
 from __future__ import annotations
@@ -31,9 +29,11 @@ KINDS = list(PATTERNS)
 _WORD_CHAR = r"[^\x20\x09-\x0D]"
 _KEY = ["_k", "_z", "_h"]
 _STEP = 64
-PRIOR = 3.0
 GENERALISE = 0.7
 REMOVE = 0.9
+LEAST_TEXTS = 2
+# One-sided confidence of 95 % for each bound.
+DEVIATIONS = 1.645
 BROADCAST_WORDS = 200_000
 
 
@@ -146,11 +146,14 @@ def _words(text: Column | str) -> Column:
 
 
 def _entities(based: DataFrame) -> DataFrame:
-    """Distinct (text, entity): _k, _z, _h, _e, and _g, its group: the kind, of an e-mail its domain too."""
-    found = based.select(*_KEY, F.explode_outer("_base").alias("x")).filter("x IS NOT NULL")
+    """Distinct (text, entity): _h, _e and n_e, of entities that stand in ``LEAST_TEXTS`` texts or more."""
+    found = based.select("_h", F.explode_outer("_base").alias("x")).filter("x IS NOT NULL")
     kind, m = F.col("x.kind"), F.col("x.m")
-    domain = F.when(kind == "email", F.substring_index(F.lower(m), "@", -1))
-    return found.select(*_KEY, _entity(kind, m).alias("_e"), F.xxhash64(kind, domain).alias("_g")).distinct()
+    domain = F.when(kind == "email", F.xxhash64(F.lit("domain"), F.substring_index(F.lower(m), "@", -1)))
+    names = F.filter(F.array(_entity(kind, m), domain), lambda e: e.isNotNull())
+    held = found.select("_h", F.explode(names).alias("_e")).distinct()
+    texts = held.groupBy("_e").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= LEAST_TEXTS)
+    return held.join(texts, "_e")
 
 
 def _text_words(based: DataFrame) -> DataFrame:
@@ -192,42 +195,60 @@ def _word_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return hits.groupBy("_t").agg(F.round(F.sum(1.0 / F.col("_c"))).cast("bigint").alias("n_t"))
 
 
-def _share(n_et: str, n_e: str, n_gt: str, n_g: str, n_t: str, n: float, prior: float) -> Column:
-    """The part of an entity's information that a word discloses; NULL where the entity has none."""
-    alone = F.col(n_t) / F.lit(n)
-    group = (F.col(n_gt) + prior * alone) / (F.col(n_g) + prior)
-    own = (F.col(n_et) + prior * group) / (F.col(n_e) + prior)
-    return F.log(own / alone) / F.nullif(F.log(F.lit(n) / F.col(n_e)), F.lit(0.0))
+def _wilson(k: Column, n: Column, side: int) -> Column:
+    """The lower (side -1) or upper (1) confidence bound of a share of k in n."""
+    z2 = DEVIATIONS * DEVIATIONS
+    spread = F.sqrt(k * (n - k) / n + z2 / 4.0)
+    return (k + z2 / 2.0 + side * DEVIATIONS * spread) / (n + z2)
+
+
+def share_disclosed(n_et: Column, n_e: Column, n_t: Column, n: Column) -> Column:
+    """The part of an entity's information that a word surely discloses; NULL where the entity has none.
+
+    The entity stands in n_e texts, the word in n_t, both together in n_et, of n texts in all.
+    """
+    pmi = F.log(_wilson(n_et, n_e, -1) / _wilson(n_t, n, 1))
+    return pmi / F.nullif(F.log(n / n_e), F.lit(0.0))
 
 
 def disclosing(
-    rows: DataFrame, based: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE
+    rows: DataFrame, based: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
-    """Words that disclose an entity of their text: _h, _w, level (1 generalise, 2 remove).
+    """Words that disclose an entity: _t (hash), _w, level (1 generalise, 2 remove).
 
     ``rows`` are all documents, ``based`` those with findings. Everything is counted by distinct
-    text, so copies do not make a word look telling. Every word of a text is weighed with every
-    entity in it; entities of one text and one group only weigh alike, so they are counted as one.
+    text, so copies do not make a word look telling. Words too common to reach the threshold with any entity are left out
+    before words and entities of a text are brought together.
     """
-    held = _entities(based).select("_h", "_e", "_g").distinct()
-    texts = held.groupBy("_e").agg(F.count(F.lit(1)).alias("n_e"))
-    held = stored(held.join(texts, "_e"), "entities")
-    units = held.select("_h", "_g", "n_e", F.when(F.col("n_e") > 1, F.col("_e")).alias("_e")).distinct()
-    words = stored(_text_words(based), "text-words")
-    near = stored(words.join(units, "_h"), "cooccurrence")
-    joint = near.filter("_e IS NOT NULL").groupBy("_e", "_t").agg(F.count(F.lit(1)).alias("n_et"))
-    grouped = held.select("_h", "_g").distinct()
-    pooled = near.select("_h", "_g", "_t").distinct().groupBy("_g", "_t").agg(F.count(F.lit(1)).alias("n_gt"))
-    counts = _word_counts(rows, stored(words.select("_t").distinct(), "near-words"))
-    groups = grouped.groupBy("_g").agg(F.count(F.lit(1)).alias("n_g"))
-    total = rows.select("_h").distinct().agg(F.count(F.lit(1)).cast("double").alias("n"))
-    n = total.first()["n"]
-    told = near.join(joint, ["_e", "_t"], "left").withColumn("n_et", F.coalesce("n_et", F.lit(1)))
-    told = told.join(stored(pooled.join(counts, "_t").join(groups, "_g"), "word-counts"), ["_g", "_t"])
-    share = _share("n_et", "n_e", "n_gt", "n_g", "n_t", n, prior)
+    held = stored(_entities(based), "entities")
+    texts = based.join(held.select("_h").distinct(), "_h", "left_semi")
+    words = stored(_text_words(texts), "text-words")
+    counts = stored(_word_counts(rows, stored(words.select("_t").distinct(), "near-words")), "word-counts")
+    total = rows.select("_h").distinct().agg(F.count(F.lit(1)).cast("double").alias("n")).first()["n"]
+    n = F.lit(total)
+    most = held.agg(F.coalesce(F.max("n_e"), F.lit(1)).cast("double")).scalar()
+    can = (F.col("n_t") >= LEAST_TEXTS) & (F.log(n / F.col("n_t")) >= generalise * F.log(n / most))
+    rare = words.join(counts.filter(can), "_t")
+    near = rare.join(held, "_h")
+    joint = near.groupBy("_e", "_t").agg(
+        F.count(F.lit(1)).alias("n_et"), F.min("n_e").alias("n_e"), F.min("n_t").alias("n_t"), F.min("_w").alias("_w")
+    )
+    share = share_disclosed(F.col("n_et"), F.col("n_e"), F.col("n_t"), n)
     level = F.when(share >= remove, 2).when(share >= generalise, 1)
-    told = told.select("_h", "_w", level.alias("level")).filter("level IS NOT NULL")
-    return told.groupBy("_h", "_w").agg(F.max("level").alias("level"))
+    told = joint.filter(F.col("n_et") >= LEAST_TEXTS).select("_t", "_w", level.alias("level"))
+    return told.filter("level IS NOT NULL").groupBy("_t").agg(F.min("_w").alias("_w"), F.max("level").alias("level"))
+
+
+def _marked(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """Per distinct text that holds one of the words ``told``: _h, _general and _removed, its words by level."""
+    small = told.count() <= BROADCAST_WORDS
+    hashes = F.array_distinct(F.transform(_words("text"), lambda w: F.xxhash64(w)))
+    each = rows.select("_h", F.explode_outer(hashes).alias("_t"))
+    hits = each.join(F.broadcast(told) if small else told, "_t")
+    return hits.groupBy("_h").agg(
+        F.sort_array(F.collect_set(F.when(F.col("level") == 1, F.col("_w")))).alias("_general"),
+        F.sort_array(F.collect_set(F.when(F.col("level") == 2, F.col("_w")))).alias("_removed"),
+    )
 
 
 def _escaped(w: Column) -> Column:
@@ -257,33 +278,32 @@ def _telling(kind: str, order: int) -> Column:
     )
 
 
-def find_private(
-    docs: DataFrame, prior: float = PRIOR,
-    generalise: float = GENERALISE, remove: float = REMOVE,
-) -> DataFrame:
+def find_private(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Findings of every document: doc_id, _k, _z, _h (its key), _base and _all, sorted spans
     (s, o, e, kind, m) by code points; kinds are the base ones, ``general`` and ``removed``.
 
     A NULL text counts as empty and has no findings. Repeated rows get the same findings each and are
-    counted once. Words are only marked in documents that hold the entity which they disclose.
+    counted once. Words that disclose are marked wherever they stand, but for places that touch a base finding.
     """
     rows = bare(docs).withColumns(
         {"_k": F.coalesce("doc_id", F.lit(0)), "_z": F.col("doc_id").isNull(), "_h": text_key()}
     )
     found = with_base(rows).withColumn("text", F.when(F.size("_base") > 0, F.col("text")))
     found = stored(found.select("doc_id", *_KEY, "text", "_base"), "findings")
-    based = found.filter("text IS NOT NULL")
-    told = disclosing(rows, based, prior, generalise, remove)
-    lists = told.groupBy("_h").agg(
-        F.sort_array(F.collect_list(F.when(F.col("level") == 1, F.col("_w")))).alias("_general"),
-        F.sort_array(F.collect_list(F.when(F.col("level") == 2, F.col("_w")))).alias("_removed"),
-    )
-    told = based.select(*_KEY, "text", "_base").join(lists, "_h")
+    told = stored(disclosing(rows, found.filter("text IS NOT NULL"), generalise, remove), "disclosing")
+    found = found.drop("text")
+    if not told.head(1):
+        return found.withColumn("_all", F.col("_base"))
+    lists = stored(_marked(rows, told), "marked")
+    small = lists.agg(F.sum(F.size("_general") + F.size("_removed"))).first()[0] or 0
+    lists = F.broadcast(lists) if small <= BROADCAST_WORDS else lists
+    told = rows.select(*_KEY, "text").join(lists, "_h").dropDuplicates(_KEY)
+    told = told.join(found.select(*_KEY, "_base").dropDuplicates(_KEY), _KEY)
     told = _with_matches(told, "general", _pattern("_general"))
     told = _with_matches(told, "removed", _pattern("_removed"))
     spans = F.concat("_base", _telling("general", len(KINDS)), _telling("removed", len(KINDS) + 1))
-    told = told.select(*_KEY, F.sort_array(spans).alias("_more")).dropDuplicates(_KEY)
-    done = found.drop("text").join(told, _KEY, "left")
+    told = told.select(*_KEY, F.sort_array(spans).alias("_more"))
+    done = found.join(told, _KEY, "left")
     return done.withColumn("_all", F.coalesce("_more", "_base")).drop("_more")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -305,44 +306,79 @@ def test_private_base(docs):
     assert rows[15].n_email == 2 and rows[15].n_card == 1
 
 
-def test_words_that_disclose(spark, docs):
-    """A rare word beside one value in several texts is marked there; common words are not."""
-    told = [(k, f"the {w} zanzibar writes to ann@x.org about the {w}") for k, w in enumerate(_words(5, 11))]
-    plain = [(100 + k, f"the {w} of the market is about the {w}") for k, w in enumerate(_words(40, 12))]
-    table = spark.createDataFrame(told + plain, "doc_id bigint, text string")
-    rows = _by_id(private.private_report(table))
-    for i, t in told:
-        at = t.index("zanzibar")
-        assert f"removed:{at}:{at + 8}" in rows[i].spans
-        assert not any(f"{k}:0:3" in rows[i].spans for k in ("removed", "general"))
-    assert all(rows[i].spans == "" for i, _ in plain)
-    clean = _by_id(private.sanitise(table))
-    assert "zanzibar" not in clean[0].text and "[email]" in clean[0].text
-    assert clean[100].text == plain[0][1]
+def _wilson(k, n, side, z=1.645):
+    return (k + z * z / 2 + side * z * math.sqrt(k * (n - k) / n + z * z / 4)) / (n + z * z)
+
+
+def _telling(texts: dict) -> dict[str, int]:
+    """Words and their level, by all pairs of entities and words of the distinct texts."""
+    distinct = set(texts.values())
+    held, stands = {}, {}
+    for t in distinct:
+        spans = [x.split(":") for x in _base(t).split(",") if x]
+        taken = [(int(a), int(b)) for _, a, b in spans]
+        for kind, a, b in spans:
+            value = t[int(a) : int(b)].lower()
+            held.setdefault(re.sub("[^0-9]", "", value) if kind in ("card", "phone") else value, set()).add(t)
+            if kind == "email":
+                held.setdefault("domain " + value.rsplit("@")[-1], set()).add(t)
+        for m in WORD.finditer(t):
+            stands.setdefault(m.group().lower(), set()).add(t)
+            if not any(m.start() < b and a < m.end() for a, b in taken):
+                stands.setdefault(("free", m.group().lower()), set()).add(t)
+    n, out = len(distinct), {}
+    for of in held.values():
+        for w, where in stands.items():
+            if isinstance(w, tuple) and len(of) >= 2 and len(where & of) >= 2 and len(of) < n:
+                low = _wilson(len(where & of), len(of), -1) / _wilson(len(stands[w[1]]), n, 1)
+                share = math.log(low) / math.log(n / len(of))
+                if share >= 0.7:
+                    out[w[1]] = max(out.get(w[1], 1), 2 if share >= 0.9 else 1)
+    return out
 
 
-def test_words_that_disclose_a_value_of_one_text(spark):
-    """A rare word beside a value that stands once is marked, and one that goes with its domain."""
-    plain = [(100 + k, f"the {w} of the market is about the {w}") for k, w in enumerate(_words(300, 13))]
-    told = [(0, "the zanzibar writes to ann@x.org about the market")]
-    told += [(1 + k, f"the quorum of v{w}@pool.org is about the market") for k, w in enumerate(_words(3, 14))]
-    table = spark.createDataFrame(told + plain, "doc_id bigint, text string")
-    rows = _by_id(private.private_report(table))
-    assert re.search(r"(general|removed):4:12", rows[0].spans)
-    assert all(re.search(r"(general|removed):4:10", rows[i].spans) for i in range(1, 4))
-    assert all(rows[i].n_told and not re.search(r"(general|removed):0:3", rows[i].spans) for i in range(4))
-    assert all(rows[i].spans == "" for i, _ in plain)
+def test_words_that_disclose(spark):
+    """All pairs of entities and words by brute force; words that disclose are marked in every text, also without the value."""
+    rng = random.Random(11)
+    plain = [(100 + k, f"the {w} of the market is about the {w} {rng.choice(_words(30, 3))}") for k, w in enumerate(_words(400, 12))]
+    told = [(k, f"the {w} zanzibar writes to ann@x.org about the {w}") for k, w in enumerate(_words(25, 11))]
+    told += [(30 + k, f"call quorum at +1 (555) 123-4567 {w} about it") for k, w in enumerate(_words(8, 14))]
+    told += [(40 + k, f"v{w}@pool.org swims with {w}") for k, w in enumerate(_words(6, 15))]
+    told += [(50, "once seen: bob@once.org and the hapax"), (51, "the Zanzibar was here, quorum too"), (52, told[0][1])]
+    texts = dict(told + plain)
+    rows = _by_id(private.private_report(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")))
+    want = _telling(texts)
+    assert want["zanzibar"] and want["quorum"] and "the" not in want and "hapax" not in want
+    for i, t in texts.items():
+        base = [x for x in _base(t).split(",") if x]
+        spans = [(int(a), int(b)) for _, a, b in (x.split(":") for x in base)]
+        marks = [
+            f"{('general', 'removed')[want[m.group().lower()] - 1]}:{m.start()}:{m.end()}"
+            for m in WORD.finditer(t)
+            if m.group().lower() in want and not any(m.start() < b and a < m.end() for a, b in spans)
+        ]
+        assert sorted(x for x in rows[i].spans.split(",") if x) == sorted(base + marks)
+        assert rows[i].n_told == len(marks)
+    assert rows[51].n_told == 2
+    clean = _by_id(private.sanitise(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")))
+    assert "zanzibar" not in clean[0].text and "[email]" in clean[0].text and "Zanzibar" not in clean[51].text
+    assert all(clean[i].text == t for i, t in plain if not rows[i].n_told)
 
 
 def test_words_that_disclose_stand_anywhere(spark):
     """A name in a letter's head and a room with digits in it are weighed with a number in its foot."""
     plain = [(100 + k, f"the {w} of the market is about the {w}") for k, w in enumerate(_words(300, 13))]
-    letter = "zanzibar " + "the market is about " * 100 + "kx77-q of the +1 (555) 123-4567, of the market"
-    rows = _by_id(private.private_report(spark.createDataFrame([(0, letter), *plain], "doc_id bigint, text string")))
-    for w in ("zanzibar", "kx77-q"):
-        at = letter.index(w)
-        assert re.search(rf"(general|removed):{at}:{at + len(w)}", rows[0].spans)
-    assert rows[0].n_told == 2 and all(rows[i].spans == "" for i, _ in plain)
+    letters = {
+        k: f"zanzibar {w} " + "the market is about " * 100 + "kx77-q of the +1 (555) 123-4567, of the market"
+        for k, w in enumerate(_words(4, 16))
+    }
+    rows = _by_id(private.private_report(spark.createDataFrame([*letters.items(), *plain], "doc_id bigint, text string")))
+    for i, letter in letters.items():
+        for w in ("zanzibar", "kx77-q"):
+            at = letter.index(w)
+            assert re.search(rf"(general|removed):{at}:{at + len(w)}", rows[i].spans)
+        assert rows[i].n_told == 2
+    assert all(rows[i].spans == "" for i, _ in plain)
 
 
 def test_fingerprints(docs):
