@@ -288,8 +288,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     tested = stored(_star_pairs(regions), "pairs")
     links = _links(tested, texts)
     roots = components(links)
-    for reach in ("best", "each", "all"):
-        opened = _whole_blocks if reach == "all" else _open_blocks
+    for reach, opened in (("best", _open_blocks), ("each", _open_blocks), ("each", _whole_blocks), ("all", _whole_blocks)):
         blocks = stored(opened(regions, roots, nodes), "blocks")
         if blocks.isEmpty():
             break
