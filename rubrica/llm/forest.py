@@ -172,7 +172,8 @@ def _open_blocks(regions: DataFrame, roots: DataFrame, nodes: DataFrame) -> Data
     regions = regions.filter((F.col("size") <= BLOCK) | (F.col("depth") == DEPTH))
     salt = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("size") / BLOCK))
     rows = _mixed(regions, roots).select("node", "root", F.xxhash64("region", salt).alias("block"), F.lit(False).alias("guest"))
-    return rows.join(nodes.select("node", "sketch"), "node")
+    rows = rows.withColumn("tree", F.lit(-1))
+    return rows.join(nodes.select("node", "sketch", F.lit(None).cast("binary").alias("sig")), "node")
 
 
 def _whole_blocks(regions: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -185,8 +186,8 @@ def _whole_blocks(regions: DataFrame, roots: DataFrame, nodes: DataFrame) -> Dat
     """
     rows = _mixed(regions.filter(F.col("depth") == START), roots)
     small = rows.filter(F.col("size") <= BLOCK)
-    small = small.select("node", "root", F.xxhash64("region").alias("block"), F.lit(False).alias("guest"))
-    large = stored(rows.filter(F.col("size") > BLOCK).select("node", "root", "region", "size"), "large-regions")
+    small = small.select("node", "root", F.xxhash64("region").alias("block"), F.lit(False).alias("guest"), "tree")
+    large = stored(rows.filter(F.col("size") > BLOCK).select("node", "root", "region", "size", "tree"), "large-regions")
     counts = large.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"))
     top = counts.groupBy("region").agg(
         F.max(F.struct("n", "root"))["root"].alias("top"), (F.sum("n") - F.max("n")).alias("others")
@@ -200,10 +201,10 @@ def _whole_blocks(regions: DataFrame, roots: DataFrame, nodes: DataFrame) -> Dat
         place = F.pmod(F.xxhash64("node", F.lit(7)), F.col(own))
         rows = rows.withColumn("own", place).withColumn("other", F.explode(F.sequence(zero, F.col(other) - 1)))
         pair = ("other", "own") if guest else ("own", "other")
-        return rows.select("node", "root", F.xxhash64("region", *pair).alias("block"), F.lit(guest).alias("guest"))
+        return rows.select("node", "root", F.xxhash64("region", *pair).alias("block"), F.lit(guest).alias("guest"), "tree")
 
     dealt = met(large, "parts", "guests", False).unionByName(met(large.filter("guest"), "guests", "parts", True))
-    return small.unionByName(dealt).join(nodes.select("node", "sketch"), "node")
+    return small.unionByName(dealt).join(nodes.select("node", "sketch", "sig"), "node")
 
 
 def _block_pairs(reach: str):
@@ -212,17 +213,24 @@ def _block_pairs(reach: str):
     In a block with guests these meet the others; elsewhere every node meets every other one.
     """
 
-    def pairs_in(nodes: list, roots: list, guests: list, sketches: list) -> Iterator[tuple[bytes, bytes]]:
+    def pairs_in(nodes: list, roots: list, guests: list, sketches: list, trees: list, sigs: list) -> Iterator[tuple[bytes, bytes]]:
         bins = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(nodes), -1)
         _, comp = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)
         asked = np.flatnonzero(guests)
         others = np.flatnonzero(~np.array(guests, bool)) if len(asked) else np.arange(len(nodes))
         asked = asked if len(asked) else others
         among, kind = bins[others], comp[others]
+        once = reach == "all" and trees[0] >= 0
+        if once:
+            # Two nodes may share regions of several trees: only the first of them passes the pair on.
+            labels = np.frombuffer(b"".join(sigs), "<u2").reshape(len(nodes), TREES, DEPTH)[:, :, :START]
         for i in asked.tolist():
             filled = np.count_nonzero(among | bins[i], axis=1)
             share = np.count_nonzero((among == bins[i]) & (among > 0), axis=1) / filled
             fits = np.flatnonzero((share >= _plausible(filled)) & (kind != comp[i]))
+            if once and len(fits):
+                common = (labels[others[fits]] == labels[i]).all(axis=2)
+                fits = fits[common.argmax(axis=1) == trees[0]]
             if reach != "all":
                 fits = fits[np.lexsort((fits, -share[fits]))]
                 fits = fits[:1] if reach == "best" else fits[np.unique(kind[fits], return_index=True)[1]]
@@ -230,7 +238,7 @@ def _block_pairs(reach: str):
                 yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, current = ([], [], [], []), None
+        held, current = ([], [], [], [], [], []), None
 
         def close() -> Iterator[pa.RecordBatch]:
             found: set[tuple[bytes, bytes]] = set()
@@ -242,11 +250,11 @@ def _block_pairs(reach: str):
             if found:
                 yield _pair_batch(found)
 
-        for cols in rows_of(batches, "block", "node", "root", "guest", "sketch"):
+        for cols in rows_of(batches, "block", "node", "root", "guest", "sketch", "tree", "sig"):
             for block, *row in zip(*cols, strict=True):
                 if block != current:
                     yield from close()
-                    held, current = ([], [], [], []), block
+                    held, current = ([], [], [], [], [], []), block
                 for column, value in zip(held, row, strict=True):
                     column.append(value)
         yield from close()
