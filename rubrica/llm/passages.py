@@ -1,9 +1,10 @@
 """Substring dedup: paragraphs that repeat across documents, by MinHash banding.
 
-Two sorts of paragraphs are compared. A *line* of ``MIN_WORDS`` words or more gets ``BANDS`` bands of
-``ROWS`` minima over its five-word shingles (recall 0.993 at a Jaccard similarity of 0.75); in each
-band the lines that collide meet the smallest and the largest of them, then all lines of other
-components, and a pair counts when the exact Jaccard similarity of its full sets is 0.75 or more. A *cell* is a content-defined piece of a
+Two sorts of paragraphs are compared. A *line* of ``MIN_WORDS`` words or more, or shorter lines in a
+row up to a blank line, get ``BANDS`` bands of ``ROWS`` minima over their five-word shingles (recall
+0.996 at a Jaccard similarity of 0.75); in each band the paragraphs that collide meet the smallest
+and the largest of them, then all of other components. A bitmap of each set bounds the similarity of
+a pair from above; what it leaves counts when the exact similarity of the full sets is 0.75 or more. A *cell* is a content-defined piece of a
 line, cut where a word's hash is the smallest within ``REACH`` words, so that a passage which is
 moved into another line keeps its cells; a cell's only band is its whole content, 64 bits of hash.
 Cells in a row that stand in several documents form a run. Within runs, *windows* of cells with
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rubrica.llm.base import (
     SHINGLE_WORDS,
@@ -39,13 +40,13 @@ from rubrica.llm.components import components
 
 REACH = 4
 MIN_WORDS = 16
-BANDS = 6
-ROWS = 2
+BANDS = 10
+ROWS = 3
+MAP_WORDS = 4
 BROADCAST_NODES = 1_000_000
 BLOCK = 1024
-_CELL = "doc_id bigint, _d bigint, at int, start int, end int, words int, node bigint"
-_LINE = "doc_id bigint, _d bigint, start int, end int, words int, node bigint, bands array<bigint>"
-_TEXT = "node bigint, text string"
+SHARE = 1 << 19
+_PIECE = "doc_id bigint, _d bigint, at int, start int, end int, words int, node bigint, marks array<bigint>"
 _PLACE = "doc_id bigint, _d bigint, _run bigint, node bigint, first int, last int, held boolean"
 _SEGMENT = "doc_id bigint, _d bigint, start int, end int, n_words bigint, class_id bigint, keep_id bigint, n_docs bigint, kept boolean"
 
@@ -70,39 +71,58 @@ def _piece_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
         return mix((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
 
 
-def _line_starts(data: bytes, starts: np.ndarray) -> np.ndarray:
-    """Numbers of the words that begin a line."""
-    feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
-    line = np.searchsorted(feeds, starts)
-    return np.flatnonzero(np.diff(line, prepend=-1) != 0)
+def units_of(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words that begin a line, and of those that begin a paragraph.
 
+    ``line`` has the line number of every word. A line of ``MIN_WORDS`` words is a paragraph; shorter
+    lines in a row are one paragraph up to a blank line.
+    """
+    first = np.flatnonzero(np.diff(line, prepend=-1) != 0)
+    short = np.diff(np.append(first, len(line))) < MIN_WORDS
+    joins = short[1:] & short[:-1] & (np.diff(line[first]) == 1)
+    return first, first[np.concatenate([[True], ~joins])] if len(first) else first
 
-def cell_borders(h: np.ndarray, line_starts: np.ndarray) -> np.ndarray:
-    """Numbers of the words that begin a cell: line starts and strict local minima of the hash."""
-    n = len(h)
-    padded = np.concatenate([np.zeros(REACH, np.uint64), h, np.zeros(REACH, np.uint64)])
-    least = np.ones(n, bool)
-    for k in range(1, REACH + 1):
-        least &= (h < padded[REACH - k : REACH - k + n]) & (h < padded[REACH + k : REACH + k + n])
-    return np.union1d(np.flatnonzero(least), line_starts).astype(np.int64)
 
+def cell_borders(h: np.ndarray, text: np.ndarray, line_starts: np.ndarray) -> np.ndarray:
+    """Numbers of the words that begin a cell: line starts and strict local minima of the hash.
 
-class _Pieces:
-    """Words of a text with their code point offsets."""
+    ``text`` has the number of each word's text; words of other texts are not looked at.
+    """
+    at = np.arange(len(h)) + REACH * (text + 1)
+    padded = np.zeros(at[-1] + REACH + 1, np.uint64)
+    padded[at] = h
+    least = np.ones(len(h), bool)
+    for k in range(1, REACH + 1):
+        least &= (h < padded[at - k]) & (h < padded[at + k])
+    return np.union1d(np.flatnonzero(least), line_starts).astype(np.int64)
 
-    def __init__(self, text: str):
-        data = text.encode()
-        self.h, self.starts, self.ends = words_of(data)
-        self.lines = _line_starts(data, self.starts)
-        if len(data) == len(text):
-            self.at = None
-        else:
-            lead = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
-            self.at = np.concatenate([[0], np.cumsum(lead)])
 
-    def span(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s, e = self.starts[first], self.ends[last - 1]
-        return (s, e) if self.at is None else (self.at[s], self.at[e])
+def _marks(h: np.ndarray, first: np.ndarray, last: np.ndarray, minhash: MinHash) -> np.ndarray:
+    """One row per paragraph [first, last) of five words or more: band keys, bitmap, set size."""
+    grams = shingles_in_order(h)
+    # Shingles that cross a paragraph's end lie between two paragraphs' parts and are skipped by the odd places.
+    cuts = np.stack([first, last - SHINGLE_WORDS + 1], 1).ravel()
+    cuts = cuts[:-1] if cuts[-1] == len(grams) else cuts
+    sig = []
+    with np.errstate(over="ignore"):
+        for a, b in zip(minhash.a, minhash.b, strict=True):
+            sig.append(np.minimum.reduceat(grams * a + b, cuts)[::2] >> np.uint64(32))
+        keys = []
+        for k in range(BANDS):
+            key = mix(np.array([k], np.uint64))
+            for s in sig[ROWS * k : ROWS * (k + 1)]:
+                key = mix(key + s)
+            keys.append(key)
+        bit = np.uint64(1) << (grams & np.uint64(63))
+        word = (grams >> np.uint64(6)) % np.uint64(MAP_WORDS)
+        for k in range(MAP_WORDS):
+            keys.append(np.bitwise_or.reduceat(np.where(word == k, bit, np.uint64(0)), cuts)[::2])
+        n = last - first - SHINGLE_WORDS + 1
+        owner = np.repeat(np.arange(len(n)), n)
+        places = np.arange(len(owner)) + np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        _, one = np.unique(mix(grams[places] + mix(owner.astype(np.uint64))), return_index=True)
+    keys.append(np.bincount(owner[one], minlength=len(n)).astype(np.uint64))
+    return np.stack(keys, 1).view(np.int64)
 
 
 def _batch(columns: list, schema: str) -> pa.RecordBatch:
@@ -117,79 +137,63 @@ def _batch(columns: list, schema: str) -> pa.RecordBatch:
     )
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, keys, texts in rows_of(batches, "doc_id", "_d", "text"):
-        for at in range(0, len(ids), 256):
-            out = [[] for _ in range(7)]
-            nulls = []
-            for doc, key, text in zip(ids[at : at + 256], keys[at : at + 256], texts[at : at + 256], strict=True):
-                p = _Pieces(text)
-                if not len(p.h):
-                    continue
-                first = cell_borders(p.h, p.lines)
-                last = np.append(first[1:], len(p.h))
-                start, end = p.span(first, last)
-                n = len(first)
-                nulls.append(np.full(n, doc is None))
-                node = _piece_hashes(p.h, first, last).view(np.int64)
-                row = (np.full(n, doc or 0), np.full(n, key), np.arange(n), start, end, last - first, node)
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            if out[0]:
-                cols = [np.concatenate(c) for c in out]
-                empty = np.concatenate(nulls)
-                cols[0] = pa.array(cols[0], pa.int64(), mask=empty)
-                yield _batch(cols, _CELL)
-
-
-def _bands(h: np.ndarray, first: np.ndarray, last: np.ndarray, minhash: MinHash) -> np.ndarray:
-    """Band keys of lines [first, last) of at least five words: one row per line."""
-    grams = shingles_in_order(h)
-    # Shingles that cross a line's end lie between two lines' parts and are skipped by the odd places.
-    cuts = np.stack([first, last - SHINGLE_WORDS + 1], 1).ravel()
-    sealed = cuts[-1] == len(grams)
-    cuts = cuts[:-1] if sealed else cuts
-    sig = []
-    with np.errstate(over="ignore"):
-        for a, b in zip(minhash.a, minhash.b, strict=True):
-            sig.append(np.minimum.reduceat(grams * a + b, cuts)[::2] >> np.uint64(32))
-        keys = [
-            mix((sig[ROWS * k] << np.uint64(32)) + sig[ROWS * k + 1] + mix(np.array([k], np.uint64)))
-            for k in range(BANDS)
-        ]
-    return np.stack(keys, 1).view(np.int64)
+def _shares(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``SHARE`` bytes; a longer text is a range of its own."""
+    at = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > SHARE:
+            yield at, k
+            at, size = k, 0
+        size += len(t) + 2
+    if at < len(texts):
+        yield at, len(texts)
+
 
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells (``at`` counts them in a text) and paragraphs of ``MIN_WORDS`` words (``at`` is -1, with marks).
 
-def _lines(with_text: bool):
-    """Lines of ``MIN_WORDS`` words or more, with their bands or with their text."""
-    minhash, schema = MinHash(BANDS * ROWS, seed=9), _TEXT if with_text else _LINE
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, texts in rows_of(batches, "doc_id", "_d", "text"):
-            rows = []
-            for doc, key, text in zip(ids, keys, texts, strict=True):
-                p = _Pieces(text)
-                bounds = np.append(p.lines, len(p.h))
-                first, last = bounds[:-1], bounds[1:]
-                long = last - first >= MIN_WORDS
-                first, last = first[long], last[long]
-                if not len(first):
-                    continue
-                start, end = (x.tolist() for x in p.span(first, last))
-                nodes = _piece_hashes(p.h, first, last).view(np.int64).tolist()
-                if with_text:
-                    rows += [(n, text[s:e]) for n, s, e in zip(nodes, start, end, strict=True)]
-                else:
-                    same = ([doc] * len(nodes), [key] * len(nodes))
-                    bands = _bands(p.h, first, last, minhash).tolist()
-                    rows += zip(*same, start, end, (last - first).tolist(), nodes, bands, strict=True)
-                if len(rows) > 2048:
-                    yield _batch(list(zip(*rows, strict=True)), schema)
-                    rows = []
-            if rows:
-                yield _batch(list(zip(*rows, strict=True)), schema)
-
-    return run
+    Many texts are hashed as one, two line feeds apart.
+    """
+    minhash = MinHash(BANDS * ROWS, seed=9)
+    for ids, keys, texts in rows_of(batches, "doc_id", "_d", "text"):
+        texts = [t.encode() for t in texts]
+        for low, high in _shares(texts):
+            part = texts[low:high]
+            data = b"\n\n".join(part)
+            h, starts, ends = words_of(data)
+            if not len(h):
+                continue
+            raw = np.frombuffer(data, np.uint8)
+            begin = np.concatenate([[0], np.cumsum([len(t) + 2 for t in part])[:-1]])
+            text = np.searchsorted(begin, starts, side="right") - 1
+            lines, paragraphs = units_of(np.searchsorted(np.flatnonzero(raw == 10), starts))
+            point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+            doc = np.array([-1 if i is None else i for i in ids[low:high]])
+            empty = np.array([i is None for i in ids[low:high]])
+            key = np.array(keys[low:high])
+
+            def spans(first, last, at, marks):
+                t = text[first]
+                base = point[begin[t]]
+                yield pa.array(doc[t], pa.int64(), mask=empty[t])
+                yield key[t]
+                yield at
+                yield point[starts[first]] - base
+                yield point[ends[last - 1]] - base
+                yield last - first
+                yield _piece_hashes(h, first, last).view(np.int64)
+                yield marks
+
+            first = cell_borders(h, text, lines)
+            at = np.arange(len(first)) - np.searchsorted(text[first], text[first])
+            yield _batch(list(spans(first, np.append(first[1:], len(h)), at, pa.nulls(len(first), pa.list_(pa.int64())))), _PIECE)
+            last = np.append(paragraphs[1:], len(h))
+            long = last - paragraphs >= MIN_WORDS
+            if long.any():
+                first, last = paragraphs[long], last[long]
+                marks = _marks(h, first, last, minhash)
+                flat = pa.ListArray.from_arrays(np.arange(len(marks) + 1) * marks.shape[1], marks.ravel())
+                yield _batch(list(spans(first, last, np.full(len(first), -1), flat)), _PIECE)
 
 
 def _known(rows: DataFrame, nodes: DataFrame, how: str = "inner", key: str = "node") -> DataFrame:
@@ -200,19 +204,44 @@ def _known(rows: DataFrame, nodes: DataFrame, how: str = "inner", key: str = "no
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for cols in rows_of(batches, "a", "b", "text_a", "text_b"):
-        out = []
+        out, sets = [], {}
         for a, b, ta, tb in zip(*cols, strict=True):
-            x, y = (shingles(words_of(t.encode())[0]) for t in (ta, tb))
+            for node, text in ((a, ta), (b, tb)):
+                if node not in sets:
+                    sets[node] = shingles(words_of(text.encode())[0])
+            x, y = sets[a], sets[b]
             both = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * both >= 75 * (len(x) + len(y) - both):
                 out.append((a, b))
         yield _batch([[a for a, _ in out], [b for _, b in out]], "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the stored ``pairs`` (a, b) with an exact Jaccard similarity of 0.75 or more."""
-    wanted = pairs.select(F.explode_outer(F.array("a", "b")).alias("node")).distinct()
-    texts = _known(rows.mapInArrow(_lines(True), _TEXT), stored(wanted, "paragraphs"), "left_semi")
+def may_be_alike(one: str, two: str) -> Column:
+    """False only where the bitmaps and set sizes of two paragraphs (columns of structs) rule out 0.75.
+
+    A bit that one bitmap has and the other lacks is a shingle that only one set has, so a set's size
+    less such bits bounds the intersection from above.
+    """
+
+    def shared(x: str, y: str) -> Column:
+        own = [F.bit_count(F.col(f"{x}.b{k}").bitwiseAND(F.bitwise_not(f"{y}.b{k}"))) for k in range(MAP_WORDS)]
+        return F.col(f"{x}.n") - sum(own[1:], own[0])
+
+    both = F.least(shared(one, two), shared(two, one))
+    return 100 * both >= 75 * (F.col(f"{one}.n") + F.col(f"{two}.n") - both)
+
+
+def _confirmed(pairs: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the stored ``pairs`` (a, b) with an exact Jaccard similarity of 0.75 or more.
+
+    Only texts that hold the paragraphs of a pair are read again, each paragraph from one ``place``.
+    """
+    wanted = stored(pairs.select(F.explode_outer(F.array("a", "b")).alias("node")).distinct(), "paragraphs")
+    chosen = _known(places, wanted, "left_semi").dropDuplicates(["node"])
+    spans = chosen.groupBy("_d").agg(F.collect_list(F.struct("node", "start", "end")).alias("spans"))
+    texts = _known(rows.select("_d", "text"), stored(spans, "paragraph-places"), key="_d")
+    cut = F.transform("spans", lambda s: F.struct(s["node"], F.substring("text", s["start"] + 1, s["end"] - s["start"]).alias("text")))
+    texts = texts.select(F.explode_outer(cut).alias("s")).select("s.node", "s.text")
     texts = stored(texts.dropDuplicates(["node"]), "paragraph-texts")
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -221,47 +250,53 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _across(keyed: DataFrame, links: DataFrame) -> DataFrame:
-    """All pairs of a band whose lines ``links`` does not join yet.
+    """All pairs of a band that can be alike and whose paragraphs ``links`` does not join yet.
 
-    A band of n lines is dealt into blocks of about ``BLOCK``, and every block meets every other
+    A band of n paragraphs is dealt into blocks of about ``BLOCK``, and every block meets every other
     one and itself under a key of its own.
     """
     roots = stored(components(links), "first-classes")
-    rooted = _known(keyed, roots, "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = stored(rooted, "rooted-bands")
+    rooted = _known(keyed.withColumn("node", F.col("p.node")), roots, "left")
+    rooted = stored(rooted.withColumn("root", F.coalesce("root", "node")), "rooted-bands")
     bands = rooted.groupBy("band").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("n")
-    )
-    bands = stored(bands.filter("low <> high").select("band", "n"), "open-bands")
-    dealt = _known(rooted, bands, key="band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("n")))
-    others = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)
-    meets = F.transform(others, lambda o: F.struct(F.least("part", o).alias("p"), F.greatest("part", o).alias("q")))
-    dealt = dealt.select("band", "node", "root", "part", F.explode_outer(meets).alias("m"))
-    dealt = stored(dealt.select("band", "m.p", "m.q", "node", "root", "part"), "dealt-bands")
-    one, two = (
-        dealt.select("band", "p", "q", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "part")]) for x in "ab"
+        F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")
     )
-    met = one.join(two, ["band", "p", "q"]).filter("root_a <> root_b AND node_a < node_b")
-    met = met.filter("p = q OR part_a <> part_b")
-    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-
-
-def _line_links(lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs of different line contents (a, b) with an exact Jaccard similarity of 0.75 or more.
-
-    The smallest and largest line of each band join most of a class; then all pairs of a band that are
-    in different components are tested, so every line that collides with a like one is linked.
+    bands = stored(bands.filter("low <> high").select("band", "parts"), "open-bands")
+    dealt = _known(rooted, bands, key="band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    others = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
+    meets = F.transform(others, lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
+    dealt = dealt.select("band", "p", "root", "part", F.explode_outer(meets).alias("m"))
+    dealt = stored(dealt.select("band", "m.i", "m.j", "p", "root", "part"), "dealt-bands")
+    one, two = (dealt.select("band", "i", "j", *[F.col(c).alias(f"{c}_{x}") for c in ("p", "root", "part")]) for x in "ab")
+    met = one.join(two, ["band", "i", "j"]).filter("root_a <> root_b AND p_a.node < p_b.node")
+    met = met.filter("i = j OR part_a <> part_b").filter(may_be_alike("p_a", "p_b"))
+    return met.select(F.col("p_a.node").alias("a"), F.col("p_b.node").alias("b")).distinct()
+
+
+def _paragraph_links(paragraphs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs of different paragraph contents (a, b) with an exact Jaccard similarity of 0.75 or more.
+
+    The smallest and largest paragraph of each band join most of a class; then all pairs of a band that
+    are in different components are met, so every paragraph that collides with a like one is linked.
     """
-    keyed = stored(lines.select("node", F.explode_outer("bands").alias("band")).distinct(), "bands")
-    ends = keyed.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    ends = stored(ends.filter("low <> high"), "band-ends")
-    met = _known(keyed, ends, key="band")
-    pairs = met.select(F.explode_outer(F.array("low", "high")).alias("a"), F.col("node").alias("b"))
-    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(pairs.distinct(), "paragraph-pairs")
-    links = _confirmed(pairs, rows)
-    rest = stored(_across(keyed, links).join(pairs, ["a", "b"], "left_anti"), "further-pairs")
-    return links.unionByName(_confirmed(rest, rows)) if rest.head(1) else links
+    bits = [F.element_at("marks", BANDS + 1 + k).alias(f"b{k}") for k in range(MAP_WORDS)]
+    once = paragraphs.dropDuplicates(["node"]).select(
+        F.struct("node", *bits, F.element_at("marks", -1).alias("n")).alias("p"), F.slice("marks", 1, BANDS).alias("bands")
+    )
+    keyed = stored(once.select("p", F.explode_outer("bands").alias("band")), "bands")
+    full = keyed.groupBy("band").agg(F.min("p.node").alias("low"), F.max("p.node").alias("high"))
+    full = stored(full.filter("low <> high"), "band-ends")
+    met = stored(_known(keyed, full, key="band"), "colliding")
+    pairs = []
+    for end in ("low", "high"):
+        ends = met.filter(F.col("p.node") == F.col(end)).select("band", F.col("p").alias("e"))
+        alike = met.select("band", "p").join(ends, "band").filter("p.node <> e.node").filter(may_be_alike("p", "e"))
+        pairs.append(alike.select(F.least("p.node", "e.node").alias("a"), F.greatest("p.node", "e.node").alias("b")))
+    pairs = stored(pairs[0].unionByName(pairs[1]).distinct(), "paragraph-pairs")
+    places = paragraphs.select("node", "_d", "start", "end")
+    links = _confirmed(pairs, places, rows)
+    rest = stored(_across(met.select("p", "band"), links).join(pairs, ["a", "b"], "left_anti"), "further-pairs")
+    return links.unionByName(_confirmed(rest, places, rows)) if rest.head(1) else links
 
 
 def windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -375,13 +410,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     doc_id and text are one document; NULL ids stay NULL and never keep.
     """
     rows = bare(docs).withColumn("_d", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-    cells = stored(rows.mapInArrow(_cells, _CELL), "all-cells")
+    pieces = stored(rows.mapInArrow(_parse, _PIECE), "pieces")
+    cells = pieces.filter("at >= 0").drop("marks")
     # Two documents hold a cell when its smallest and largest document key differ.
     shared = cells.groupBy("node").agg(F.min("_d").alias("low"), F.max("_d").alias("high"))
     shared = stored(shared.filter("low <> high").select("node"), "cells")
     found = stored(_known(cells, shared, "left_semi").distinct(), "repeated-cells")
-    lines = stored(rows.mapInArrow(_lines(False), _LINE), "lines")
-    links = _line_links(lines, rows)
+    lines = pieces.filter("at < 0").drop("at")
+    links = _paragraph_links(lines, rows)
     roots = stored(components(links), "line-classes")
     near = links.select(F.explode_outer(F.array("a", "b")).alias("node")).distinct()
     lined = _known(lines.select("doc_id", "_d", "start", "end", F.col("words").cast("bigint").alias("n_words"), "node"), near, "left_semi")

@@ -20,6 +20,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, kept string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _words(n: int, seed: int) -> list[str]:
@@ -198,6 +199,66 @@ def test_lines_of_one_band_all_meet(spark):
     assert sum(classes.get(2 * k, -1) == classes.get(2 * k + 1, -2) for k in range(40)) == 40
 
 
+def test_wrapped_paragraphs(spark):
+    """A paragraph wrapped into short lines is compared as a whole; a blank line ends it."""
+    words = _words(60, 300)
+    other = words[:20] + ["new"] + words[21:]
+    own = [" ".join(_words(30, 310 + k)) for k in range(3)]
+
+    def wrapped(w, n):
+        return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+    texts = {1: f"{own[0]}\n\n{wrapped(words, 11)}\n\n{own[1]}", 2: wrapped(other, 8), 3: own[2]}
+    rows = passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"))
+    found = {r.doc_id: r for r in rows.filter("kind = 'line'").collect()}
+    assert set(found) == {1, 2} and found[1].class_id == found[2].class_id
+    assert texts[1][found[1].start : found[1].end] == wrapped(words, 11)
+    assert texts[2][found[2].start : found[2].end] == texts[2]
+    assert found[1].kept and not found[2].kept
+
+
+def test_lines_equal_brute_force(spark, monkeypatch):
+    """Linked lines of the given documents against all pairs of lines, blocks of a band kept small."""
+    monkeypatch.setattr(passages, "BLOCK", 8)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        text = r.text or ""
+        line, at = [], 0
+        for m in re.finditer(r"[^ \t-\r]+", text):
+            line.append((m.group().translate(LOWER), text.count("\n", 0, m.start())))
+        ns = np.array([n for _, n in line], dtype=int)
+        starts = passages.units_of(ns)[1]
+        for a, b in zip(starts, np.append(starts[1:], len(line)), strict=True):
+            if b - a >= 16:
+                w = [x for x, _ in line[a:b]]
+                sets.setdefault(tuple(w), [frozenset(zip(*[w[k:] for k in range(5)])), set()])[1].add(r.doc_id)
+    units = list(sets.values())
+    holders = {}
+    for k, (s, _) in enumerate(units):
+        for g in s:
+            holders.setdefault(g, []).append(k)
+    pairs = {(a, b) for h in holders.values() for a in h for b in h if a < b}
+    links = [(a, b) for a, b in pairs if 100 * len(units[a][0] & units[b][0]) >= 75 * len(units[a][0] | units[b][0])]
+    root = list(range(len(units)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    groups = {}
+    for k in {k for pair in links for k in pair}:
+        groups.setdefault(find(k), set()).update(units[k][1])
+    want = sorted(sorted(g) for g in groups.values() if len(g) > 1)
+    got = {}
+    for r in passages.repeated_passages(docs).filter("kind = 'line'").collect():
+        got.setdefault(r.class_id, set()).add(r.doc_id)
+    assert want and sorted(sorted(g) for g in got.values()) == want
+
+
 def test_line_dedup(docs):
     rows = _by_id(lines.dedup_lines(docs))
     # All shared lines go from the later document, to both ends of the run.
