@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rubrica.llm.base import (
@@ -299,64 +300,88 @@ def _paragraph_links(paragraphs: DataFrame, rows: DataFrame) -> DataFrame:
     return links.unionByName(_confirmed(rest, places, rows)) if rest.head(1) else links
 
 
-def windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last cells of the shortest windows of ``MIN_WORDS`` words from, and up to, each cell."""
+def windows(words: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last cells of the shortest windows of ``MIN_WORDS`` words from, and up to, each cell.
+
+    ``run`` has the number of each cell's run, in ascending order; a window lies in one run.
+    """
     total = np.concatenate([[0], np.cumsum(words)])
-    first = np.arange(len(words))
+    n = len(words)
+    first = np.arange(n)
     last = np.searchsorted(total, total[:-1] + MIN_WORDS) - 1
-    fits = last < len(words)
+    fits = (last < n) & (run[np.minimum(last, n - 1)] == run)
     up_to = np.searchsorted(total, total[1:] - MIN_WORDS, side="right") - 1
-    ends = up_to >= 0
-    both = np.concatenate([np.stack([first[fits], last[fits]], 1), np.stack([up_to[ends], first[ends]], 1)])
-    both = np.unique(both, axis=0)
-    return both[:, 0], both[:, 1]
+    ends = (up_to >= 0) & (run[np.maximum(up_to, 0)] == run)
+    both = np.unique(np.concatenate([first[fits] * n + last[fits], up_to[ends] * n + first[ends]]))
+    return both // n, both % n
+
+
+def _lists(batch: pa.RecordBatch, name: str, *fields: str) -> tuple[np.ndarray, list[pa.Array]]:
+    """Where each row's list begins in the flat lists, and the flat fields. A NULL list counts as empty."""
+    column = batch.column(name)
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    return np.concatenate([[0], np.cumsum(sizes)]), [flat.field(f) for f in fields]
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of every run: content, first and last cell, and whether no removed line touches it."""
-    for cols in rows_of(batches, "doc_id", "_d", "_run", "cells", "gone"):
-        rows = []
-        for doc, key, run, cells, gone in zip(*cols, strict=True):
-            start, end, words, node = (np.array([c[k] for c in cells]) for k in ("start", "end", "words", "node"))
-            first, last = windows(words)
-            name = _piece_hashes(node.view(np.uint64), first, last + 1).view(np.int64)
-            held = np.ones(len(first), bool)
-            if gone:
-                cut = np.array(sorted((g["start"], g["end"]) for g in gone))
-                reach = np.maximum.accumulate(cut[:, 1])
-                before = np.searchsorted(cut[:, 0], end[last])
-                held = (before == 0) | (reach[before - 1] <= start[first])
-            n = len(first)
-            rows += zip([doc] * n, [key] * n, [run] * n, name.tolist(), first.tolist(), last.tolist(), held.tolist(), strict=True)
-            if len(rows) > 8192:
-                yield _batch(list(zip(*rows, strict=True)), _PLACE)
-                rows = []
-        if rows:
-            yield _batch(list(zip(*rows, strict=True)), _PLACE)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at, fields = _lists(batch, "cells", "start", "end", "words", "node")
+        start, end, words, node = (_numbers(f) for f in fields)
+        run = np.repeat(np.arange(batch.num_rows), np.diff(at))
+        first, last = windows(words, run)
+        name = _piece_hashes(node.view(np.uint64), first, last + 1).view(np.int64)
+        held = np.ones(len(first), bool)
+        cuts, fields = _lists(batch, "gone", "start", "end")
+        low, high = (_numbers(f) for f in fields)
+        of = run[first]
+        bounds = np.searchsorted(of, np.arange(batch.num_rows + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            s, e = low[cuts[k] : cuts[k + 1]], high[cuts[k] : cuts[k + 1]]
+            order = np.argsort(s)
+            s, reach = s[order], np.maximum.accumulate(e[order])
+            w = slice(bounds[k], bounds[k + 1])
+            before = np.searchsorted(s, end[last[w]])
+            held[w] = (before == 0) | (reach[before - 1] <= start[first[w]])
+        rows = [batch.column(c).take(pa.array(of)) for c in ("doc_id", "_d", "_run")]
+        yield _batch([*rows, name, first - at[of], last - at[of], held], _PLACE)
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches of a run with one class and one fate: a cell stays where a window over it stays."""
-    for cols in rows_of(batches, "doc_id", "_d", "cells", "found"):
-        rows = []
-        for doc, key, cells, found in zip(*cols, strict=True):
-            # The window that decides is written last: one that stays before all others, then the smallest keeper.
-            order = sorted(
-                found,
-                key=lambda w: (w["kept"], w["keep_id"] is not None, -(w["keep_id"] or 0), w["n_docs"], w["class_id"]),
-            )
-            fate = np.full(len(cells), -1)
-            names = {}
-            for w in order:
-                fate[w["first"] : w["last"] + 1] = names.setdefault((w["class_id"], w["keep_id"], w["n_docs"], w["kept"]), len(names))
-            known = list(names)
-            bounds = np.flatnonzero(np.diff(fate, prepend=-2, append=-2))
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if fate[a] >= 0:
-                    n_words = sum(c["words"] for c in cells[a:b])
-                    rows.append((doc, key, cells[a]["start"], cells[b - 1]["end"], n_words, *known[fate[a]]))
-        if rows:
-            yield _batch(list(zip(*rows, strict=True)), _SEGMENT)
+    for batch in batches:
+        at, fields = _lists(batch, "cells", "start", "end", "words")
+        start, end, words = (_numbers(f) for f in fields)
+        run = np.repeat(np.arange(batch.num_rows), np.diff(at))
+        found, fields = _lists(batch, "found", "first", "last", "class_id", "n_docs", "kept", "keep_id")
+        if not len(run) or not found[-1]:
+            continue
+        first, last, name, n_docs, kept = (_numbers(f) for f in fields[:5])
+        keeps, keep = _numbers(pc.is_valid(fields[5])), _numbers(pc.fill_null(fields[5], 0))
+        base = np.repeat(at[:-1], np.diff(found))
+        # The window that decides is written last: one that stays before all others, then the smallest keeper.
+        order = np.lexsort((name, n_docs, -keep, keeps, kept))
+        size = (last - first + 1)[order]
+        window = np.repeat(order, size)
+        inside = np.arange(len(window)) - np.repeat(np.cumsum(size) - size, size)
+        fate = np.full(len(run), -1)
+        fate[(base + first)[window] + inside] = window
+        facts = np.stack([run, fate >= 0, *(x[fate] for x in (name, keep, keeps, n_docs, kept))])
+        new = np.concatenate([[True], (facts[:, 1:] != facts[:, :-1]).any(0)])
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(run))
+        total = np.concatenate([[0], np.cumsum(words)])
+        a, b = a[fate[a] >= 0], b[fate[a] >= 0]
+        own, w = [batch.column(c).take(pa.array(run[a])) for c in ("doc_id", "_d")], fate[a]
+        keep_id = pa.array(keep[w], pa.int64(), mask=~keeps[w])
+        yield _batch([*own, start[a], end[b - 1], total[b] - total[a], name[w], keep_id, n_docs[w], kept[w]], _SEGMENT)
 
 
 def _runs(found: DataFrame, gone: DataFrame) -> DataFrame:
@@ -387,10 +412,19 @@ def _runs(found: DataFrame, gone: DataFrame) -> DataFrame:
     row = W.partitionBy("_d", "_run").orderBy("first", "last")
     linked = [F.lag(c).over(row).eqNullSafe(F.col(c)) for c in ("n_docs", "keep_id", "same")]
     near = F.lag("last").over(row) + 1 >= F.col("first")
-    edges = hits.select(F.lag("node").over(row).alias("a"), F.col("node").alias("b"), (linked[0] & linked[1] & linked[2] & near).alias("ok"))
-    edges = edges.filter("ok AND a <> b").select("a", "b").distinct()
-    roots = stored(components(edges).withColumnRenamed("root", "class_id"), "run-classes")
-    hits = _known(hits, roots, "left").withColumn("class_id", F.coalesce("class_id", "node"))
+    follows = F.coalesce(linked[0] & linked[1] & linked[2] & near, F.lit(False))
+    # Windows in a row are one chain, named by its smallest window; chains that share a window are joined.
+    chains = hits.withColumn("_new", (~follows).cast("int")).withColumn("_chain", F.sum("_new").over(row))
+    chains = chains.withColumn("chain", F.min("node").over(W.partitionBy("_d", "_run", "_chain"))).drop("_new", "_chain")
+    chains = stored(chains, "chains")
+    names = chains.groupBy("node").agg(F.min("chain").alias("label"), F.max("chain").alias("top"))
+    names = stored(names, "chain-names")
+    several = stored(names.filter("label <> top").select("node", "label"), "several-chains")
+    edges = _known(chains.select("node", "chain"), several).select(F.col("label").alias("a"), F.col("chain").alias("b"))
+    roots = stored(components(edges.filter("a <> b").distinct()).withColumnRenamed("node", "label"), "run-classes")
+    names = _known(names.select("node", "label"), roots, "left", "label")
+    names = stored(names.select("node", F.coalesce("root", "label").alias("class_id")), "window-classes")
+    hits = _known(chains.drop("chain"), names)
     kept = F.col("held") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     told = hits.groupBy("_d", "_run").agg(
         F.collect_list(F.struct("first", "last", "class_id", "keep_id", "n_docs", kept.alias("kept"))).alias("found")
