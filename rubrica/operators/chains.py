@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rubrica.functions import scoring as S
 from rubrica.functions import text as X
-from rubrica.operators.ranking import salted_join
+from rubrica.operators.ranking import unique_join
 
 CHAIN = ["model", "prompt_id"]
 
@@ -42,7 +42,7 @@ def chain_status(log: DataFrame) -> DataFrame:
         F.max("image_path").alias("_output")
     )
     with_source = log.join(previous, [*CHAIN, "turn"], "left")
-    flagged = salted_join(with_source, broken, CHAIN, ["turn"], "left")
+    flagged = unique_join(with_source, broken, CHAIN, "left")
     return flagged.withColumn(
         "source_image_path", F.when(F.col("turn") == 1, F.col("source_image_path")).otherwise(F.col("_output"))
     ).withColumn(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rubrica.functions import scoring as S
-from rubrica.operators.ranking import salted_join
+from rubrica.operators.ranking import unique_join
 
 MISSING_IMAGE = "image_missing_or_filtered"
 MISSING_EDIT = "edited_image_missing_or_filtered"
@@ -225,11 +225,11 @@ def question_lookup(answers: DataFrame, prompts: DataFrame, questions: str) -> D
             F.col("_q")["type"].alias("type"),
         )
     )
-    joined = salted_join(answers, known, ["prompt_id", "q_id"], answers.columns, "left")
+    joined = unique_join(answers, known, ["prompt_id", "q_id"], "left")
     return joined.fillna({"question": "", "type": ""})
 
 
 def log_to_prompt(log: DataFrame, prompts: DataFrame, model: str | None = None) -> DataFrame:
     """Log rows (of one model) that belong to a known prompt, with the prompt's columns."""
     rows = log if model is None else log.filter(F.col("model") == model)
-    return salted_join(rows, prompts, ["prompt_id"], rows.columns)
+    return unique_join(rows, prompts, ["prompt_id"])

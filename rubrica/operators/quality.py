@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rubrica.functions import text as X
-from rubrica.operators.ranking import salted_join
+from rubrica.operators.ranking import unique_join
 from rubrica.operators.sampling import DIFFICULTIES
 
 # Difficulty -> (words min, words max, atoms min, atoms max).
@@ -46,7 +46,7 @@ def prompt_warnings(prompts: DataFrame, known_images: DataFrame | None = None) -
     image_missing = F.lit(False)
     if known_images is not None:
         known = known_images.select("source_image").distinct().withColumn("_image", F.lit(True))
-        checked = salted_join(prompts, known, ["source_image"], ["prompt_id"], "left")
+        checked = unique_join(prompts, known, ["source_image"], "left")
         image_missing = F.col("_image").isNull()
     instruction = F.coalesce(F.col("edit_instruction"), F.lit(""))
     rows = checked.select(

@@ -164,12 +164,22 @@ def salted_join(
     left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner",
     salts: int = 16,
 ) -> DataFrame:
-    """Join a large side with hot keys to a side that has one row per key.
+    """Join a large side with hot keys to a few groups, one row per key.
 
-    The unique side is repeated once per salt, so a hot key is worked on by ``salts`` tasks.
+    The group side is repeated once per salt, so a hot key is worked on by ``salts`` tasks. For a side that
+    grows with the input see ``unique_join``.
     """
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     salted_right = right.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     )
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+
+
+def unique_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join a large side with hot keys to a side that has one row per key and grows with the input.
+
+    Merged, never broadcast: the size of compressed files says little about the rows in a driver's memory. A hot key
+    makes a large partition of the left side, which the skew join of adaptive execution cuts up.
+    """
+    return left.join(right.hint("merge"), keys, how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rubrica.functions import scoring as S
-from rubrica.operators.ranking import salted_join
+from rubrica.operators.ranking import unique_join
 
 ITEM = ("model", "category", "subcategory", "source_id")
 
@@ -65,7 +65,6 @@ def text_key_join(prompts: DataFrame, known: DataFrame, images: DataFrame) -> Da
         .groupBy("prompt_text")
         .agg(F.max("prompt_id").alias("prompt_id"))
     )
-    spread = [c for c in prompts.columns if c != "prompt_text"]
-    return salted_join(prompts, ids, ["prompt_text"], spread).join(
+    return unique_join(prompts, ids, ["prompt_text"]).join(
         images.select("prompt_id").distinct(), "prompt_id", "left_semi"
     )

@@ -6,6 +6,7 @@ from rubrica.operators import agreement as H
 from rubrica.operators import bootstrap as B
 from rubrica.operators import chains as N
 from rubrica.operators import costs as C
+from rubrica.operators import judgments as J
 from rubrica.operators import ranking as K
 from rubrica.operators import sampling as M
 from rubrica.operators import weighted as G
@@ -114,6 +115,21 @@ def test_salted_join(spark):
     assert K.salted_join(left, right, ["g"], ["id"]).count() == left.count()
 
 
+def test_question_and_prompt_joins_broadcast_nothing(spark, tmp_path):
+    answers = _skewed(spark).selectExpr("g AS prompt_id", "'q1' AS q_id", "id")
+    prompts = spark.sql("SELECT 'hot' AS prompt_id, array(named_struct('q_id', 'q1', 'question', 'Why?', 'type', 't')) AS questions")
+    prompts.write.parquet(str(tmp_path / "prompts"))
+    prompts = spark.read.parquet(str(tmp_path / "prompts"))
+    log = answers.withColumn("model", F.lit("m"))
+    for joined in (J.question_lookup(answers, prompts, "questions"), J.log_to_prompt(log, prompts, "m")):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "_salt" not in plan
+    found = J.question_lookup(answers, prompts, "questions").groupBy("prompt_id", "question").count().collect()
+    want = {r.prompt_id: r["count"] for r in answers.groupBy("prompt_id").count().collect()}
+    assert {r.prompt_id: r["count"] for r in found} == want
+    assert {r.question for r in found if r.prompt_id == "hot"} <= {"Why?"} and {r.question for r in found if r.prompt_id != "hot"} == {""}
+
+
 def test_stratified_sample(spark):
     def texts(n):
         return spark.range(n).selectExpr("id", "repeat('x', cast(id % 11 AS int)) AS t")
