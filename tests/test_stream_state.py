@@ -46,6 +46,13 @@ def test_board_equals_the_batch_board(spark, tmp_path, cuts):
         assert {m: {k: pytest.approx(v) if isinstance(v, float) else v for k, v in r.items()} for m, r in want.items()} == got
 
 
+def test_board_keeps_state_in_built_in_aggregates(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    changes = board.board_changes(J.resolve_scores(jobs.stream_files(spark, str(tmp_path / "src"), JUDGED)))
+    plan = changes._jdf.queryExecution().logical().toString()
+    assert "Aggregate" in plan and "Python" not in plan and "Pandas" not in plan
+
+
 def _time(minute):
     return (dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)).isoformat()
 
