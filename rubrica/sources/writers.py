@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rubrica.functions import scoring as S
 
+# Records repeat their field names and questions in every line; readers take the codec from the file name.
+CODEC = "gzip"
+
 
 def append_records(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Append rows as JSON lines; each task adds its own files, so no lock is needed."""
-    writer = df.write.mode("append")
+    """Append rows as compressed JSON lines; each task adds its own files, so no lock is needed."""
+    writer = df.write.mode("append").option("compression", CODEC)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.json(path)
@@ -38,7 +41,7 @@ def write_routed(records: DataFrame, path: str, mode: str = "append") -> None:
     """
     failed = F.col("status").isin(S.FILTERED, S.ERROR)
     sinks = F.when(failed, F.array(F.lit("log"), F.lit("failures"))).otherwise(F.array(F.lit("log")))
-    records.withColumn("sink", F.explode(sinks)).write.mode(mode).partitionBy("sink").json(path)
+    records.withColumn("sink", F.explode(sinks)).write.mode(mode).option("compression", CODEC).partitionBy("sink").json(path)
 
 
 def route_failures(records: DataFrame, path: str) -> None:

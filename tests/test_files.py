@@ -149,3 +149,13 @@ def test_rejected_replies(spark):
     assert RP.rejected(parsed, fields).count() == sum(v is not None for v in cases.values())
     with pytest.raises(ValueError):
         RP.parse_replies(df, "reply", {"id": "int"})
+
+
+def test_records_are_written_compressed(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.range(50).selectExpr("concat('P', id) AS prompt_id", "'m' AS model", "'SUCCESS' AS status", "cast(null AS string) AS error", "cast(id AS int) AS seed")
+    writers.append_records(rows, path)
+    writers.append_records(rows, path)
+    names = [f.name for f in (tmp_path / "log").glob("part-*")]
+    assert names and all(n.endswith(".json.gz") for n in names)
+    assert readers.read_generation_log(spark, path).count() == 100
