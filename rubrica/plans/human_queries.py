@@ -89,8 +89,7 @@ def agreement(spark, d):
         GROUP BY rec_id, prompt_id, model""",
 )
 def agreement_by_record(spark, d):
-    pairs = H.human_judge_pairs(atoms(spark, d), labels(spark, d), "rec_id")
-    return H.agreement_by_record(pairs, "rec_id", "prompt_id", "model")
+    return H.record_agreement(b.judgments(spark, d), labels(spark, d), "rec_id", "prompt_id", "model")
 
 
 @query(

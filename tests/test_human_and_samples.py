@@ -257,3 +257,22 @@ def test_unparsed_reply_leaves_its_item_out(spark):
     )
     got = G.weighted_score(G.answered_questions(questions, replies)).collect()
     assert [(r.model, r.score) for r in got] == [("n", 0.8)]
+
+
+def test_record_agreement_equals_pairs(spark):
+    answer = "array<struct<q_id: string, answer: string>>"
+    records = spark.createDataFrame(
+        [("r1", "p", "m", [("q1", "yes"), ("q2", None), ("q2", "no")]), ("r1", "p", "m", [("q1", "no")]), ("r2", "p", "m", [("q9", "yes")]),
+         ("r3", "p", "m", []), ("r4", None, "m", [("q1", "yes")]), ("r5", "p", "m", [(None, "yes"), ("q1", "yes")]), ("r6", "p", "m", None)],
+        f"rec_id string, prompt_id string, model string, answers {answer}",
+    )
+    labels = spark.createDataFrame(
+        [("p", "m", "q1", "yes"), ("p", "m", "q2", "no"), ("p", "m", None, "yes"), (None, "m", "q1", "yes")],
+        "prompt_id string, model string, q_id string, human_answer string",
+    )
+    by = ["rec_id", "prompt_id", "model"]
+    atoms = records.select(*by, F.inline("answers"))
+    want = H.agreement_by_record(H.human_judge_pairs(atoms, labels, "rec_id"), *by)
+    got = H.record_agreement(records, labels, *by)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(rec_id") == 0
