@@ -56,13 +56,15 @@ def explode_atoms(judgments: DataFrame, *keep: str) -> DataFrame:
 
 
 def collapse_seeds(
-    judgments: DataFrame, keys: tuple[str, ...] = ("model", "prompt_id"), tie: str | None = None
+    judgments: DataFrame, keys: tuple[str, ...] = ("model", "prompt_id"), tie: str | None = None,
+    answer_fields: list[str] | None = None,
 ) -> DataFrame:
     """One row per (model, prompt): scores averaged over the seeds that were judged.
 
     All buffers have a fixed size, so partial aggregation absorbs a hot prompt. The error text
     and the kept answers fall away from the plan when nothing downstream reads them; ``covered``
-    and the scores then stay in hash aggregation.
+    and the scores then stay in hash aggregation. ``answer_fields`` names the fields of the kept answers that are
+    wanted (all, if not given): Spark does not prune them through the aggregate, and they make up most of a row.
     """
     good = S.covered_mask(F.col("judge_error"))
     order = [F.col("seed"), *([F.col(tie)] if tie else [])]
@@ -83,6 +85,10 @@ def collapse_seeds(
         (n_good > 0).alias("covered"),
     ]
     if "answers" in judgments.columns:
+        if answer_fields is not None:
+            fields = answer_fields
+            wanted = F.transform("answers", lambda a: F.struct(*[a[f].alias(f) for f in fields]))
+            judgments = judgments.withColumn("answers", wanted)
         has_answers = F.size("answers") > 0
         aggs.append(
             F.min_by("answers", F.when(has_answers, F.struct(*order))).alias("answers")

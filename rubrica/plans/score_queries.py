@@ -319,7 +319,7 @@ def distinct_keys(spark, d):
         FROM c JOIN e USING (model, prompt_id)""",
 )
 def collapse_seeds(spark, d):
-    out = collapsed(spark, d)
+    out = J.collapse_seeds(resolved(spark, d), tie="rec_id", answer_fields=["probability"])
     scores = ["score_am", "score_gm", "seed_std_dev_am", "seed_std_dev_gm"]
     return out.select(
         "model", "prompt_id", *[F.bround(c, 6).alias(c) for c in scores], "n_seeds", "judge_error",

@@ -151,3 +151,10 @@ def test_collapse_seeds(spark):
     assert (bad.score_am, bad.score_gm, bad.n_seeds, bad.covered) == (0.0, 0.0, 0, False)
     assert bad.judge_error == "first" and bad.answers[0].probability == 0.1
     assert (one.seed_std_dev_am, one.answers) == (0.0, None)
+
+
+def test_collapse_seeds_carries_the_answer_fields_asked_for(spark):
+    rows = [("p", "m", 0, None, 0.0, 0.0, None, []), ("p", "m", 1, None, 0.6, 0.4, None, _answers(("yes", 0.6), ("no", 0.2)))]
+    df = J.resolve_scores(spark.createDataFrame(rows, JUDGMENT))
+    (row,) = J.collapse_seeds(df, answer_fields=["probability"]).collect()
+    assert [a.asDict() for a in row.answers] == [{"probability": 0.6}, {"probability": 0.2}]
