@@ -32,8 +32,8 @@ BLOCK_ROWS = 4096
 SUBSET_ROWS = 8192
 # Replicates of a subset, where a group has many.
 LEAST_REPLICATES = 200
-# Draws that are made at once.
-DRAWS = 1 << 20
+# Draws that are made at once; they and the values of a block fit a core's cache.
+DRAWS = 1 << 17
 
 
 def generator(seed: int, group: str | None, *place: int) -> np.random.Generator:
@@ -87,6 +87,8 @@ def block_draws(n_boot: int, seed: int, group: str | None, n: int, block: int, p
 def _block_sums(x: np.ndarray, draws: np.ndarray, random: np.random.Generator) -> np.ndarray:
     """Per replicate the sum of ``draws`` values picked from x."""
     out = np.zeros(len(draws))
+    # Short integers take the generator half the time of long ones.
+    kind = np.uint16 if len(x) <= 1 << 16 else np.int64
     at = 0
     while at < len(draws):
         ends = np.cumsum(draws[at:])
@@ -95,9 +97,12 @@ def _block_sums(x: np.ndarray, draws: np.ndarray, random: np.random.Generator) -
         for lo in range(0, max(int(ends[-1]), 1), DRAWS):
             # One replicate may itself have more draws than are made at once.
             hi = min(int(ends[-1]), lo + DRAWS)
-            picked = np.concatenate([[0.0], np.cumsum(x[random.integers(0, len(x), hi - lo)])])
+            picked = x.take(random.integers(0, len(x), hi - lo, dtype=kind), mode="clip")
             edges = np.clip(np.concatenate([[0], ends]), lo, hi) - lo
-            out[at : at + some] += np.diff(picked[edges])
+            # Replicates with draws in this stretch lie side by side in it.
+            has = np.flatnonzero(np.diff(edges))
+            if len(has):
+                out[at + has] += np.add.reduceat(picked, edges[has])
         at += some
     return out
 

@@ -661,7 +661,7 @@ def leaderboard_ci(spark, d):
 )
 def bootstrap_exact(spark, d):
     """Intervals from replicates of exactly n draws; both bounds lie near those of the normal law."""
-    covered = collapsed(spark, d).filter("covered")
+    covered = stored(collapsed(spark, d).filter("covered").select("model", "prompt_id", "score_am"), "covered")
     bounds = R.exact_ci(covered, "model", "score_am", "prompt_id", n_boot=N_BOOT, seed=SEED)
     error = F.stddev_pop("score_am") / F.sqrt(F.count("score_am"))
     normal = covered.groupBy("model").agg(F.avg("score_am").alias("mean"), error.alias("error"))
@@ -684,6 +684,7 @@ def bootstrap_median(spark, d):
     """Intervals of a statistic of the caller's own, the median. The numbers of values below its bounds must
     lie where a binomial count does: 1 to 3.3 deviations beside the middle."""
     covered = collapsed(spark, d).filter("covered").select("model", "prompt_id", F.col("score_gm").alias("x"))
+    covered = stored(covered, "covered")
     bounds = R.custom_ci(covered, "model", "x", "prompt_id", R.weighted_median, weighted=True, n_boot=N_BOOT, seed=SEED)
     n, half = F.count("x"), 0.5 * F.sqrt(F.count("x"))
     lower, upper = F.count_if(F.col("x") < F.col("ci_lower")), F.count_if(F.col("x") < F.col("ci_upper"))

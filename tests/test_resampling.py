@@ -109,3 +109,10 @@ def test_weighted_median():
         x, c = random.normal(size=n), random.integers(0, 4, n)
         c[0] += 1
         assert R.weighted_median(x, c) == pytest.approx(np.median(np.repeat(x, c)))
+
+
+def test_block_sums_of_one_value_are_its_multiples():
+    # Replicates without draws, and one with more draws than are made at once.
+    draws = np.array([0, 3, 0, R.DRAWS * 2 + 5, 1, 0])
+    sums = R._block_sums(np.full(10, 2.0), draws, R.generator(1, "g"))
+    assert (sums == 2.0 * draws).all()
