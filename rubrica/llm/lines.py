@@ -23,8 +23,6 @@ from pyspark.sql import Window as W
 from rubrica.llm.base import stored, text_key, unwrapped, wrapped
 
 SPREAD = 4
-# A counted table with up to so many entries (rows, or elements of its lists) is broadcast, a larger one shuffled.
-BROADCAST_ENTRIES = 200_000
 _LEAST = -(2**63)
 _CONTENT = "[^\\x20\\x09-\\x0D]"
 
@@ -75,40 +73,39 @@ def _place() -> Column:
     return F.struct(rank, F.col("key.h").alias("h"), "first", "last")
 
 
-def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
-    """A stored table with the broadcast hint where its counted entries allow one."""
-    entries = F.size(lists) + 1 if lists else F.lit(1)
-    n = df.agg(F.coalesce(F.sum(entries), F.lit(0))).first()[0]
-    return F.broadcast(df) if n <= BROADCAST_ENTRIES else df
-
-
-def line_cuts(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """key and cuts of documents that lose lines: ranges (first, last) of content lines, in order and apart."""
+def _repeats(docs: DataFrame, spread: int) -> tuple[DataFrame, DataFrame]:
+    """Occurrences of repeated hashes that would go (key, first, last, hash), and those that stay."""
     units = stored(_units(docs, spread), "units")
     counted = units.groupBy("hash").agg(F.min(_place()).alias("keeper"), F.max(_place()).alias("_last"))
     counted = stored(counted.filter("keeper <> _last").select("hash", "keeper"), "repeated")
-    again = units.join(_small(counted), "hash").withColumn("gone", _place() != F.col("keeper")).drop("keeper")
-    again = stored(again.distinct(), "occurrences")
+    # Stored before the documents are looked at: rows of a very common hash may then be split over tasks.
+    again = stored(units.join(counted, "hash").withColumn("gone", _place() != F.col("keeper")).drop("keeper"), "occurrences")
+    again = again.repartition("key").distinct()
     # Pairs inside a chunk that goes need no look of their own; their units come after the chunk's.
     before = W.partitionBy("key").orderBy("first", F.desc("last")).rowsBetween(W.unboundedPreceding, -1)
     whole = F.when(F.col("gone") & (F.col("last") - F.col("first") > 1), F.col("last"))
     again = again.withColumn("inside", F.coalesce(F.max(whole).over(before) >= F.col("last"), F.lit(False)))
-    wanted = stored(again.filter("gone AND NOT inside").drop("gone", "inside"), "wanted")
-    # What goes is compared with the occurrence that stays: bodies of both, from their documents.
-    hashes = wanted.select("hash").distinct()
-    kept = counted.join(hashes, "hash", "left_semi").select(
+    wanted = stored(again.filter("gone AND NOT inside").select("key", "first", "last", "hash"), "wanted")
+    kept = counted.join(wanted.select("hash").distinct(), "hash", "left_semi").select(
         F.struct(F.nullif("keeper.id", F.lit(_LEAST)).alias("doc_id"), "keeper.h").alias("key"),
         "keeper.first", "keeper.last", "hash",
     )
-    places = wanted.select("key", "first", "last", "hash").unionByName(kept)
-    listed = places.groupBy("key").agg(F.collect_list(F.struct("first", "last", "hash")).alias("places"))
-    read = docs.select(_key(), "text").join(_small(stored(listed, "places"), "places"), "key")
+    return wanted, kept
+
+
+def line_cuts(keyed: DataFrame, wanted: DataFrame, kept: DataFrame) -> DataFrame:
+    """key and cuts of documents that lose lines: ranges (first, last) of content lines, in order and apart.
+
+    ``keyed`` has the key and text of all documents. What goes is compared with the occurrence that stays: bodies
+    of both, from their documents.
+    """
+    places = wanted.unionByName(kept).groupBy("key").agg(F.collect_list(F.struct("first", "last", "hash")).alias("places"))
+    read = keyed.join(stored(places, "places"), "key")
     read = _lined(read, "key", "places").select("content", F.explode_outer("places").alias("p"))
     body = F.array_join(F.slice("content", F.col("p.first") + 1, F.col("p.last") - F.col("p.first") + 1), "\n")
     read = read.select(F.col("p.hash").alias("hash"), body.alias("body"))
     bodies = read.groupBy("hash").agg(F.min("body").alias("low"), F.max("body").alias("high"))
-    equal = stored(bodies.filter("low = high").select("hash"), "equal")
-    cuts = wanted.join(_small(equal), "hash", "left_semi")
+    cuts = wanted.join(bodies.filter("low = high").select("hash"), "hash", "left_semi")
     # Ranges that overlap or touch are one.
     line = W.partitionBy("key").orderBy("first", "last")
     reach = F.max("last").over(line.rowsBetween(W.unboundedPreceding, -1))
@@ -118,18 +115,19 @@ def line_cuts(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     return runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("cuts"))
 
 
-def _cut(docs: DataFrame, spread: int) -> DataFrame:
-    """All rows as a struct ``row``; ``text``, and ``left`` and ``cut`` (ranges of lines), NULL without cuts."""
-    cuts = stored(line_cuts(docs, spread), "cuts")
-    rows = wrapped(docs, _key(), F.col("text"))
-    rows = rows.join(_small(cuts, "cuts"), "key", "left")
-    rows = _lined(rows, "row", "text", "cuts")
+def _cut(docs: DataFrame, spread: int, rows: DataFrame, *keep: str) -> DataFrame:
+    """``rows`` (key, text and ``keep``) with ``left``, and ``cut`` (ranges of lines), NULL without cuts.
+
+    The documents meet their places and their cuts in one plan: rows of key and text only are shuffled once for both.
+    """
+    cuts = line_cuts(docs.select(_key(), "text"), *_repeats(docs, spread))
+    rows = _lined(rows.join(cuts, "key", "left"), *keep, "text", "cuts")
     ranges = F.transform("cuts", lambda c: F.struct(F.get("at", c["first"]).alias("first"), F.get("at", c["last"]).alias("last")))
-    rows = rows.select("row", "text", "lines", ranges.alias("cut"))
+    rows = rows.select(*keep, "text", "lines", ranges.alias("cut"))
     edges = F.sequence(F.lit(0), F.size("cut"))
     kept = F.transform(edges, lambda k: F.slice("lines", _after(k) + 1, _until(k) - _after(k)))
     left = F.when(F.col("cut").isNotNull(), F.array_join(F.flatten(kept), "\n"))
-    return rows.select("row", "text", "cut", F.when(F.col("cut").isNull(), F.col("text")).otherwise(left).alias("left"))
+    return rows.select(*keep, "text", "cut", F.when(F.col("cut").isNull(), F.col("text")).otherwise(left).alias("left"))
 
 
 def _after(k: Column) -> Column:
@@ -150,7 +148,8 @@ def dedup_lines(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     lose the same lines. A line alone is never cut, and blank lines only go between lines that do. Extra columns
     pass through whatever their names are. An empty table gives no rows.
     """
-    return unwrapped(_cut(docs, spread), docs.columns, F.col("left"))
+    rows = wrapped(docs, _key(), F.col("text"))
+    return unwrapped(_cut(docs, spread, rows, "row"), docs.columns, F.col("left"))
 
 
 def line_report(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
@@ -158,11 +157,11 @@ def line_report(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
 
     An empty table gives no rows; a NULL text counts as empty here.
     """
-    done = _cut(docs.select("doc_id", "text"), spread)
+    done = _cut(docs, spread, docs.select(_key(), "text"), "key")
     listed = F.transform("cut", lambda c: F.concat_ws(":", c["first"], c["last"] - c["first"] + 1))
     lines = F.aggregate("cut", F.lit(0), lambda s, c: s + c["last"] - c["first"] + 1)
     return done.select(
-        F.col("row.doc_id").alias("doc_id"), F.coalesce(lines, F.lit(0)).cast("bigint").alias("n_cut"),
+        F.col("key.doc_id").alias("doc_id"), F.coalesce(lines, F.lit(0)).cast("bigint").alias("n_cut"),
         F.coalesce(F.array_join(listed, ","), F.lit("")).alias("cut"),
         F.sha2(F.coalesce("left", F.lit("")), 256).alias("text_sha256"),
     )

@@ -310,6 +310,22 @@ def test_line_runs_go_whole(spark):
             assert [x for x in rows[i].text.split("\n") if x] == own
 
 
+def test_line_report_moves_texts_once(spark):
+    """The plan is the same for small and large tables: no forced broadcast, one shuffle of texts for both looks at them."""
+    texts = ["a\nb\nc", "x\na\nb", "y"]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        report = lines.line_report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+        rows = _by_id(report)
+        plan = report._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert [(rows[i].n_cut, rows[i].cut) for i in range(3)] == [(0, ""), (2, "1:2"), (0, "")]
+    assert "BroadcastHashJoin" not in plan
+    assert len(re.findall(r"ReusedExchange \[key#\d+, text#\d+\]", plan)) == 1
+
+
 def test_no_link_is_lost_in_a_large_group(spark, monkeypatch):
     """A large group of variants, and edited copies that are like one variant only: regions far above a block."""
     monkeypatch.setattr(forest, "BLOCK", 8)
