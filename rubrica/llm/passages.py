@@ -44,9 +44,10 @@ MIN_WORDS = 16
 BANDS = 10
 ROWS = 3
 MAP_WORDS = 4
-BROADCAST_NODES = 1_000_000
+BROADCAST_DOCUMENTS = 1_000_000
 BLOCK = 1024
 SHARE = 1 << 19
+PAIRS = 1 << 19
 _PIECE = "doc_id bigint, _d bigint, at int, start int, end int, words int, node bigint, marks array<bigint>"
 _PLACE = "doc_id bigint, _d bigint, _run bigint, node bigint, first int, last int, held boolean"
 _SEGMENT = "doc_id bigint, _d bigint, start int, end int, n_words bigint, class_id bigint, keep_id bigint, n_docs bigint, kept boolean"
@@ -197,12 +198,6 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch(list(spans(first, last, np.full(len(first), -1), flat)), _PIECE)
 
 
-def _known(rows: DataFrame, nodes: DataFrame, how: str = "inner", key: str = "node") -> DataFrame:
-    """Rows whose node is in ``nodes`` (one row per node); broadcast only up to a checked size."""
-    small = nodes.count() <= BROADCAST_NODES
-    return rows.join(F.broadcast(nodes) if small else nodes, key, how)
-
-
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for cols in rows_of(batches, "a", "b", "text_a", "text_b"):
         out, sets = [], {}
@@ -232,62 +227,158 @@ def may_be_alike(one: str, two: str) -> Column:
     return 100 * both >= 75 * (F.col(f"{one}.n") + F.col(f"{two}.n") - both)
 
 
-def _confirmed(pairs: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the stored ``pairs`` (a, b) with an exact Jaccard similarity of 0.75 or more.
-
-    Only texts that hold the paragraphs of a pair are read again, each paragraph from one ``place``.
-    """
-    wanted = stored(pairs.select(F.explode_outer(F.array("a", "b")).alias("node")).distinct(), "paragraphs")
-    chosen = _known(places, wanted, "left_semi").dropDuplicates(["node"])
-    spans = chosen.groupBy("_d").agg(F.collect_list(F.struct("node", "start", "end")).alias("spans"))
-    texts = _known(rows.select("_d", "text"), stored(spans, "paragraph-places"), key="_d")
+def _texts(nodes: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
+    """node and text of the paragraphs in the stored ``nodes``, each read from one ``place``."""
+    chosen = places.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    spans = stored(chosen.groupBy("_d").agg(F.collect_list(F.struct("node", "start", "end")).alias("spans")), "paragraph-places")
+    # Texts are not shuffled while the list of documents that are read again is short.
+    few = spans.count() <= BROADCAST_DOCUMENTS
+    texts = rows.select("_d", "text").join(F.broadcast(spans) if few else spans, "_d")
     cut = F.transform("spans", lambda s: F.struct(s["node"], F.substring("text", s["start"] + 1, s["end"] - s["start"]).alias("text")))
     texts = texts.select(F.explode_outer(cut).alias("s")).select("s.node", "s.text")
-    texts = stored(texts.dropDuplicates(["node"]), "paragraph-texts")
+    return stored(texts.dropDuplicates(["node"]), "paragraph-texts")
+
+
+def _confirmed(pairs: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the stored ``pairs`` (a, b) with an exact Jaccard similarity of 0.75 or more."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    texts = _texts(stored(nodes.distinct(), "paragraphs"), places, rows)
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(one, "a").join(two, "b")
     return stored(joined.mapInArrow(_exact, "a bigint, b bigint"), "paragraph-links")
 
 
-def _across(keyed: DataFrame, links: DataFrame) -> DataFrame:
-    """All pairs of a band that can be alike and whose paragraphs ``links`` does not join yet.
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by (band, i, j) as tables of whole cells, with the end of each row's cell."""
+    rest = None
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            start = _cell_starts(table)[-1]
+            if start:
+                yield table[:start], _cell_ends(table[:start])
+            rest = table[start:]
+    if rest is not None:
+        yield rest, _cell_ends(rest)
+
+
+def _cell_starts(table: pa.Table) -> np.ndarray:
+    band, i, j = (_numbers(table.column(c)) for c in ("band", "i", "j"))
+    new = (np.diff(band) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def _cell_ends(table: pa.Table) -> np.ndarray:
+    bounds = np.append(_cell_starts(table), table.num_rows)
+    return np.repeat(bounds[1:], np.diff(bounds))
+
+
+def _met(table: pa.Table, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one cell and of different components that the bitmaps do not rule out, some at a time."""
+    i, j, part, root, n = (_numbers(table.column(c)) for c in ("i", "j", "part", "root", "n"))
+    bits = [_numbers(table.column(f"b{k}")).view(np.uint64) for k in range(MAP_WORDS)]
+    later = ends - np.arange(len(ends)) - 1
+    total = np.concatenate([[0], np.cumsum(later)])
+    at = 0
+    while at < len(ends):
+        until = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, side="right")) - 1)
+        a = np.repeat(np.arange(at, until), later[at:until])
+        b = a + 1 + np.arange(len(a)) - (total[a] - total[at])
+        at = until
+        open_ = (root[a] != root[b]) & ((i[a] == j[a]) | (part[a] != part[b]))
+        a, b = a[open_], b[open_]
+        own, other = n[a].copy(), n[b].copy()
+        for w in bits:
+            own -= np.bitwise_count(w[a] & ~w[b])
+            other -= np.bitwise_count(w[b] & ~w[a])
+        both = np.minimum(own, other)
+        alike = 100 * both >= 75 * (n[a] + n[b] - both)
+        yield a[alike], b[alike]
+
+
+def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that have a partner in their cell."""
+    for table, ends in _cells(batches):
+        wanted = np.zeros(table.num_rows, bool)
+        for a, b in _met(table, ends):
+            wanted[a] = wanted[b] = True
+        yield from table.filter(pa.array(wanted)).to_batches()
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Confirmed links, of each group of alike rows only those that join what is not joined yet."""
+    for table, ends in _cells(batches):
+        nodes, texts = table.column("node").to_pylist(), table.column("text")
+        tree = np.unique(_numbers(table.column("root")), return_inverse=True)[1]
+        up = list(range(tree.max() + 1))
+        sets, out = {}, []
+
+        def top(k: int) -> int:
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            return k
+
+        def grams(k: int) -> frozenset:
+            if nodes[k] not in sets:
+                sets[nodes[k]] = frozenset(shingles(words_of(texts[k].as_py().encode())[0]).tolist())
+            return sets[nodes[k]]
+
+        for some in _met(table, ends):
+            for a, b in zip(*(x.tolist() for x in some), strict=True):
+                one, two = top(tree[a]), top(tree[b])
+                if one != two:
+                    x, y = grams(a), grams(b)
+                    both = len(x & y)
+                    if 100 * both >= 75 * (len(x) + len(y) - both):
+                        up[two] = one
+                        out.append((nodes[a], nodes[b]))
+        yield _batch([[a for a, _ in out], [b for _, b in out]], "a bigint, b bigint")
+
+
+def _across(met: DataFrame, links: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links between paragraphs of a band that ``links`` does not join yet.
 
     A band of n paragraphs is dealt into blocks of about ``BLOCK``, and every block meets every other
-    one and itself under a key of its own.
+    one and itself in a cell of its own. Pairs live inside a cell's task only: what leaves it is the rows
+    that have a partner, then, with their texts, as many links as it takes to join all that are alike.
     """
     roots = stored(components(links), "first-classes")
-    rooted = _known(keyed.withColumn("node", F.col("p.node")), roots, "left")
+    rooted = met.select("band", "p.*").join(roots, "node", "left")
     rooted = stored(rooted.withColumn("root", F.coalesce("root", "node")), "rooted-bands")
     bands = rooted.groupBy("band").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")
     )
     bands = stored(bands.filter("low <> high").select("band", "parts"), "open-bands")
-    dealt = _known(rooted, bands, key="band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = rooted.join(bands, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     others = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
     meets = F.transform(others, lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
-    dealt = dealt.select("band", "p", "root", "part", F.explode_outer(meets).alias("m"))
-    dealt = stored(dealt.select("band", "m.i", "m.j", "p", "root", "part"), "dealt-bands")
-    one, two = (dealt.select("band", "i", "j", *[F.col(c).alias(f"{c}_{x}") for c in ("p", "root", "part")]) for x in "ab")
-    met = one.join(two, ["band", "i", "j"]).filter("root_a <> root_b AND p_a.node < p_b.node")
-    met = met.filter("i = j OR part_a <> part_b").filter(may_be_alike("p_a", "p_b"))
-    return met.select(F.col("p_a.node").alias("a"), F.col("p_b.node").alias("b")).distinct()
+    dealt = dealt.withColumn("m", F.explode_outer(meets)).select("*", "m.i", "m.j").drop("m", "parts")
+    dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    suspects = stored(dealt.mapInArrow(_suspects, dealt.schema), "suspects")
+    texts = _texts(stored(suspects.select("node").distinct(), "suspect-paragraphs"), places, rows)
+    dealt = suspects.join(texts, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return stored(dealt.mapInArrow(_joined, "a bigint, b bigint"), "further-links")
 
 
 def _paragraph_links(paragraphs: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs of different paragraph contents (a, b) with an exact Jaccard similarity of 0.75 or more.
 
-    The smallest and largest paragraph of each band join most of a class; then all pairs of a band that
-    are in different components are met, so every paragraph that collides with a like one is linked.
+    The smallest and largest paragraph of each band join most of a class; then all of a band that
+    are in different components meet, so every paragraph that collides with a like one is joined to it.
     """
     bits = [F.element_at("marks", BANDS + 1 + k).alias(f"b{k}") for k in range(MAP_WORDS)]
     once = paragraphs.dropDuplicates(["node"]).select(
-        F.struct("node", *bits, F.element_at("marks", -1).alias("n")).alias("p"), F.slice("marks", 1, BANDS).alias("bands")
+        "node", F.struct("node", *bits, F.element_at("marks", -1).alias("n")).alias("p"), F.slice("marks", 1, BANDS).alias("bands")
     )
-    keyed = stored(once.select("p", F.explode_outer("bands").alias("band")), "bands")
-    full = keyed.groupBy("band").agg(F.min("p.node").alias("low"), F.max("p.node").alias("high"))
+    once = stored(once, "paragraph-marks")
+    # Only numbers meet in the bands; marks follow for the paragraphs that collide.
+    keyed = once.select("node", F.explode_outer("bands").alias("band"))
+    full = keyed.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     full = stored(full.filter("low <> high"), "band-ends")
-    met = stored(_known(keyed, full, key="band"), "colliding")
+    met = stored(keyed.join(full, "band"), "band-places")
+    met = stored(met.join(once.select("node", "p"), "node").drop("node"), "colliding")
     pairs = []
     for end in ("low", "high"):
         ends = met.filter(F.col("p.node") == F.col(end)).select("band", F.col("p").alias("e"))
@@ -296,8 +387,7 @@ def _paragraph_links(paragraphs: DataFrame, rows: DataFrame) -> DataFrame:
     pairs = stored(pairs[0].unionByName(pairs[1]).distinct(), "paragraph-pairs")
     places = paragraphs.select("node", "_d", "start", "end")
     links = _confirmed(pairs, places, rows)
-    rest = stored(_across(met.select("p", "band"), links).join(pairs, ["a", "b"], "left_anti"), "further-pairs")
-    return links.unionByName(_confirmed(rest, places, rows)) if rest.head(1) else links
+    return links.unionByName(_across(met.select("p", "band"), links, places, rows))
 
 
 def windows(words: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -408,7 +498,7 @@ def _runs(found: DataFrame, gone: DataFrame) -> DataFrame:
     )
     # A window that stands in removed lines only goes with them.
     holds = stored(holds.filter("n_docs > 1 AND stays").drop("stays"), "repeated-windows")
-    hits = stored(_known(places, holds), "window-places")
+    hits = stored(places.join(holds, "node"), "window-places")
     row = W.partitionBy("_d", "_run").orderBy("first", "last")
     linked = [F.lag(c).over(row).eqNullSafe(F.col(c)) for c in ("n_docs", "keep_id", "same")]
     near = F.lag("last").over(row) + 1 >= F.col("first")
@@ -420,11 +510,11 @@ def _runs(found: DataFrame, gone: DataFrame) -> DataFrame:
     names = chains.groupBy("node").agg(F.min("chain").alias("label"), F.max("chain").alias("top"))
     names = stored(names, "chain-names")
     several = stored(names.filter("label <> top").select("node", "label"), "several-chains")
-    edges = _known(chains.select("node", "chain"), several).select(F.col("label").alias("a"), F.col("chain").alias("b"))
+    edges = chains.select("node", "chain").join(several, "node").select(F.col("label").alias("a"), F.col("chain").alias("b"))
     roots = stored(components(edges.filter("a <> b").distinct()).withColumnRenamed("node", "label"), "run-classes")
-    names = _known(names.select("node", "label"), roots, "left", "label")
+    names = names.select("node", "label").join(roots, "label", "left")
     names = stored(names.select("node", F.coalesce("root", "label").alias("class_id")), "window-classes")
-    hits = _known(chains.drop("chain"), names)
+    hits = chains.drop("chain").join(names, "node")
     kept = F.col("held") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     told = hits.groupBy("_d", "_run").agg(
         F.collect_list(F.struct("first", "last", "class_id", "keep_id", "n_docs", kept.alias("kept"))).alias("found")
@@ -449,17 +539,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # Two documents hold a cell when its smallest and largest document key differ.
     shared = cells.groupBy("node").agg(F.min("_d").alias("low"), F.max("_d").alias("high"))
     shared = stored(shared.filter("low <> high").select("node"), "cells")
-    found = stored(_known(cells, shared, "left_semi").distinct(), "repeated-cells")
+    found = stored(cells.join(shared, "node", "left_semi").distinct(), "repeated-cells")
     lines = pieces.filter("at < 0").drop("at")
     links = _paragraph_links(lines, rows)
     roots = stored(components(links), "line-classes")
-    near = links.select(F.explode_outer(F.array("a", "b")).alias("node")).distinct()
-    lined = _known(lines.select("doc_id", "_d", "start", "end", F.col("words").cast("bigint").alias("n_words"), "node"), near, "left_semi")
-    lined = stored(_known(lined.distinct(), roots).withColumnRenamed("root", "class_id"), "linked-lines")
+    lined = lines.select("doc_id", "_d", "start", "end", F.col("words").cast("bigint").alias("n_words"), "node")
+    lined = stored(lined.join(roots, "node").distinct().withColumnRenamed("root", "class_id"), "linked-lines")
     classes = lined.groupBy("class_id", "_d").agg(F.min("doc_id").alias("low")).groupBy("class_id")
     classes = classes.agg(F.count(F.lit(1)).alias("n_docs"), F.min("low").alias("keep_id"))
     classes = stored(classes.filter("n_docs > 1"), "kept-lines")
-    lined = _known(lined, classes, key="class_id").withColumns(
+    lined = lined.join(classes, "class_id").withColumns(
         {"kind": F.lit("line"), "kept": F.col("doc_id").eqNullSafe(F.col("keep_id"))}
     )
     lined = stored(lined, "near-lines")

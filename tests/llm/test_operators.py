@@ -12,9 +12,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import Row
+from pyspark.sql import Row, functions as F
 
 from rubrica.llm import exact, fingerprint, forest, lines, packing, passages, pieces, private, quality, tokens
+from rubrica.llm.base import bare
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -199,6 +200,21 @@ def test_lines_of_one_band_all_meet(spark):
     assert sum(classes.get(2 * k, -1) == classes.get(2 * k + 1, -2) for k in range(40)) == 40
 
 
+def test_links_of_a_large_band_stay_few(spark):
+    """Families of like lines in the same bands: each is joined by about one link per line, not by all its pairs."""
+    head, texts = _words(60, 70), []
+    for family in range(3):
+        tail = _words(30, 71 + family)
+        texts += [" ".join([*head, *tail[:-1], f"end{family}x{k}"]) for k in range(60)]
+    rows = bare(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).withColumn("_d", F.xxhash64("doc_id"))
+    pieces = rows.mapInArrow(passages._parse, passages._PIECE).filter("at < 0")
+    assert passages._paragraph_links(pieces, rows).distinct().count() < 5 * len(texts)
+    found = {}
+    for r in passages.repeated_passages(rows.drop("_d")).filter("kind = 'line'").collect():
+        found.setdefault(r.class_id, set()).add(r.doc_id)
+    assert sorted(found.values(), key=min) == [set(range(60 * k, 60 * k + 60)) for k in range(3)]
+
+
 def test_wrapped_paragraphs(spark):
     """A paragraph wrapped into short lines is compared as a whole; a blank line ends it."""
     words = _words(60, 300)
