@@ -335,3 +335,55 @@ def test_negatives_empty(spark):
     assert negatives.mine(empty).collect() == []
     none = spark.createDataFrame([(1, None, 1, True, "", "")], VECTORS)
     assert negatives.mine(none).collect() == []
+
+
+def test_negatives_broadcast_nothing(spark, monkeypatch):
+    """Chosen pairs lie in a file far smaller than they are: a broadcast by its size would fill the driver."""
+    monkeypatch.setattr(negatives, "BLOCK", 16)
+    monkeypatch.setattr(negatives, "GROUP", 8)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8)], int(rng.integers(3)), i % 4 == 0, "", "") for i in range(400)]
+    plans = []
+    keep = negatives.stored
+
+    def spy(df, name):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(negatives, "stored", spy)
+    mined = negatives.mine(spark.createDataFrame(rows, VECTORS))
+    assert Counter(tuple(r) for r in mined.collect()) == _mined(rows)
+    plans.append(mined._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 7 and not [p for p in plans if "Broadcast" in p]
+
+
+@pytest.mark.parametrize("limit", [1, 3])
+def test_negatives_group_rows_per_shelf(spark, monkeypatch, limit):
+    """A group goes to a shelf once, however many blocks of it it asks for, and gets one row back."""
+    monkeypatch.setattr(negatives, "BLOCK", 16)
+    monkeypatch.setattr(negatives, "GROUP", 8)
+    monkeypatch.setattr(negatives, "SHELVES", limit)
+    monkeypatch.setattr(negatives, "PAGE", 4)
+    monkeypatch.setattr(negatives, "TOGETHER", 3)
+    monkeypatch.setattr(negatives, "HELD", 50)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=8)], int(rng.integers(3)), i % 4 == 0, "", "") for i in range(400)]
+    rows += rows[:9] + [(900 + i, [0.0] * 8, i % 2, i % 3 == 0, "", "") for i in range(40)]
+    sent = []
+    join = negatives._first_then
+
+    def spy(held, visits, key, parts):
+        sent.append((key, parts, visits.count(), visits.select("grp").distinct().count()))
+        return join(held, visits, key, parts)
+
+    monkeypatch.setattr(negatives, "_first_then", spy)
+    got = Counter(tuple(r) for r in negatives.mine(spark.createDataFrame(rows, VECTORS)).collect())
+    assert got == _mined(rows)
+    assert [key for key, *_ in sent] == ["desk", "shelf"] * 2
+    assert all(parts <= limit and n <= groups * (parts if key == "shelf" else 1) for key, parts, n, groups in sent), sent
+
+
+def test_negatives_without_components(spark):
+    rows = [(i, [], i % 2, i < 3, "", "") for i in range(6)]
+    assert Counter(tuple(r) for r in negatives.mine(spark.createDataFrame(rows, VECTORS)).collect()) == _mined(rows)
