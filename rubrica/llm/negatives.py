@@ -45,7 +45,7 @@ PAGE = 64
 PARTS = 1000
 # Packed blocks that a task holds, and as many shelves as tasks up to so many.
 SHELF_BYTES = 64 << 20
-SHELVES = 128
+SHELVES = 64
 # Blocks in which positives are sought at once: each has few rows of a label.
 TOGETHER = 8
 # Rows found that a group holds before it compares them.
@@ -361,16 +361,20 @@ class _Anchors:
     """A group of anchors unpacked: with windows once their positives are known, with floors for positives before."""
 
     def __init__(self, dims: int, kind: str, low: int, wanted: int, row: dict):
-        self.ids, self.labels = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["labels"], np.int32)
-        self.vectors = np.frombuffer(row["vectors"], kind).reshape(len(self.ids), dims)
-        self.floors, self.norm = np.frombuffer(row["floors"], np.int64), row["norm"]
+        self.labels, self.norm = np.frombuffer(row["labels"], np.int32), row["norm"]
+        n = len(self.labels)
+        self.vectors = np.frombuffer(row["vectors"], kind).reshape(n, dims)
+        # What a search does not compare stays with the group.
+        self.ids, self.floors, self.tops, self.top_ids = (
+            None if row.get(c) is None else np.frombuffer(row[c], np.int64) for c in ("ids", "floors", "tops", "top_ids")
+        )
         self.places = None if row.get("places") is None else np.array(row["places"], np.int64)
-        self.windows = row.get("tops") is not None
+        self.windows = self.tops is not None
         if self.windows:
             # Per anchor and positive: its score (LEAST where there is none) and id; a window below 0 is empty.
-            self.tops, self.top_ids = (np.frombuffer(row[c], np.int64).reshape(len(self.ids), -1) for c in ("tops", "top_ids"))
+            self.tops = self.tops.reshape(n, -1)
             self.least = np.where(self.tops >= 0, _part_of(self.tops, low), np.iinfo(np.int64).max)
-        self.best = _Best(len(self.ids) * (self.tops.shape[1] if self.windows else 1), wanted)
+        self.best = _Best(self.tops.size if self.windows else n, wanted)
         self.held, self.size = [], 0
 
     def needs(self) -> np.ndarray:
@@ -561,7 +565,7 @@ def _merge(dims: int, kind: str, low: int, wanted: int, windows: bool):
         lists, nth = np.divmod(np.flatnonzero(best.scores > LEAST), wanted)
         who, j = np.divmod(lists, anchors.tops.shape[1])
         columns = (
-            anchors.ids[who], anchors.top_ids[who, j], (nth + 1).astype(np.int32), best.ids[lists, nth], anchors.tops[who, j],
+            anchors.ids[who], anchors.top_ids[lists], (nth + 1).astype(np.int32), best.ids[lists, nth], anchors.tops[who, j],
             best.scores[lists, nth],
         )
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=schema)
@@ -590,20 +594,21 @@ def _search(blocks: DataFrame, groups: DataFrame, shape: tuple[int, str, int, in
     zones = blocks.select(
         F.explode(F.sequence(F.lit(0), F.lit(desks - 1))).alias("desk"), "part", "seq", "lo", "hi", "kinds"
     )
-    visits = groups.withColumn("desk", F.pmod(F.xxhash64("grp"), F.lit(desks)).cast("int"))
+    windows = "tops" in groups.columns
+    compared = groups.select("grp", "labels", "vectors", "norm", *(["tops"] if windows else ["floors", "places"]))
+    visits = compared.withColumn("desk", F.pmod(F.xxhash64("grp"), F.lit(desks)).cast("int"))
     looks = _first_then(zones, visits, "desk", desks)
     chosen = stored(looks.mapInArrow(_choose(*how), "grp bigint, part int, seq int"), "chosen")
     shelf = F.expr(f"cast(cast(part AS bigint) * {shelves} div {parts} AS int)").alias("shelf")
     key = F.expr("shiftleft(cast(part AS bigint), 32) | seq")
     asked = chosen.groupBy("grp", shelf).agg(F.collect_list(key).alias("asked"))
     # Merged: the file of chosen pairs is far smaller than its rows, too small to be judged by.
-    visits = asked.hint("merge").join(groups, "grp")
+    visits = asked.hint("merge").join(compared, "grp")
     stock = blocks.drop("anchors").withColumn("shelf", shelf)
     found = _first_then(stock, visits, "shelf", shelves).mapInArrow(_match(*how), _FOUND)
     found = found.withColumnRenamed("ids", "found")
     both = groups.unionByName(found, allowMissingColumns=True).repartition("grp")
     both = both.sortWithinPartitions("grp", F.col("who").isNotNull())
-    windows = "tops" in groups.columns
     return both.mapInArrow(_merge(*how, windows), _MINED if windows else _WINDOWS)
 
 
